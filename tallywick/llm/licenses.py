@@ -85,7 +85,6 @@ SPELLINGS: list[tuple[str, str]] = [
     ("labelling", "labeling"),
     ("licence", "license"),
     ("licenced", "licensed"),
-    ("merchantability", "merchantability"),
     ("organisation", "organization"),
     ("per cent", "percent"),
     ("practise", "practice"),
@@ -99,20 +98,19 @@ SPELLINGS: list[tuple[str, str]] = [
     ("non infringement", "noninfringement"),
     ("copyright owner", "copyright holder"),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-QUOTES, PLAIN = "“”‘’–—‐‑•·", "\"\"''----  "
 NOTICE_LINE = r"(^|\n)[ \t]*(copyright [^a-z]|copyright \(c\)|\(c\)|©|all rights reserved)[^\n]*"
-NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: Typographic quotes, dashes and bullets (U+2010 to U+2027) are punctuation; other letters beyond ASCII belong to words.
+NOT_WORD = r"[^a-z0-9\x{80}-\x{200F}\x{2028}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """A licence text as compared: lower case, no copyright lines, no punctuation, one spelling, single spaces; null counts as empty."""
-    x = F.translate(F.translate(F.coalesce(text, F.lit("")), QUOTES, PLAIN), UPPER, LOWER)
+    x = F.lower(F.coalesce(text, F.lit("")))
     x = F.regexp_replace(x, NOTICE_LINE, "\n")
-    x = F.concat(F.lit("  "), F.regexp_replace(x, NOT_WORD, "  "), F.lit("  "))
+    x = F.concat(F.lit(" "), F.regexp_replace(x, NOT_WORD, " "), F.lit(" "))
     for other, one in SPELLINGS:
-        x = F.replace(x, F.lit(" " + other.replace(" ", "  ") + " "), F.lit(" " + one.replace(" ", "  ") + " "))
-    return F.trim(F.regexp_replace(x, " +", " "))
+        x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
+    return F.trim(x)
 
 
 def known_digests(spark) -> DataFrame:
@@ -138,12 +136,12 @@ def oracle_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def sql(col: str) -> str:
-        x = f"translate(translate(coalesce({col}, ''), {quote(QUOTES)}, {quote(PLAIN)}), '{UPPER}', '{LOWER}')"
+        x = f"lower(coalesce({col}, ''))"
         x = f"regexp_replace({x}, {quote(NOTICE_LINE)}, chr(10), 'g')"
-        x = f"('  ' || regexp_replace({x}, {quote(NOT_WORD)}, '  ', 'g') || '  ')"
+        x = f"(' ' || regexp_replace({x}, {quote(NOT_WORD)}, ' ', 'g') || ' ')"
         for other, one in SPELLINGS:
-            x = f"replace({x}, ' {other.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
-        return f"sha256(trim(regexp_replace({x}, ' +', ' ', 'g')))"
+            x = f"replace({x}, ' {other} ', ' {one} ')"
+        return f"sha256(trim({x}))"
 
     rows = ", ".join(f"({quote(i)}, {quote(body)})" for i, body in LICENCES)
     return f"""WITH known AS (SELECT {sql('body')} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, body) GROUP BY 1),
