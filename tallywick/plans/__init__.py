@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallywick.plans.registry import ORACLES, QUERIES
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("spend",)
 
 
 def load() -> tuple[dict, dict]:
