@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallywick.plans.registry import ORACLES, QUERIES
 
-FAMILIES: tuple[str, ...] = ("spend",)
+FAMILIES: tuple[str, ...] = ("spend", "merging", "policies", "intervals")
 
 
 def load() -> tuple[dict, dict]:
