@@ -90,18 +90,17 @@ def read_archive(stream, block: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("the archive does not begin with a dictionary frame")
     dictionary = stream.read(size)
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    held, frame, parts = b"", unpacker.decompressobj(), []
+    held, frame, parts, begun = b"", unpacker.decompressobj(), [], False
     while True:
+        held = held or stream.read(block)
         if not held:
-            held = stream.read(block)
-            if not held:
-                break
+            break
         parts.append(frame.decompress(held))
-        held = b""
+        begun, held = True, b""
         if frame.eof:
             yield b"".join(parts)
-            held, frame, parts = frame.unused_data, unpacker.decompressobj(), []
-    if any(parts):
+            held, frame, parts, begun = frame.unused_data, unpacker.decompressobj(), [], False
+    if begun:
         raise ValueError("the archive ends within a record")
 
 
