@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywick.llm.common import crc_mod, mix, word_chunks
+from tallywick.llm.common import bound_batches, crc_mod, mix, word_chunks
 
 #: Rows of the embedding table: words and word beginnings are hashed into it.
 BUCKETS = 1 << 16
@@ -28,6 +28,8 @@ MAX_TRAIN_BYTES = 20_000
 #: Only buckets that so many training texts have are learned: what a single text has says nothing about others.
 MIN_TEXTS = 3
 EPOCHS = 8
+#: With few rows there are more epochs, so that there are as many steps as this at least.
+MIN_STEPS = 300
 SEED = 11
 
 # Frequent function words, by which a text's language is guessed. The table's lang column is not used.
@@ -183,6 +185,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     for i in fit:
         texts_with[np.unique(np.concatenate([every[i].word, every[i].head]))] += 1
     learned = texts_with >= MIN_TEXTS
+    epochs = max(epochs, -(-MIN_STEPS // -(-len(fit) // size)))
     for epoch in range(epochs):
         rate = 0.02 * (1 - epoch / epochs) + 0.001
         order = rng.permutation(fit)
@@ -263,13 +266,16 @@ def _calibrate(model: Model, every: list[Features], labels: np.ndarray, held: np
 
 
 def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the highest F1, in the middle of the gap between its neighbours."""
+    """The threshold with the highest F1, in the middle of the gap between its neighbours. Where no threshold beats calling
+    every text toxic, the logits tell nothing, and none is called so."""
     order = np.argsort(-logits, kind="stable")
     x, hit = logits[order], np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(x) + 1) + max(1, y.sum()))
-    best = int(f1.argmax())
-    below = x[best + 1] if best + 1 < len(x) else x[best] - 2
-    return float((x[best] + below) / 2)
+    able = np.flatnonzero(x[:-1] > x[1:])
+    if not len(able) or f1[able].max() <= f1[-1]:
+        return float(x[0] + 2) if y.sum() < len(y) else float(x[-1] - 2)
+    best = int(able[f1[able].argmax()])
+    return float((x[best] + x[best + 1]) / 2)
 
 
 _models: dict[int, Model] = {}
@@ -277,8 +283,10 @@ _models: dict[int, Model] = {}
 
 def scorer(model: Model):
     """A column function from text to score; the weights go to each executor once, their size fixed by the parameters."""
+    spark = SparkSession.getActiveSession()
+    bound_batches(spark)
     packed = zlib.compress(pickle.dumps(model), 1)
-    shared, key = SparkSession.getActiveSession().sparkContext.broadcast(packed), zlib.crc32(packed)
+    shared, key = spark.sparkContext.broadcast(packed), zlib.crc32(packed)
 
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
