@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -18,7 +19,7 @@ def link(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(F.unhex(prev), body.cast("binary")), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(rows: pd.Series) -> pd.Series:
     """JSON with sorted keys, no spaces and ASCII escapes; null where the input is no JSON object or holds NaN."""
 
