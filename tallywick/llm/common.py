@@ -34,13 +34,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallywick/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that Spark hands to Python at a time. Its default of 10,000 is for narrow rows: of whole texts that is too much memory.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session hand texts to Python in batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: what follows neither recomputes it nor depends on its executors."""
+    bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A narrow frame that is cheap to count, to be broadcast if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

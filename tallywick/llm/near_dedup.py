@@ -9,18 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywick.llm.common import cut, mix, word_chunks
+from tallywick.llm.common import bounded, cut, mix, word_chunks
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_WORDS = 8
+#: MinHash values of a text: the first BANDS * ROWS make its bands, and all are folded into its odd sketch.
+SAMPLES = 256
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: Links are confirmed when 100 * intersection >= SHARE * union.
 SHARE = 75
-#: A candidate is dropped by its sketch only if its estimated similarity is below this. With 128 samples a pair of
-#: similarity 0.75 has a standard error of 0.038, so 0.5 lies more than six of them below.
-SKETCH_FLOOR = 0.5
+#: A candidate is dropped by its sketch only if its estimated similarity is below this. For a pair of similarity 0.75 the
+#: estimate has a standard error of 0.027 from 256 samples and 0.012 from folding them, so this lies four of them below.
+SKETCH_FLOOR = 0.62
 
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,12 +66,12 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES MinHash values (32 bits in uint64) of each non-empty set, about 2048 shingles at a time."""
+    """SAMPLES MinHash values (32 bits in uint64) of each non-empty set, 1024 shingles at a time."""
     out = np.empty((len(sets), SAMPLES), np.uint64)
     for i, own in enumerate(sets):
         best = None
-        for at in range(0, len(own), 2048):
-            low = ((own[at : at + 2048, None] * _MULT + _ADD) >> np.uint64(32)).min(axis=0)
+        for at in range(0, len(own), 1024):
+            low = ((own[at : at + 1024, None] * _MULT + _ADD) >> np.uint64(32)).min(axis=0)
             best = low if best is None else np.minimum(best, low)
         out[i] = best
     return out
@@ -105,7 +106,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = list(shingle_sets(part["text"].tolist()))
             full = [s for s in sets if len(s)]
             low = minhashes(full)
-            band = mix((low.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + _SALT) if full else np.zeros((0, BANDS), np.uint64)
+            band = mix((low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + _SALT) if full else np.zeros((0, BANDS), np.uint64)
             sketch = odd_sketches(low) if full else np.zeros((0, SKETCH_WORDS), np.int64)
             rows, k = [], 0
             for doc_id, s in zip(part["doc_id"].tolist(), sets, strict=True):
@@ -119,24 +120,32 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"]).astype({"doc_id": "Int64", "d1": "Int64", "d2": "Int64"})
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the pairs whose full shingle sets are similar enough."""
+COMPARED = "a long, b long, common long, linked boolean, outside array<long>"
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each pair on its full shingle sets: how many they share, whether that links them, and what b has outside a."""
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.iloc[at : at + 64]
             texts = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
             sets = dict(zip(texts, shingle_sets(texts), strict=True))
-            keep = []
-            for x, y in zip(part["text_a"], part["text_b"], strict=True):
+            rows = []
+            for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"], strict=True):
                 one, two = sets[x], sets[y]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= SHARE * (len(one) + len(two) - both))
-            yield part.loc[keep, ["a", "b"]]
+                outside = two[~np.isin(two, one, assume_unique=True)]
+                both = len(two) - len(outside)
+                rows.append((a, b, both, 100 * both >= SHARE * (len(one) + len(outside)), _signed(outside)))
+            yield pd.DataFrame(rows, columns=["a", "b", "common", "linked", "outside"])
 
 
-def _sketch_close(a: str, b: str) -> Column:
-    differing = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return differing <= max_differing_bits()
+def _close(a: str, b: str) -> Column:
+    """What rules no link out: sizes whose ratio reaches SHARE, an upper bound on the intersection, sketches that differ in
+    few enough bits."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    most = F.least(F.col(f"{a}.common"), F.col(f"{b}.common")) + F.least(F.col(f"{a}.beyond"), F.col(f"{b}.beyond"))
+    differing = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_WORDS)]
+    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (100 * most >= SHARE * (n + m - most)) & (sum(differing[1:], differing[0]) <= max_differing_bits())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,11 +172,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents linked by similar 5-word shingle sets, and their connected components.
 
-    Texts with equal sets form a class, so copies are never paired. Classes that share a band of MinHash values are
-    candidates: first each with the smallest class of its bucket, and then, where a bucket still holds several
-    components, every pair across components, until no bucket has an untried pair. A candidate passes when the odd
-    sketches, whose XOR population count estimates the similarity, do not rule it out, and is confirmed on full sets.
-    32 bands of 4 values miss a pair of similarity 0.75 with probability 5e-6.
+    Texts with equal sets form a class, so copies are never paired. Classes that share a band of MinHash values meet in
+    a bucket. First each is compared with the most central class of its bucket, the one whose buckets are largest, and
+    links make components. Then, where a bucket still holds several components, every pair across them is a candidate,
+    once, however many buckets it shares, unless it is ruled out: by sizes; by the odd sketches, whose XOR population
+    count estimates the similarity; or by what both have in common with their centre, plus what each has beyond it that
+    any other member has too, which bounds their intersection. Candidates are confirmed on full sets. So a large group of
+    near copies costs one comparison for each of its texts, and few pairs.
+
+    32 bands of 4 values miss a pair of similarity 0.75 with probability 5e-6, the sketches with about 2e-5, and closer
+    pairs with far less.
 
     Returns doc_id, n_shingles, component_id, kept, one row per row of docs. Null, empty and blank texts have an empty
     set and are linked with nothing. Rows that repeat an id are in one component and equally kept. A null id joins no
@@ -176,47 +190,59 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(given.mapInPandas(_sign, SIGNATURE), "signatures")
 
-    sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = able.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("key", "first")
-    members = cut(keyed.join(cut(buckets, "buckets"), "key").select("key", "first", "rep"), "members")
-    marks = cut(reps.select(F.col("doc_id").alias("rep"), *sketch).join(members.select("rep").distinct(), "rep", "left_semi"), "sketches")
-
-    star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(marks.withColumnRenamed("rep", "a").alias("m"), "a").select("b", "a", *[F.col(f"m.s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS)])
-    star = star.alias("p").join(marks.withColumnRenamed("rep", "b").alias("q"), "b").filter(_sketch_close("p", "q")).select("a", "b")
-    tried = cut(star, "pairs")
-    links = cut(_confirm(tried, given), "links")
+    classes = cut(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "classes")
+    copies = able.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).filter("doc_id <> rep").select("doc_id").distinct()
+    reps = able.join(bounded(cut(copies, "copies")), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "buckets")
+    members = cut(keyed.join(bounded(buckets), "key").select("key", "rep", "held"), "members")
+    central = members.groupBy("rep").agg((-F.sum("held")).alias("far"))
+    ranked = members.select("key", "rep").join(central, "rep")
+    first = cut(ranked.groupBy("key").agg(F.min(F.struct("far", "rep")).alias("first")).select("key", F.col("first.rep").alias("first")), "centres")
+    marks = reps.join(bounded(cut(members.select("rep").distinct(), "reps")), "rep", "left_semi")
+    marks = cut(marks.select("rep", "n_shingles", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]), "sketches")
+
+    star = cut(members.join(first, "key").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    stars = cut(_compared(star, given), "stars")
+    links = stars.filter("linked").select("a", "b")
     roots = components(links)
 
-    # Pairs across the components that a bucket still holds.
+    # Of what a class has beyond its centre, the part that another of the centre's classes has too.
+    lone = stars.select("a", "b", F.explode("outside").alias("gram")).groupBy("a", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).filter("n = 1")
+    lone = lone.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lone"))
+    bounds = stars.select("a", "b", "common", F.size("outside").alias("beyond")).join(lone, ["a", "b"], "left")
+    bounds = cut(bounds.select(F.col("a").alias("first"), F.col("b").alias("rep"), "common", (F.col("beyond") - F.coalesce("lone", F.lit(0))).alias("beyond")), "bounds")
+
+    # Pairs across the components that a bucket still holds, each in the least of the buckets that it shares.
     rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     rooted = cut(rooted, "rooted")
-    open_ = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "open")
-    left = cut(rooted.join(open_, "key").join(marks, "rep"), "open-members")
-    across = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.root") != F.col("r.root")) & _sketch_close("l", "r"))
-    across = across.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_confirm(cut(across, "pairs"), given), "links")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    open_ = cut(open_.join(first, "key"), "open")
+    left = rooted.join(bounded(open_), "key").join(bounds, ["first", "rep"], "left").join(marks, "rep")
+    left = cut(left.withColumns({"common": F.coalesce("common", "n_shingles"), "beyond": F.coalesce("beyond", F.lit(0))}), "open-members")
+    apart = (F.col("l.rep") < F.col("r.rep")) & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
+    once = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.key")
+    across = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & once)
+    across = across.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = cut(_compared(cut(across, "pairs"), given).filter("linked").select("a", "b"), "links")
     roots = components(links.union(more)) if not more.isEmpty() else roots
 
     roots = cut(roots, "roots")
-    several = classes.filter("n > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("by_set"))
+    several = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("by_set"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(cut(several, "classes"), ["d1", "d2"], "left")
     out = out.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
-    """The pairs whose whole texts have similar enough shingle sets; only texts in some pair are moved."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = given.join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    texts = cut(texts, "texts")
+def _compared(pairs: DataFrame, given: DataFrame) -> DataFrame:
+    """Pairs (a, b) compared on the shingle sets of their whole texts; only texts in some pair are moved."""
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = cut(given.join(bounded(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return full.mapInPandas(_linked, "a long, b long")
+    return full.mapInPandas(_compare, COMPARED)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
