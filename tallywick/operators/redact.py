@@ -69,6 +69,13 @@ def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str,
         if clear(s[0], s[1]):
             spans.append(s)
             taken.append(s[:2])
+    # A value that was recognised once is masked wherever else it stands, also where its surroundings hid it.
+    known = {text[s[0] : s[1]].casefold(): s for s in spans}
+    if known:
+        for m in re.finditer("|".join(re.escape(v) for v in sorted(known, key=len, reverse=True)), text, re.I):
+            if clear(*m.span()) and m.group().casefold() in known:
+                spans.append((*m.span(), *known[m.group().casefold()][2:]))
+                taken.append(m.span())
     at = 0
     for lo, hi in [*sorted(taken), (len(text), len(text))]:
         for m in _TOKEN.finditer(text, at, lo):
@@ -86,7 +93,7 @@ def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str,
             vault[names[key]] = value
         elif vault[names[key]] != value:
             # The same value written otherwise gets a placeholder of its own, or restoring would not give the text back.
-            other = kind, value
+            other = kind, value, "as written"
             if other not in names:
                 counts[kind] = counts.get(kind, 0) + 1
                 names[other] = f"<{kind}_{counts[kind]}>"
