@@ -151,22 +151,21 @@ def _close(a: str, b: str) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, root (the smallest node of its component), for nodes with an edge.
 
-    Alternates the large-star and small-star steps until every component is a star. No step gathers a node's
-    neighbours: each is a minimum per node, aggregated before the shuffle, and a join with it.
+    Alternates the large-star and small-star steps until every component is a star around its smallest node. No step
+    gathers a node's neighbours: each is a minimum per node, aggregated before the shuffle, and a join with it.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct(), "edges")
-    seen = None
     while True:
+        files = 1 + now.count() // 500_000
         both = now.union(now.select("y", "x")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         small = large.groupBy("x").agg(F.min("y").alias("m"))
         hung = large.join(small, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
-        now = cut(hung.union(small.select("x", F.col("m").alias("y"))).distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if state == seen:
+        now = cut(hung.union(small.select("x", F.col("m").alias("y"))).distinct().coalesce(files), "edges")
+        n = now.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("x").alias("leaves")).first()
+        if n["all"] == n["leaves"] and now.join(now.select(F.col("y").alias("x")).distinct(), "x", "left_semi").isEmpty():
             return now.select(F.col("x").alias("node"), F.col("y").alias("root")).union(now.select("y", "y").distinct())
-        seen = state
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

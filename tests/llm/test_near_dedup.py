@@ -98,3 +98,22 @@ def test_drop_keeps_the_smallest_id(docs_of, odd_rows):
     kept = nd.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, None}
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rnd = random.Random(3)
+    names = rnd.sample(range(1000), 120)
+    edges = [(names[i], names[i + 1]) for i in range(40)] + [(names[50], names[51 + i]) for i in range(20)] + [(names[80 + i], names[80 + (i + 1) % 10]) for i in range(10)] + [(names[100], names[100])]
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent if n != names[100]}
+    assert nd.components(spark.createDataFrame([], "a long, b long")).count() == 0
