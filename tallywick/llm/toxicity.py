@@ -27,6 +27,9 @@ MAX_TRAIN_ROWS = 2000
 MAX_TRAIN_BYTES = 20_000
 #: Only buckets that so many training texts have are learned: what a single text has says nothing about others.
 MIN_TEXTS = 3
+#: How far a bucket's log-odds move where its embedding starts, and how many texts at the base rate smooth them.
+LEAN = 0.2
+PRIOR_TEXTS = 2.0
 EPOCHS = 8
 #: With few rows there are more epochs, so that there are as many steps as this at least.
 MIN_STEPS = 300
@@ -160,8 +163,9 @@ def _parts(texts: list[str | None], most: int = 2_000_000) -> Iterator[slice]:
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Fit embeddings, filters and output by Adam on the cross-entropy; thresholds on every fifth text, which is held back.
 
-    Embeddings start at zero, so a bucket that no training text has adds nothing to any filter. Only the window that
-    wins a filter's maximum gets its gradient.
+    A bucket starts at the smoothed log-odds of its texts' labels, in the first component that the filters lean on, so
+    that what tells the labels apart wins the maxima from the start: only the window that wins a filter's maximum gets its
+    gradient, and what all texts share would else keep it. Buckets that are not learned stay zero and add nothing.
     """
     rng = np.random.default_rng(seed)
     emb = np.zeros((BUCKETS, DIM))
@@ -181,10 +185,18 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     weight = np.where(labels == 1, min(3.0, (labels == 0).sum() / max(1, (labels == 1).sum())), 1.0)
     size = 32
     every = [Features([texts[i]]) for i in range(len(texts))]
-    texts_with = np.zeros(BUCKETS, np.int64)
+    texts_with, toxic_with = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for i in fit:
-        texts_with[np.unique(np.concatenate([every[i].word, every[i].head]))] += 1
+        own = np.unique(np.concatenate([every[i].word, every[i].head]))
+        texts_with[own] += 1
+        toxic_with[own] += labels[i]
     learned = texts_with >= MIN_TEXTS
+    emb[learned] = rng.normal(0, 0.02, (int(learned.sum()), DIM))
+    emb[learned, 0] += LEAN * _log_odds(texts_with, toxic_with, float(labels[fit].mean()))[learned]
+    signs, at = np.sign(out), 0
+    for w, f in FILTERS.items():
+        filters[w][:, 0] = np.abs(filters[w][:, 0]) * signs[at : at + f]
+        at += f
     epochs = max(epochs, -(-MIN_STEPS // -(-len(fit) // size)))
     for epoch in range(epochs):
         rate = 0.02 * (1 - epoch / epochs) + 0.001
@@ -204,6 +216,14 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     return model
 
 
+def _log_odds(texts_with: np.ndarray, toxic_with: np.ndarray, base: float) -> np.ndarray:
+    """Log-odds of each bucket's texts against the base rate, as if PRIOR_TEXTS more texts at that rate had it."""
+    if not 0 < base < 1:
+        return np.zeros(len(texts_with))
+    clean_with = texts_with - toxic_with
+    return np.log((toxic_with + PRIOR_TEXTS * base) / (clean_with + PRIOR_TEXTS * (1 - base))) - np.log(base / (1 - base))
+
+
 def _gradients(feats: list[Features], labels: np.ndarray, weight: np.ndarray, params: dict) -> dict:
     word = np.concatenate([f.word for f in feats])
     head = np.concatenate([f.head for f in feats])
