@@ -11,14 +11,15 @@ from tallywick.llm.common import cut
 RULES: list[tuple[str, str]] = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Levels of the tree; what lies deeper is one wildcard.
 DEPTH = 5
-#: A node with more distinct children than this has variable segments there: they become one wildcard.
-MAX_CHILDREN = 24
 #: Siblings whose block rates differ by less than so many standard errors are merged into the wildcard beside them.
 MERGE_Z = 1.96
 #: A template is rejected if (blocked + PRIOR * its host's rate) / (labelled + PRIOR) is above this.
 PURITY = 0.5
 PRIOR = 4.0
 WILD = "*"
+#: Stands for a node's rare children until the end; apart from WILD, which the form of a segment gives.
+RARE = "\0rare"
+RARE_NAME = "*rare"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -48,35 +49,58 @@ def shape(path: Column) -> Column:
     return F.concat(F.slice(typed, 1, DEPTH), F.when(F.size(typed) > DEPTH, F.array(F.lit(WILD + WILD))).otherwise(F.array().cast("array<string>")))
 
 
-def template_tree(counts: DataFrame) -> DataFrame:
+def _same_rate(hits: Column, n: Column, all_hits: Column, all_n: Column) -> Column:
+    """Whether a child's share of hits is that of its siblings together, within MERGE_Z standard errors; both are smoothed."""
+    others, other_hits = all_n - n, all_hits - hits
+    rate = (all_hits + 1) / (all_n + 2)
+    error = F.sqrt(rate * (1 - rate) * (1 / (n + 1) + 1 / (others + 1)))
+    return F.abs((hits + rate) / (n + 1) - (other_hits + rate) / (others + 1)) < MERGE_Z * error
+
+
+def template_tree(counts: DataFrame, sampled: bool = False) -> DataFrame:
     """From (host, shape, n, labelled, blocked), what each shape generalises to and its verdict: host, shape, template, verdict.
 
-    Level by level, a node with too many distinct children turns them into a wildcard. Then, from the leaves upward, a
-    child whose block rate does not differ from that of its siblings together joins them. What is left are templates,
-    rejected by the smoothed share of labelled pages that are blocked. All steps are grouped aggregates over rows that
-    count pages, far fewer than pages.
+    Level by level, a node's rare children become one: those with fewer than PRIOR pages, which no verdict of their own
+    could rest on. Frequent children stay, however many there are. Labels that a rule gave name their branch and say
+    nothing of others, so rare children join only where none has any; of ``sampled`` labels, a rare child joins if its
+    labelled share and its block rate are those of the other rare ones. Then, from the leaves upward, a child whose
+    block rate does not differ from that of its siblings together joins them, unless the wildcard beside them differs.
+    What is left are templates, rejected by the smoothed share of labelled pages that are blocked. All steps are grouped
+    aggregates over rows that count pages, far fewer than pages.
     """
     tree = cut(counts.withColumn("template", F.col("shape")), "tree")
     deep = DEPTH + 1
+    sums_of = [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
+    pages = F.greatest("n", "labelled").alias("pages")
     for level in range(1, deep + 1):
-        parent = F.slice("template", 1, level - 1)
-        here = tree.filter(F.size("template") >= level).withColumn("child", F.element_at("template", level))
-        wide = here.groupBy("host", parent.alias("parent")).agg(F.count_distinct("child").alias("children")).filter(F.col("children") > MAX_CHILDREN).select("host", "parent")
-        tree = tree.withColumn("parent", parent).join(wide.withColumn("wide", F.lit(True)), ["host", "parent"], "left")
-        wild = F.concat(F.slice("template", 1, level - 1), F.array(F.lit(WILD)), F.slice("template", level + 1, deep))
-        tree = tree.withColumn("template", F.when(F.coalesce("wide", F.lit(False)) & (F.size("template") >= level), wild).otherwise(F.col("template"))).drop("parent", "wide")
-        tree = cut(tree, "tree")
+        parent = F.slice("template", 1, level - 1).alias("parent")
+        child = F.element_at("template", level).alias("child")
+        nodes = tree.filter(F.size("template") >= level).select("host", parent, child, pages, "labelled", "blocked").groupBy("host", "parent", "child").agg(*sums_of)
+        rare = nodes.filter((F.col("pages") < PRIOR) & ~F.col("child").isin(WILD, WILD + WILD))
+        if sampled:
+            sums = rare.groupBy("host", "parent").agg(F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all"), F.sum("blocked").alias("bad"))
+            rare = rare.join(sums, ["host", "parent"]).filter(
+                _same_rate(F.col("labelled"), F.col("pages"), F.col("all"), F.col("all_pages")) & _same_rate(F.col("blocked"), F.col("labelled"), F.col("bad"), F.col("all"))
+            )
+        else:
+            rare = rare.filter("labelled = 0")
+        tree = tree.withColumns({"parent": F.slice("template", 1, level - 1), "child": F.get("template", F.lit(level - 1))})
+        tree = tree.join(rare.select("host", "parent", "child", F.lit(True).alias("rare")), ["host", "parent", "child"], "left")
+        pooled = F.concat("parent", F.array(F.lit(RARE)), F.slice("template", level + 1, deep))
+        tree = cut(tree.withColumn("template", F.when(F.col("rare"), pooled).otherwise(F.col("template"))).drop("parent", "child", "rare"), "tree")
     for level in range(deep, 0, -1):
+        group = ["host", "parent", "rest"]
         key = [F.col("host"), F.slice("template", 1, level - 1).alias("parent"), F.slice("template", level + 1, deep).alias("rest")]
         nodes = tree.filter(F.size("template") >= level).groupBy(*key, F.element_at("template", level).alias("child")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        sums = nodes.groupBy("host", "parent", "rest").agg(F.sum("labelled").alias("all"), F.sum("blocked").alias("bad"), F.count(F.lit(1)).alias("siblings"))
-        both = nodes.join(sums, ["host", "parent", "rest"])
-        others, other_bad = F.col("all") - F.col("labelled"), F.col("bad") - F.col("blocked")
-        rate = (F.col("bad") + 1) / (F.col("all") + 2)
-        error = F.sqrt(rate * (1 - rate) * (1 / (F.col("labelled") + 1) + 1 / (others + 1)))
-        gap = F.abs((F.col("blocked") + rate) / (F.col("labelled") + 1) - (other_bad + rate) / (others + 1))
-        blind = (F.col("labelled") == 0) == (others == 0)  # a branch without labels says nothing for or against another's
-        alike = both.filter((F.col("siblings") > 1) & blind & (gap < MERGE_Z * error)).select("host", "parent", "rest", "child", F.lit(True).alias("alike"))
+        sums = nodes.groupBy(*group).agg(F.sum("labelled").alias("all"), F.sum("blocked").alias("bad"), F.count(F.lit(1)).alias("siblings"))
+        blind = (F.col("labelled") == 0) == (F.col("all") == F.col("labelled"))  # a branch without labels says nothing for or against another's
+        same = (F.col("siblings") > 1) & blind & _same_rate(F.col("blocked"), F.col("labelled"), F.col("bad"), F.col("all"))
+        both = nodes.join(sums, group).select(*group, "child", same.alias("alike"))
+        wild = F.col("child") == WILD
+        sides = both.groupBy(*group).agg(F.max(wild).alias("has_wild"), F.max(wild & ~F.col("alike")).alias("clash"), F.max("alike").alias("any_alike"))
+        # Alike children take the wildcard, unless it is there and differs; else it is free for the rare ones.
+        takes = (F.col("alike") & ~F.col("clash")) | ((F.col("child") == RARE) & ~F.col("has_wild") & ~F.col("any_alike"))
+        alike = both.join(sides, group).filter(takes).select(*group, "child", F.lit(True).alias("alike"))
         tree = tree.withColumns({"parent": F.slice("template", 1, level - 1), "rest": F.slice("template", level + 1, deep), "child": F.get("template", F.lit(level - 1))})
         tree = tree.join(alike, ["host", "parent", "rest", "child"], "left")
         wild = F.concat("parent", F.array(F.lit(WILD)), "rest")
@@ -112,6 +136,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, lab
         host, path = url_parts(F.col("url"))
         given = labels.select(host.alias("host"), shape(path).alias("shape"), F.col("blocked").cast("boolean").alias("bad")).groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("blocked"))
         counted = counted.select("host", "shape", "n").join(given, ["host", "shape"], "full").na.fill(0, ["n", "labelled", "blocked"])
-    learned = cut(template_tree(counted), "templates")
+    learned = cut(template_tree(counted, sampled=labels is not None), "templates")
     out = own.join(learned, ["host", "shape"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned", F.lit("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned", F.lit("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join(F.transform("template", lambda s: F.when(s == RARE, RARE_NAME).otherwise(s)), "/")).alias("template"))

@@ -45,6 +45,28 @@ def test_templates_learn_from_labels(spark):
     assert {(r["template"], r["verdict"]) for r in out} == {("/spam/*/view.html", "block"), ("/docs/*/view.html", "allow")}
 
 
+def test_labelled_section_stays_apart_from_any_number_of_others(spark):
+    urls = []
+    for sections in (10, 24, 40, 95):
+        urls += [f"http://x{sections}.example.com/de/{i}" for i in range(5)]
+        urls += [f"http://x{sections}.example.com/s{chr(97 + i % sections // 26)}{chr(97 + i % sections % 26)}/{i}" for i in range(95)]
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {urls[r["page_id"]] for r in out if r["verdict"] == "block"} == {u for u in urls if "/de/" in u}
+    assert {r["template"] for r in out if "/de/" in urls[r["page_id"]]} == {"/de/*"}
+    assert {r["template"] for r in out if r["host"] == "x95.example.com"} == {"/de/*", "/*/*"}
+
+
+def test_frequent_sections_keep_their_verdicts_and_rare_ones_share_one(spark):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    urls = [(f"http://h/{name(i)}/{k}", i % 2 == 1) for i in range(60) for k in range(12)]
+    slugs = [(f"http://blog/p/{name(i)}-post", True) for i in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls + slugs)], "page_id long, url string")
+    labels = spark.createDataFrame(urls + slugs[::3], "url string, blocked boolean")
+    out = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules=[], labels=labels).collect()}
+    assert [out[i]["verdict"] == "block" for i in range(len(urls))] == [bad for _, bad in urls]
+    assert {(out[len(urls) + i]["template"], out[len(urls) + i]["verdict"]) for i in range(200)} == {("/p/*", "block")}
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "ROW_BLOCK", 70)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 9)
