@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ _ZLIB = (
     "in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and "
     "must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, "
+    "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+    "any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of "
+    "our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+    "to this software under copyright law.\n\n" + _MIT_BODY[_MIT_BODY.index("THE SOFTWARE IS PROVIDED") :].replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+)
 LICENCES: list[tuple[str, str]] = [
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n" + _MIT_BODY),
@@ -63,7 +73,25 @@ LICENCES: list[tuple[str, str]] = [
     ("Zlib", _ZLIB),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org>"),
 ]
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+for _name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"):
+    _body = pkgutil.get_data(__package__, f"texts/{_name}.txt").decode()
+    LICENCES.append((_name, _body))
+    if _TERMS_END in _body:  # without the appendix on how to apply it
+        LICENCES.append((_name, _body[: _body.index(_TERMS_END)] + _TERMS_END))
+        LICENCES.append((_name, _body[: _body.index(_TERMS_END)]))
 
 # Spellings that count as one.
 SPELLINGS: list[tuple[str, str]] = [
@@ -131,6 +159,14 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     return own.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id")
 
 
+def scan_notices(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines that are a known text, as notices within prose are: doc_id, license_id, lines; documents without one have no row."""
+    known = known_digests(docs.sparkSession) if known is None else known
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_col, "\n")).alias("line"))
+    own = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    return own.join(F.broadcast(known), "digest").groupBy("doc_id", "license_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def oracle_sql() -> str:
     """DuckDB SQL for the rows of scan_licences over documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -147,3 +183,9 @@ def oracle_sql() -> str:
     return f"""WITH known AS (SELECT {sql('body')} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, body) GROUP BY 1),
 own AS (SELECT doc_id, {sql('text')} AS digest FROM documents)
 SELECT own.doc_id, own.digest, known.license_id FROM own LEFT JOIN known ON own.digest = known.digest"""
+
+
+def notices_sql() -> str:
+    """DuckDB SQL for the rows of scan_notices over documents."""
+    lines = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)"
+    return oracle_sql().split("SELECT own.doc_id")[0].replace("FROM documents)", f"FROM {lines})") + "SELECT own.doc_id, known.license_id, count(*) AS lines FROM own JOIN known ON own.digest = known.digest GROUP BY 1, 2"

@@ -37,6 +37,11 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+@_query("op2_licence_notices", licenses.notices_sql())
+def op2_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_notices(_table(spark, sf_dir, "documents"))
+
+
 @_query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

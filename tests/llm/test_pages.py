@@ -136,3 +136,22 @@ def test_licences(docs_of):
     assert {k: r["license_id"] for k, r in out.items()} == {1: "BSD-2-Clause", 2: "MIT", 3: None, 4: None, 5: None, 6: "Zlib", 7: None, 8: None, 9: "MIT"}
     assert out[3]["digest"] == out[4]["digest"] == out[5]["digest"]
     assert licenses.scan_licences(docs_of([])).count() == 0
+
+
+def test_whole_licences_and_notices_within_prose(spark, docs_of):
+    rows = [(i, body) for i, (_, body) in enumerate(licenses.LICENCES)]
+    out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licences(docs_of(rows)).collect()}
+    assert out == {i: name for i, (name, _) in enumerate(licenses.LICENCES)}
+    assert {"GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "CC-BY-NC-4.0", "Unlicense"} <= set(out.values())
+    prose = [(1, "Prose.\nLicensed under CC BY-NC 4.0."), (2, "Prose licensed under CC BY-NC 4.0."), (3, None), (4, "a\nThis work is licensed under the GNU General Public Licence, version 3.\nReleased under the MIT License.")]
+    assert set(map(tuple, licenses.scan_notices(docs_of(prose)).collect())) == {(1, "CC-BY-NC-4.0", 1), (4, "GPL-3.0", 1), (4, "MIT", 1)}
+
+
+def test_licence_queries_match_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tallywick.llm import queries
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op2_licences", "op2_licence_notices"):
+        assert sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()), key=repr) == sorted(con.execute(queries.ORACLES[name]).fetchall(), key=repr)
