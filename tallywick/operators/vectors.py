@@ -16,7 +16,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, t: s + t)
 
 
-def _nearest(queries: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
+def _nearest(queries: pd.DataFrame, store: pd.DataFrame, others: bool = False) -> pd.DataFrame:
     out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
     if len(queries) and len(store):
         store = store.sort_values("id")
@@ -26,23 +26,27 @@ def _nearest(queries: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
             part = queries.iloc[at : at + 256]
             # Rounded, so that the choice among equal similarities does not depend on how a block was multiplied.
             sims = np.round(np.stack(part["v"].tolist()).astype(np.float64) @ table.T, 9)
+            own = part["id"].to_numpy(np.int64)
+            if others:
+                sims[own[:, None] == ids] = -np.inf
             best = sims.argmax(axis=1)
-            found.append(pd.DataFrame({"query_id": part["id"].to_numpy(np.int64), "vec_id": ids[best], "similarity": sims[np.arange(len(part)), best]}))
+            found.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "similarity": sims[np.arange(len(part)), best]}).query("similarity > -inf"))
         out = pd.concat(found)
     return out
 
 
-def nearest(queries: DataFrame, store: DataFrame, rows: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, store: DataFrame, rows: int | None = None, others: bool = False) -> DataFrame:
     """The most similar stored vector of each query, the smallest id among equals: query_id, vec_id, similarity.
 
     Queries and store (id, scope, v) meet block by block within a scope; a block pair is one matrix product, and each
-    query's best of all blocks wins. No task holds more than a block of either."""
+    query's best of all blocks wins. No task holds more than a block of either. With ``others``, the store's vector of the
+    query's own id doesn't count."""
     n = store.count() if rows is None else rows
     blocks = max(1, -(-n // BLOCK))
     left = queries.select("id", "scope", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb")).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = store.select("id", "scope", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("sb")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["scope", "qb", "sb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest, "query_id long, vec_id long, similarity double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, s: _nearest(q, s, others), "query_id long, vec_id long, similarity double")
     best = found.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("neg"), "vec_id")).alias("b"))
     return best.select("query_id", F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("similarity"))
 
@@ -72,3 +76,9 @@ def exact_hits(queries: DataFrame, store: DataFrame) -> DataFrame:
     """Queries whose scope and question hash are stored, with the first stored entry."""
     first = store.groupBy("scope", "question_hash").agg(F.min("id").alias("hit_id"))
     return queries.join(first, ["scope", "question_hash"])
+
+
+def earlier_hits(asked: DataFrame) -> DataFrame:
+    """Every question (id, scope, question_hash) with the first asking of it in its scope, if that is an earlier one: hit_id."""
+    first = asked.groupBy("scope", "question_hash").agg(F.min("id").alias("first_id"))
+    return asked.join(first, ["scope", "question_hash"], "left").withColumn("hit_id", F.when(F.col("first_id") < F.col("id"), F.col("first_id"))).drop("first_id")

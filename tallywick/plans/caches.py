@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywick.functions.text import normalised
 from tallywick.operators import vectors as op
 from tallywick.plans.registry import query, table
 
@@ -55,3 +56,31 @@ def cache_exact_hits(spark, sf_dir):
     rows = asked.select("conv_id", "turn", F.sha2(normal, 256).alias("question_hash"), (F.col("conv_id") % 3).alias("scope"))
     store = rows.filter("conv_id % 2 = 0").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return op.exact_hits(rows.filter("conv_id % 2 = 1"), store).select("conv_id", "turn", "hit_id")
+
+
+@query("cache_question_hits", r"""WITH t AS (SELECT conv_id, turn, sha256(lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS question_hash, conv_id % 3 AS scope FROM conversations WHERE role = 'user'), f AS (SELECT *, first_value(conv_id) OVER w AS c, first_value(turn) OVER w AS n FROM t WINDOW w AS (PARTITION BY scope, question_hash ORDER BY conv_id, turn)), h AS (SELECT *, question_hash IS NOT NULL AND (c < conv_id OR n < turn) AS hit FROM f)
+SELECT conv_id, turn, CASE WHEN hit THEN c END AS hit_conv, CASE WHEN hit THEN n END AS hit_turn FROM h""")
+def cache_question_hits(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    rows = asked.select(F.struct("conv_id", "turn").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("question_hash"), (F.col("conv_id") % 3).alias("scope"))
+    return op.earlier_hits(rows).select("id.conv_id", "id.turn", F.col("hit_id.conv_id").alias("hit_conv"), F.col("hit_id.turn").alias("hit_turn"))
+
+
+_OTHERS = _NEAR.replace("q.vec_id % 2 = 1 AND s.vec_id % 2 = 0", "q.vec_id <> s.vec_id")
+
+
+def near_others(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("scope"), F.col("embedding").alias("v"), "label")
+    label = vectors.select("id", "label")
+    out = op.nearest(vectors, vectors, others=True).join(label.toDF("query_id", "own"), "query_id").join(label.toDF("vec_id", "other"), "vec_id")
+    return out.select("query_id", "vec_id", (F.col("own") == F.col("other")).alias("correct"), "similarity")
+
+
+@query("vector_nearest_other", f"WITH {_OTHERS} SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM near")
+def vector_nearest_other(spark, sf_dir):
+    return near_others(spark, sf_dir).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_curve_others", f"WITH {_CURVE.replace(_NEAR, _OTHERS)} SELECT *, round(correct / queries, 9) AS hit_rate, CASE WHEN correct + wrong > 0 THEN round(wrong / (correct + wrong), 9) END AS false_rate FROM curve")
+def vector_curve_others(spark, sf_dir):
+    return op.curve(near_others(spark, sf_dir))

@@ -164,3 +164,19 @@ def test_older_ledgers_read_and_unknown_columns_do_not(spark, tmp_path):
     assert rows.schema == LEDGER_SCHEMA and rows.first()["input_tokens"] == 3
     with pytest.raises(ValueError, match="surprise"):
         read_ledgers(spark, odd)
+
+
+def test_exact_hits_compare_whole_questions(spark):
+    rows = [(1, 0, "What is  rust?"), (2, 0, "What is love?"), (4, 0, "what is rust? "), (4, 5, "What is rust?"), (7, 0, "WHAT IS LOVE?")]
+    asked = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    asked = asked.select(F.struct("conv_id", "turn").alias("id"), F.sha2(tx.normalised(F.col("text")), 256).alias("question_hash"), (F.col("conv_id") % 3).alias("scope"))
+    found = vectors.earlier_hits(asked)
+    assert found.count() == 5
+    hits = found.filter("hit_id IS NOT NULL").select("id.conv_id", "id.turn", "hit_id.conv_id", "hit_id.turn").collect()
+    assert sorted(map(tuple, hits)) == [(4, 0, 1, 0), (4, 5, 1, 0)]
+
+
+def test_nearest_other_asks_for_every_vector(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rows = spark.createDataFrame([(i, "s", [float(i % 3), 1.0]) for i in range(6)] + [(9, "alone", [1.0, 1.0])], "id long, scope string, v array<double>")
+    assert sorted(map(tuple, vectors.nearest(rows, rows, others=True).collect())) == [(0, 1, 1.0), (1, 2, 3.0), (2, 5, 5.0), (3, 0, 1.0), (4, 2, 3.0), (5, 2, 5.0)]
