@@ -138,12 +138,25 @@ def restored(masked: pd.Series, vault: pd.Series) -> pd.Series:
     return pd.Series([None if m is None else restore(m, dict(v)) for m, v in zip(masked, vault, strict=True)])
 
 
-def leaks(redacted: DataFrame) -> DataFrame:
-    """Documents whose masked text still holds a value of their vault, or a run of three digits of one, with counts only."""
-    values = redacted.select("doc_id", "masked", F.explode("vault").alias("placeholder", "value"))
-    kind = F.regexp_extract("placeholder", r"<(.+)_\d+>", 1)
-    bare = F.regexp_replace("masked", r"<[A-Z_]+_\d+>", " ")
-    return values.filter(F.instr(F.lower(bare), F.lower(F.col("value"))) > 0).groupBy("doc_id", kind.alias("entity_type")).agg(F.count(F.lit(1)).alias("leaked"))
+def leaks(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
+    """What a guard would refuse masked texts for, counts only: doc_id, kind, entity_type, leaked.
+
+    Kinds are ``value`` (a value of the vault), ``digits`` (of a value that isn't there whole, a run of three or more of
+    its digits) and ``shape`` (what a recogniser or the second pass would mask). Placeholders are cut out first. A run may
+    also be in the text by chance; it is reported, since a guard can't tell."""
+    bare = F.regexp_replace("masked", r"<[A-Z_]+_\d+>", "\n")
+    values = redacted.select("doc_id", bare.alias("bare"), F.explode("vault").alias("placeholder", "value"))
+    runs = F.regexp_extract_all(F.replace("value", F.lit(" ")), F.lit(r"([0-9]{3,})"), F.lit(1))
+    kind = F.when(F.instr(F.lower("bare"), F.lower(F.col("value"))) > 0, "value").when(F.exists(runs, lambda r: F.col("bare").contains(r)), "digits")
+    known = values.select("doc_id", kind.alias("kind"), F.regexp_extract("placeholder", r"<(.+)_\d+>", 1).alias("entity_type")).filter("kind IS NOT NULL")
+    allowed = frozenset(a.casefold() for a in allow or ())
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def shapes(texts: pd.Series) -> pd.Series:
+        return pd.Series([[s[2] for s in mask(t, allowed)[2]] if t is not None else [] for t in texts])
+
+    left = redacted.select("doc_id", F.lit("shape").alias("kind"), F.explode(shapes(bare)).alias("entity_type"))
+    return known.unionByName(left).groupBy("doc_id", "kind", "entity_type").agg(F.count(F.lit(1)).alias("leaked"))
 
 
 def survives(value: Column, output: Column, background: Column) -> Column:

@@ -180,3 +180,10 @@ def test_nearest_other_asks_for_every_vector(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 2)
     rows = spark.createDataFrame([(i, "s", [float(i % 3), 1.0]) for i in range(6)] + [(9, "alone", [1.0, 1.0])], "id long, scope string, v array<double>")
     assert sorted(map(tuple, vectors.nearest(rows, rows, others=True).collect())) == [(0, 1, 1.0), (1, 2, 3.0), (2, 5, 5.0), (3, 0, 1.0), (4, 2, 3.0), (5, 2, 5.0)]
+
+
+def test_leaks_are_values_parts_of_numbers_and_shapes(spark):
+    rows = [(1, "call <PHONE_1>", {"<PHONE_1>": "709-555-0142"}), (2, "ends in 0142, <PHONE_1>", {"<PHONE_1>": "709-555-0142"}), (3, "at X99-12345", {}), (4, "mail A@b.co", {"<EMAIL_1>": "a@b.co"}), (5, None, {})]
+    schema = "doc_id long, masked string, vault map<string,string>"
+    assert sorted(map(tuple, redact.leaks(spark.createDataFrame(rows, schema)).collect())) == [(2, "digits", "PHONE", 1), (3, "shape", "ID_LIKE", 1), (4, "shape", "EMAIL", 1), (4, "value", "EMAIL", 1)]
+    assert redact.leaks(spark.createDataFrame(rows[2:3], schema), allow=["X99-12345"]).count() == 0
