@@ -82,3 +82,30 @@ def earlier_hits(asked: DataFrame) -> DataFrame:
     """Every question (id, scope, question_hash) with the first asking of it in its scope, if that is an earlier one: hit_id."""
     first = asked.groupBy("scope", "question_hash").agg(F.min("id").alias("first_id"))
     return asked.join(first, ["scope", "question_hash"], "left").withColumn("hit_id", F.when(F.col("first_id") < F.col("id"), F.col("first_id"))).drop("first_id")
+
+
+def _pair_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    if len(left) and len(right):
+        for other, part in right.groupby("label"):
+            table, ids = np.stack(part["v"].tolist()).astype(np.float64), part["id"].to_numpy()
+            for label, own in left.groupby("label"):
+                for at in range(0, len(own), 256):
+                    some = own.iloc[at : at + 256]
+                    # Billionths as whole numbers, so that sums don't depend on the order of blocks.
+                    sims = np.rint(np.stack(some["v"].tolist()).astype(np.float64) @ table.T * 1e9).astype(np.int64)
+                    pair = some["id"].to_numpy()[:, None] != ids
+                    out.append((label, other, int(pair.sum()), int(sims[pair].sum())))
+    return pd.DataFrame(out, columns=["label", "other_label", "pairs", "billionths"])
+
+
+def pair_matrix(vectors: DataFrame, rows: int | None = None) -> DataFrame:
+    """Every vector (id, label, v) against every other one, summed by both labels: label, other_label, pairs, mean_similarity."""
+    n = vectors.count() if rows is None else rows
+    blocks = max(1, -(-n // BLOCK))
+    all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    own = vectors.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    left, right = own.withColumnRenamed("own", "lb").withColumn("rb", all_blocks), own.withColumnRenamed("own", "rb").withColumn("lb", all_blocks)
+    sums = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(_pair_sums, "label int, other_label int, pairs long, billionths long")
+    per = sums.groupBy("label", "other_label").agg(F.sum("pairs").alias("pairs"), F.sum(F.col("billionths").cast("decimal(38,0)")).alias("b")).filter("pairs > 0")
+    return per.select("label", "other_label", "pairs", F.round(F.col("b").cast("double") / F.col("pairs") / 1e9, 6).alias("mean_similarity"))

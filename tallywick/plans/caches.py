@@ -84,3 +84,8 @@ def vector_nearest_other(spark, sf_dir):
 @query("vector_curve_others", f"WITH {_CURVE.replace(_NEAR, _OTHERS)} SELECT *, round(correct / queries, 9) AS hit_rate, CASE WHEN correct + wrong > 0 THEN round(wrong / (correct + wrong), 9) END AS false_rate FROM curve")
 def vector_curve_others(spark, sf_dir):
     return op.curve(near_others(spark, sf_dir))
+
+
+@query("vector_pair_matrix", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.label, b.label AS other_label, count(*) AS pairs, round(avg(round(list_inner_product(a.v, b.v), 9)), 6) AS mean_similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2")
+def vector_pair_matrix(spark, sf_dir):
+    return op.pair_matrix(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")))

@@ -187,3 +187,9 @@ def test_leaks_are_values_parts_of_numbers_and_shapes(spark):
     schema = "doc_id long, masked string, vault map<string,string>"
     assert sorted(map(tuple, redact.leaks(spark.createDataFrame(rows, schema)).collect())) == [(2, "digits", "PHONE", 1), (3, "shape", "ID_LIKE", 1), (4, "shape", "EMAIL", 1), (4, "value", "EMAIL", 1)]
     assert redact.leaks(spark.createDataFrame(rows[2:3], schema), allow=["X99-12345"]).count() == 0
+
+
+def test_pair_matrix_holds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(5)], "id long, label int, v array<double>")
+    assert sorted(map(tuple, vectors.pair_matrix(rows).collect())) == [(0, 0, 6, 3.666667), (0, 1, 6, 5.0), (1, 0, 6, 5.0), (1, 1, 2, 4.0)]
