@@ -18,11 +18,14 @@ SEGMENT = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of this
+    machine serves if the session runs on this machine alone; elsewhere that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallywick-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get()
@@ -53,8 +56,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A narrow frame that is cheap to count, to be broadcast if it has at most so many rows; else it is joined by a shuffle."""
+#: A frame is broadcast only if its rows, at the size of their hashed form, stay within so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row of fixed-width columns in a hash table: the key and the row, with their headers, and the slot."""
+    return 32 + 16 * len(df.columns)
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES, text_bytes: int = 0) -> DataFrame:
+    """A narrow frame that is cheap to count, to be broadcast if it takes at most so many bytes; else it is joined by a
+    shuffle. ``text_bytes`` is what a row may hold besides its fixed-width columns."""
+    rows = most // (row_bytes(df) + text_bytes)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -20,7 +20,7 @@ def test_odd_rows_match_brute_force(docs_of, odd_rows):
 
 def test_more_rounds_give_the_same(docs_of):
     rows = [(i, "abc" if i % 3 else f"t{i % 40} {i % 7}") for i in range(400)]
-    for fan_in in (2, 3, 64):
+    for fan_in in (2, 3, 4, 64):
         assert sorted(map(tuple, exact_groups(docs_of(rows), fan_in=fan_in).collect()), key=repr) == brute(rows)
 
 
@@ -40,3 +40,8 @@ def test_drop_keeps_columns_and_one_of_each(docs_of, odd_rows):
     assert kept.columns == docs.columns
     bare = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in kept.collect()]
     assert sorted(bare) == sorted({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in odd_rows})
+
+
+def test_each_round_merges_sorted_runs(docs_of):
+    plan = exact_groups(docs_of([(1, "a")]), fan_in=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3  # 8 nodes: three rounds after the runs, which are written
