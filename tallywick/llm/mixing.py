@@ -3,55 +3,39 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywick.llm.common import WORD, cut
+from tallywick.llm.common import WORD, bounded, cut, shuffle_parts
 
 #: No document is taken more often than this.
 MAX_EPOCHS = 3
-#: Sources whose quotas are planned on the driver, one row each; more than that is an error, never a silent cut.
-MAX_SOURCES = 100_000
-#: The plan goes to every task only up to this size; beyond it, it is joined by salted source.
-BROADCAST_BYTES = 16 << 20
+#: Words of an output shard, about 400 MB of text, and the shards there are at least.
+SHARD_WORDS = 1 << 26
+MIN_SHARDS = 64
+#: Words of a block: a shard is drawn as so many blocks, unless they would be smaller or larger than these bounds.
+BLOCKS_PER_SHARD = 1024
+BLOCK_WORDS = (4096, 65_536)
+#: The tree has so many leaves at most; with more shards, the draws of a leaf are dealt to its shards in turn.
+MAX_LEAVES = 512
+#: The tree's plan has a number per leaf and group of sources. With more sources than this allows, sources share a group,
+#: whose blocks are permuted together: their quotas stay exact, and the driver's work stays bounded.
+PLAN_CELLS = 1 << 21
+#: Blocks of a source, from the one that its target cuts, whose documents may be taken to meet it, and passes over them.
+EDGE_BLOCKS = 16
+FILLS = 4
+#: Blocks whose words are summed in one window.
+CHUNK = 2048
 SALTS = 64
-
-
-def cycle_weights(sources: list[str | None], weights: tuple[float, ...] = (5, 2, 1)) -> list[float]:
-    """Weights repeating over the sources by code point, null last."""
-    order = sorted(range(len(sources)), key=lambda i: (sources[i] is None, [ord(c) for c in sources[i] or ""]))
-    out = [0.0] * len(sources)
-    for rank, i in enumerate(order):
-        out[i] = float(weights[rank % len(weights)])
-    return out
-
-
-def capped_targets(sizes: list[int], weights: list[float], cap: float = MAX_EPOCHS) -> list[float]:
-    """Share all sizes by weight; a target stops at cap times its source's size, the excess reshared by weight."""
-    target, left = [0.0] * len(sizes), float(sum(sizes))
-    open_ = set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        share = {i: left * weights[i] / total for i in open_}
-        over = [i for i in sorted(open_) if share[i] > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = share[i]
-            break
-        for i in over:
-            target[i] = float(cap * sizes[i])
-            left -= target[i]
-            open_.discard(i)
-        left = max(left, 0.0)
-    return target
+#: A prime above any number of blocks: block * _PRIME mod n permutes the blocks 0 to n - 1.
+_PRIME = (1 << 31) - 1
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Exact block quotas per shard (rows) and source (columns). Each node of a binary tree hands its left half a
+    """Exact block quotas per shard (rows) and group of sources (columns). Each node of a binary tree hands its left half a
     multivariate hypergeometric draw of its blocks, so every shard's mix is that of blocks dealt at random, and the
     columns still sum to the quotas."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -72,7 +56,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _stride(n: int, seed: int) -> int:
+def stride(n: int, seed: int) -> int:
     """A step coprime to n near the golden section, so that i * step mod n permutes the blocks."""
     step = max(1, int(n * 0.6180339887) + seed % 7)
     while math.gcd(step, n) != 1:
@@ -81,7 +65,161 @@ def _stride(n: int, seed: int) -> int:
 
 
 def _source_key(source: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
+    """A source as a text that is never null, and sorts by code point with null last."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
+
+
+def ranked_sources(by_source: DataFrame) -> DataFrame:
+    """by_source with ``rank``, its place by code point from 0: ranges of sources, their counts, and places within each."""
+    parts = shuffle_parts(by_source.sparkSession)
+    ranged = cut(by_source.repartitionByRange(parts, "source").withColumn("range", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("source")) - 1
+    return ranged.withColumn("own", own).join(F.broadcast(counts), "range").withColumn("rank", (F.col("ahead") + F.col("own")).cast("long")).drop("range", "own", "ahead")
+
+
+def capped_targets(sources: DataFrame, cap: float = MAX_EPOCHS) -> DataFrame:
+    """Adds ``target``: all sizes shared by ``weight``; a target stops at cap times its source's size, and the excess is
+    reshared by weight. Words per weight rise with each round, which is one sum over the sources, until none is above."""
+    first = sources.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weight")).first()
+    total, share, closed = first["all"] or 0, 0.0, -1
+    open_weight, left = first["weight"] or 0.0, float(total)
+    while True:
+        share = left / open_weight if open_weight else share
+        over = F.col("weight") * share > cap * F.col("source_size")
+        now = sources.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("source_size"))).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if now["n"] == closed or not now["weight"]:
+            return sources.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.col("weight") * F.lit(share)))
+        closed, open_weight, left = now["n"], now["weight"], max(total - cap * (now["size"] or 0), 0.0)
+
+
+def _at_most(upto: Column, x: Column) -> Column:
+    """How many entries of a sorted array are at most x, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MAX_LEAVES.bit_length() - 1, -1, -1)])
+
+    def step(low: Column, by: Column) -> Column:
+        return F.when((low + by <= F.size(upto)) & (F.get(upto, low + by - 1) <= x), low + by).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+class Plan:
+    """How sources are cut into blocks, how many of them are taken, and how shards draw them.
+
+    ``sources`` has a row per source: source, source_size, target, blocks (of the source), whole (times that all its
+    blocks are taken), edge (the permuted place of the block that the target cuts; -1: none), quota (blocks drawn),
+    group, first (where its draws begin among the group's). ``groups`` has a row per group: group, drawn (its quota),
+    step, upto (draws of the leaves before and up to each). ``changes`` has the documents about the edges whose number of
+    copies differs from what their block's place says: source, place, more.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], shards: int | None, block_words: int | None, seed: int):
+        self.seed, self.columns = seed, (id_col, text_col, source_col)
+        size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+        rows = docs.select(F.col(id_col).alias("doc_id"), _source_key(F.col(source_col)).alias("source"), self.place().alias("place"), size.alias("size"))
+        self.rows = cut(rows, "sizes")
+        by_source = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int"))
+        ranked = cut(ranked_sources(by_source).withColumn("weight", weight), "ranked")
+        about = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("words")).first()
+        words = about["words"] or 0
+        self.shards = shards or max(MIN_SHARDS, -(-words // SHARD_WORDS))
+        self.block_words = block_words or min(max(words // (self.shards * BLOCKS_PER_SHARD), BLOCK_WORDS[0]), BLOCK_WORDS[1])
+        self.leaves = min(self.shards, MAX_LEAVES)
+        self.each = -(-self.shards // self.leaves)
+        self.shards = self.leaves * self.each
+        n_groups = max(1, min(about["n"], PLAN_CELLS // self.leaves))
+
+        targets = capped_targets(ranked).withColumns({"blocks": F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / self.block_words)), "group": F.pmod("rank", F.lit(n_groups)).cast("int")})
+        whole = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+        targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        targets = cut(targets, "targets")
+        edges = self._edges(targets)
+        sources = targets.join(edges, "source", "left").withColumn("edge", F.coalesce("edge", F.lit(-1).cast("long")))
+        sources = sources.withColumn("quota", F.col("whole") * F.col("blocks") + F.col("edge") + 1)
+        first = F.coalesce(F.sum("quota").over(Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        self.sources = cut(sources.withColumn("first", first).drop("rank", "weight"), "sources")
+
+        drawn = sorted((r["group"], r["drawn"]) for r in self.sources.groupBy("group").agg(F.sum("quota").alias("drawn")).collect())
+        quotas = np.array([q for _, q in drawn], np.int64)
+        upto = np.cumsum(split_quotas(quotas, self.leaves, seed), axis=0) if drawn else np.zeros((self.leaves, 0), np.int64)
+        made = [(g, int(q), stride(int(q), seed) if q else 1, upto[:, i].tolist()) for i, (g, q) in enumerate(drawn)]
+        self.groups = docs.sparkSession.createDataFrame(made, "group int, drawn long, step long, upto array<long>")
+        self.changes = cut(self._changes(), "changes")
+
+    def place(self) -> Column:
+        """A document's place in the order of its source: a hash of what it is."""
+        id_col, text_col, _ = self.columns
+        return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(self.seed))
+
+    def _edges(self, targets: DataFrame) -> DataFrame:
+        """Where each source's rest ends: the last permuted place whose block begins before it, and the words ahead of it."""
+        cutting = targets.filter("rest > 0").select("source", "blocks", "rest")
+        sums = self._with(self.rows.filter("size > 0"), cutting).withColumn("spot", _spot()).groupBy("source", "spot", "rest").agg(F.sum("size").alias("held"))
+        sums = cut(sums.withColumn("chunk", F.floor(F.col("spot") / CHUNK)), "blocks")
+        ahead = lambda *by: F.coalesce(F.sum("held").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        chunks = sums.groupBy("source", "chunk", "rest").agg(F.sum("held").alias("held")).withColumn("base", ahead("source", "chunk"))
+        last = chunks.filter("base < rest").groupBy("source").agg(F.max_by(F.struct("chunk", "base"), "chunk").alias("last")).select("source", "last.*")
+        begun = sums.join(last, ["source", "chunk"]).withColumn("base", F.col("base") + ahead("source", "chunk", "spot"))
+        return begun.filter("base < rest").groupBy("source").agg(F.max("spot").alias("edge"), F.max_by("base", "spot").alias("ahead"))
+
+    def _with(self, df: DataFrame, plan: DataFrame) -> DataFrame:
+        """df with the columns of its source's row of plan; plan goes to the tasks where it is small, else is salted."""
+        whole = bounded(plan, text_bytes=256)
+        if whole is not plan:
+            return df.join(whole, "source")
+        salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return df.withColumn("_salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
+
+    def _changes(self) -> DataFrame:
+        """Documents of the blocks from the edge on that are taken once more, so that the target is met.
+
+        In the order of their places, documents are taken while they go into what is missing; then, of those that are
+        not too large for what is missing now, again, FILLS times in all. At last the document whose size fits best what
+        is missing is added, though it may be a little larger.
+        """
+        plan = self.sources.filter("edge >= 0").select("source", "blocks", "edge", F.col("rest") - F.col("ahead"))
+        plan = plan.toDF("source", "blocks", "edge", "room")
+        near = self._with(self.rows.filter("size > 0"), plan).withColumn("spot", _spot()).filter(f"spot >= edge AND spot < edge + {EDGE_BLOCKS}")
+        rows = near.groupBy("source", "place").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+        of_source = Window.partitionBy("source")
+        upto = of_source.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({"more": F.lit(False), "gap": F.col("room")})
+        for _ in range(FILLS):
+            able = ~F.col("more") & (F.col("size") <= F.col("gap"))
+            rows = rows.withColumn("filled", F.sum(F.when(able, F.col("size"))).over(upto))
+            rows = rows.withColumn("more", F.col("more") | (able & (F.col("filled") <= F.col("gap"))))
+            rows = rows.withColumn("gap", F.col("room") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(of_source))
+        miss = F.abs(F.col("gap") - F.col("size"))
+        best = F.min(F.when(~F.col("more") & (miss < F.col("gap")), F.struct(miss.alias("miss"), "place"))).over(of_source)
+        rows = rows.withColumn("best", best)
+        return rows.filter(F.col("more") | (F.col("best.place") == F.col("place"))).select(F.col("source").alias("_source"), F.col("place").alias("_place"))
+
+    def drawn(self, df: DataFrame) -> DataFrame:
+        """df, which has source and place, with the columns of its source and ``shards``: of each copy that is taken, the
+        shard that draws its block. Copy e of a document lies in the block's draw e of its source; the source's draws
+        stand in its group's, which are permuted, and each leaf draws as many of them as the tree gave it."""
+        own = self._with(df, self.sources.select("source", "source_size", "target", "blocks", "whole", "edge", "quota", "group", "first")).join(F.broadcast(self.groups), "group")
+        changes = bounded(self.changes, text_bytes=256)
+        own = own.join(changes, (own["source"] == changes["_source"]) & (own["place"] == changes["_place"]), "left")
+        spot = _spot()
+        copies = F.col("whole") + F.when((spot < F.col("edge")) | F.col("_place").isNotNull(), 1).otherwise(0)
+
+        def shard(e: Column) -> Column:
+            draw = F.least(e * F.col("blocks") + spot, F.col("quota") - 1)
+            at = F.pmod((F.col("first") + draw) * F.col("step"), F.col("drawn"))
+            leaf = _at_most(F.col("upto"), at)
+            return (leaf * self.each + F.pmod(at, F.lit(self.each))).cast("int") if self.each > 1 else leaf
+
+        epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
+        return own.withColumn("shards", F.transform(epochs, shard)).drop("whole", "edge", "quota", "group", "first", "drawn", "step", "upto", "_source", "_place")
+
+
+def _spot() -> Column:
+    """The permuted place of a document's block: blocks are classes of its source's documents by their place."""
+    block = F.pmod(F.shiftrightunsigned("place", 16), F.col("blocks"))
+    return F.pmod(block * _PRIME, F.col("blocks"))
 
 
 def mix(
@@ -89,104 +227,40 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weigh: Callable[[list[str | None]], list[float]] = cycle_weights,
-    shards: int = 64,
-    block_words: int = 4096,
+    weights: tuple[float, ...] = (5, 2, 1),
+    shards: int | None = None,
+    block_words: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """Decide how often each document is taken, and into which output shards, so that sources meet their targets.
 
-    A source's documents are permuted by a hash of their id and laid end to end, up to three times over; that stream is
-    cut at the source's target and into blocks of ``block_words``, a document belonging to the block that holds its
-    middle. The source's block quota is split among the shards by the tree; a shard draws its quota as the next blocks of
-    the source in a permuted order, so the shards' blocks are disjoint. The stream ends within half a document of the
-    target, and then one document per source, the one whose size fits the rest best, is added to or taken from its
-    last block.
+    Sources weigh ``weights``, repeating by code point, null last, and share all words up to three times their own. A
+    source's documents are dealt by a hash into blocks of about ``block_words``, and its blocks are permuted. Its quota is
+    the number of blocks whose words make up its target: all of them as often as they go into it, then the first of the
+    permuted order, up to the block that the target cuts. The tree splits the quotas exactly among the shards, and each
+    shard draws its part as the next of the permuted blocks, so that draws are disjoint. A document is taken as often as
+    its block is drawn; of the block that the target cuts, and of the next few if it has not enough that fit, documents
+    are taken, in the order of their hashes, that together come as near the target as they can.
 
     Returns doc_id, size, source_size, target, taken, and shards (the shard of each copy). Sizes count words; a null
-    text has none, and a null source is a source of its own. A document without words is taken as its place in the
-    stream says and adds nothing. Rows that repeat an id are documents of their own. Where no document has a word, every
-    target is 0. An empty table gives no rows; further columns of docs play no part. Reruns agree: every order comes
-    from hashes of ids and sizes, every draw from ``seed``.
+    text has none, and a null source is a source of its own. A document without words is taken with its block and adds
+    nothing. Rows that repeat an id are documents of their own, except that rows equal in id and text are taken alike.
+    Where no document has a word, every target is 0. An empty table gives no rows; further columns of docs play no part.
+    Any number of sources is planned exactly. Reruns agree: every order comes from hashes of ids and texts, every draw
+    from ``seed``. Shards grow in number with the words; only sources' and groups' rows are joined, never documents.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _source_key(F.col(source_col)).alias("source"), size.alias("size"))
-    order = F.xxhash64("doc_id", "size", F.lit(seed))
-    rows = cut(rows.withColumn("place", order), "sizes")
-
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    by_source.sort(key=lambda r: r["source"])
-    names = [None if r["source"] == "-" else r["source"][1:] for r in by_source]
-    sizes = [int(r["size"]) for r in by_source]
-    targets = capped_targets(sizes, weigh(names)) if names else []
-    quotas = np.array([math.ceil(t / block_words) for t in targets], np.int64)
-    upto = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
-    steps = [_stride(int(q), seed) if q else 1 for q in quotas]
-    plan = spark.createDataFrame(
-        [(r["source"], s, float(t), int(q), k, [int(x) for x in upto[:, i]]) for i, (r, s, t, q, k) in enumerate(zip(by_source, sizes, targets, quotas, steps, strict=True))],
-        "source string, source_size long, target double, blocks long, step long, upto array<long>",
-    )
-    fits = len(names) * (shards * 8 + 128) <= BROADCAST_BYTES
-
-    def with_plan(df: DataFrame) -> DataFrame:
-        if fits:
-            return df.join(F.broadcast(plan), "source")
-        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return df.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
-
-    # Start of each document in its source's stream: sums of hash buckets, then within a bucket, each about sqrt(rows).
-    buckets = max(1, math.isqrt(sum(int(r["n"]) for r in by_source)))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 20), F.lit(buckets)))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")).select("source", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["source", "bucket"])
-    placed = with_plan(placed.withColumn("start", F.col("base") + F.col("ahead")).drop("bucket", "base", "ahead"))
-
-    middle = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") / 2
-    taken = sum((F.when(middle(F.lit(e)) < F.col("target"), 1).otherwise(0) for e in range(MAX_EPOCHS)), F.lit(0))
-    placed = cut(placed.withColumn("copies", taken), "placed")
-
-    # The document whose size fits best what is missing from, or too much in, its source's stream.
-    got = placed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-    gaps = with_plan(got.withColumn("place", F.lit(0).cast("long"))).select("source", (F.col("target") - F.col("got")).alias("gap"))
-    gap_rows = spark.createDataFrame([(r["source"], r["gap"]) for r in gaps.collect()], "source string, gap double")
-    able = F.when(F.col("gap") > 0, F.col("copies") < MAX_EPOCHS).otherwise(F.col("copies") > 0)
-    miss = F.abs(F.abs("gap") - F.col("size"))
-    fit = placed.join(F.broadcast(gap_rows) if fits else gap_rows, "source").filter(able & (F.col("size") > 0) & (miss < F.abs("gap")))
-    fit = fit.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "start", F.signum("gap").cast("int").alias("sign"))).alias("fit"))
-    fit_rows = spark.createDataFrame([(r["source"], r["fit"]["start"], r["fit"]["sign"]) for r in fit.collect()], "source string, start long, sign int")
-    placed = placed.join(F.broadcast(fit_rows) if fits else fit_rows, ["source", "start"], "left")
-    copies = F.col("copies") + F.when(F.col("size") > 0, F.coalesce("sign", F.lit(0))).otherwise(0)
-
-    def shard(e: Column) -> Column:
-        """Of the shards' ranges of permuted blocks, the one that holds the block of this copy's middle."""
-        block = F.least(F.floor(middle(e) / block_words), F.col("blocks") - 1)
-        drawn = F.pmod(block * F.col("step"), F.greatest("blocks", F.lit(1)))
-        return F.size(F.filter("upto", lambda u: u <= drawn))
-
-    epochs = F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return placed.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (copies * F.col("size")).cast("long").alias("taken"),
-        F.transform(epochs, shard).alias("shards"),
-    )
-
-
-def mixed_rows(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mix itself: each document once per copy, with all columns of docs, dealt by shard and shuffled within it.
-
-    Of rows that repeat an id, each is taken as often as the first of them. Null ids are one id here.
+    plan = Plan(docs, id_col, text_col, source_col, weights, shards, block_words, seed)
+    return plan.drawn(plan.rows).select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), shards: int | None = None, block_words: int | None = None, seed: int = 7) -> DataFrame:
+    """The mix itself: each document once per copy, with all columns of docs, sent to its shard and shuffled within it.
+
+    A row finds its block by itself, so documents are shuffled once, to their shards. Repeated rows, null ids, null
+    sources and texts are treated as mix() does. An empty table stays empty.
     """
-    plan = mix(docs, seed=seed, **options).filter(F.size("shards") > 0).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("shards").alias("_shards"))
-    plan = cut(plan, "mix")
-    drawn = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]))
-    drawn = drawn.select(*[docs[c] for c in docs.columns], F.posexplode("_shards").alias("_epoch", "_shard"))
-    parts = drawn.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("doc_id", "_epoch", F.lit(seed)))
-    return parts.drop("_epoch", "_shard")
+    plan = Plan(docs, id_col, text_col, source_col, weights, shards, block_words, seed)
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), _source_key(docs[source_col]).alias("source"), plan.place().alias("place"))
+    drawn = plan.drawn(held).select("_row", "place", F.posexplode("shards").alias("_epoch", "_shard"))
+    parts = drawn.repartition(plan.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("place", "_epoch", F.lit(seed)))
+    return parts.select("_row.*")

@@ -44,7 +44,7 @@ def op2_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 @_query("op4_near_dedup")
