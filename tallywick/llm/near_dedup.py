@@ -121,31 +121,40 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 COMPARED = "a long, b long, common long, linked boolean, outside array<long>"
+#: Texts that are compared with one copy of their common partner's text; a partner of more is sent once for each so many.
+PARTNERS = 512
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each pair on its full shingle sets: how many they share, whether that links them, and what b has outside a."""
+    """Sorted rows (a, salt, b, text), of which those without b bring a's text: each b on its full shingle set against
+    a's that came before: how many they share, whether that links them, and what b has outside a."""
+    one = np.zeros(0, np.uint64)
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.iloc[at : at + 64]
-            texts = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
-            sets = dict(zip(texts, shingle_sets(texts), strict=True))
             rows = []
-            for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"], strict=True):
-                one, two = sets[x], sets[y]
+            for a, b, two in zip(part["a"], part["b"], shingle_sets(part["text"].tolist()), strict=True):
+                if pd.isna(b):
+                    one = two
+                    continue
                 outside = two[~np.isin(two, one, assume_unique=True)]
                 both = len(two) - len(outside)
-                rows.append((a, b, both, 100 * both >= SHARE * (len(one) + len(outside)), _signed(outside)))
+                rows.append((a, int(b), both, 100 * both >= SHARE * (len(one) + len(outside)), _signed(outside)))
             yield pd.DataFrame(rows, columns=["a", "b", "common", "linked", "outside"])
 
 
+def _sketches_near(a: str, b: str) -> Column:
+    """What the signatures alone say: sizes whose ratio reaches SHARE, and odd sketches that differ in few enough bits."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    differing = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_WORDS)]
+    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (sum(differing[1:], differing[0]) <= max_differing_bits())
+
+
 def _close(a: str, b: str) -> Column:
-    """What rules no link out: sizes whose ratio reaches SHARE, an upper bound on the intersection, sketches that differ in
-    few enough bits."""
+    """What rules no link out: an upper bound on the intersection, and sizes and sketches."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     most = F.least(F.col(f"{a}.common"), F.col(f"{b}.common")) + F.least(F.col(f"{a}.beyond"), F.col(f"{b}.beyond"))
-    differing = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_WORDS)]
-    return (100 * F.least(n, m) >= SHARE * F.greatest(n, m)) & (100 * most >= SHARE * (n + m - most)) & (sum(differing[1:], differing[0]) <= max_differing_bits())
+    return (100 * most >= SHARE * (n + m - most)) & _sketches_near(a, b)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,12 +181,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Documents linked by similar 5-word shingle sets, and their connected components.
 
     Texts with equal sets form a class, so copies are never paired. Classes that share a band of MinHash values meet in
-    a bucket. First each is compared with the most central class of its bucket, the one whose buckets are largest, and
+    a bucket. First each is a candidate with the most central class of its bucket, the one whose buckets are largest, and
     links make components. Then, where a bucket still holds several components, every pair across them is a candidate,
-    once, however many buckets it shares, unless it is ruled out: by sizes; by the odd sketches, whose XOR population
-    count estimates the similarity; or by what both have in common with their centre, plus what each has beyond it that
-    any other member has too, which bounds their intersection. Candidates are confirmed on full sets. So a large group of
-    near copies costs one comparison for each of its texts, and few pairs.
+    once, however many buckets it shares, unless what both have in common with their centre, plus what each has beyond it
+    that any other member has too, bounds their intersection too low. Every candidate of either kind must pass the odd
+    sketches, whose XOR population count estimates the similarity, and is then confirmed on full sets. So a large group
+    of near copies costs one comparison for each of its texts, and few pairs. A text is sent to its comparisons once for
+    each partner that it has there, a common partner once for each PARTNERS of them.
 
     32 bands of 4 values miss a pair of similarity 0.75 with probability 5e-6, the sketches with about 2e-5, and closer
     pairs with far less.
@@ -203,7 +213,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = reps.join(bounded(cut(members.select("rep").distinct(), "reps")), "rep", "left_semi")
     marks = cut(marks.select("rep", "n_shingles", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]), "sketches")
 
-    star = cut(members.join(first, "key").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    star = members.join(first, "key").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    sketch = marks.drop("bands")
+    banded = star.join(sketch.alias("l"), F.col("a") == F.col("l.rep")).join(sketch.alias("r"), F.col("b") == F.col("r.rep"))
+    star = cut(banded.filter(_sketches_near("l", "r")).select("a", "b"), "pairs")
     stars = cut(_compared(star, given), "stars")
     links = stars.filter("linked").select("a", "b")
     roots = components(links)
@@ -237,14 +250,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _compared(pairs: DataFrame, given: DataFrame) -> DataFrame:
-    """Pairs (a, b) compared on the shingle sets of their whole texts; only texts in some pair are moved."""
+    """Pairs (a, b) compared on the shingle sets of their whole texts; only texts in some pair are moved.
+
+    The partners of an a are dealt into parts; each is one sorted run that a's text leads and that streams by it.
+    """
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = cut(given.join(bounded(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return full.mapInPandas(_compare, COMPARED)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = cut(pairs.join(bounded(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "dealt")
+    heads = dealt.select("a", "salt").distinct().join(texts.toDF("a", "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    partners = dealt.join(texts.toDF("b", "text"), "b").select("a", "salt", "b", "text")
+    runs = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return runs.mapInPandas(_compare, COMPARED)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, with all columns of docs: the one with the smallest id."""
-    gone = near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """One document of each group of near copies, with all columns of docs: the one with the smallest id.
+
+    Only the ids that go are looked up, and sent to the documents where they are few enough, so that documents are not
+    shuffled then, and once otherwise. Rows that repeat an id stay or go together. A null id, and a null, empty or blank
+    text, is no copy of anything and stays; an empty table stays empty.
+    """
+    gone = cut(near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
+    return docs.join(bounded(gone), docs["doc_id"] == F.col("_gone_id"), "left_anti")

@@ -117,3 +117,19 @@ def test_components_of_chains_stars_and_rings(spark):
     got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
     assert got == {n: find(n) for n in parent if n != names[100]}
     assert nd.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_partner_of_many_is_sent_once_for_each_part(docs_of, monkeypatch):
+    monkeypatch.setattr(nd, "PARTNERS", 3)
+    rows = [(i, " ".join(f"w{j}" for j in range(60)) + f" x{i}") for i in range(40)] + [(100 + i, " ".join(f"v{j}" for j in range(i, i + 40))) for i in range(12)]
+    got = {r[0]: tuple(r)[1:] for r in nd.near_groups(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_dropping_keeps_odd_rows_and_empty_tables(docs_of, odd_rows):
+    docs = docs_of(odd_rows)
+    kept = nd.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 8] and ids.count(None) == 2
+    assert nd.drop_near_copies(docs_of([])).count() == 0
