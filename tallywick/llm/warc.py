@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywick.llm.common import cut, scratch_path, shuffle_parts
+from tallywick.llm.common import BROADCAST_BYTES, bounded, cut, scratch_path, shuffle_parts
 
 #: The skippable frame that a reader of .warc.zst files expects its dictionary in.
 SKIPPABLE = 0x184D2A5D
@@ -160,23 +160,35 @@ def _writer(folder: str):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, few_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Write a record per page into .warc.zst archives in a folder that all executors share; returns archive, records.
 
     Of pages whose payloads are equal (SHA-256) and of at least min_revisit bytes, the one with the largest page_id is
-    the response and the others are revisits of it. Only digests are grouped, aggregated before the shuffle; pages are
-    then dealt evenly among the writers, so a payload that a third of the pages share gathers nowhere.
+    the response and the others are revisits of it. Only digests are grouped, aggregated before the shuffle. Where few
+    payloads repeat, they go to the pages; else the pages' ids and digests alone are joined with them, and a page finds
+    what it revisits by its id and digest, in the one shuffle that deals pages among the writers. So a payload that a
+    third of the pages share gathers nowhere.
 
     Null payloads are empty. Rows that repeat the largest page_id with the same payload are all responses; a null
     page_id revisits the largest there is, or is a response if there is none. Folder may be any URI of a file system.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
+    own = pages.select("page_id", "url", "html", F.unhex(F.sha2(payload, 256)).alias("digest"))
     groups = own.filter(F.octet_length(payload) >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups.filter("n > 1").select("digest", "last"), "payloads")
-    marked = own.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    dealt = marked.select("page_id", "url", "html", "refers_to").repartition(shuffle_parts(pages.sparkSession), F.xxhash64("page_id"))
-    return cut(dealt.mapInPandas(_writer(folder), "archive string, records long"), "archives")
+    few = bounded(groups, most=few_bytes, text_bytes=48)
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    parts = shuffle_parts(pages.sparkSession)
+    dealt = F.xxhash64("page_id", "digest")
+    if few is not groups:
+        marked = own.join(few, "digest", "left").withColumn("refers_to", refers).repartition(parts, dealt)
+    else:
+        marks = own.select("page_id", "digest").join(groups, "digest").withColumn("refers_to", refers).filter("refers_to IS NOT NULL")
+        marks = marks.select(dealt.alias("_at"), F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct().repartition(parts, "_at")
+        sent = own.withColumn("at", dealt).repartition(parts, "at")
+        same = (sent["at"] == marks["_at"]) & sent["page_id"].eqNullSafe(marks["_page"]) & (sent["digest"] == marks["_digest"])
+        marked = sent.join(marks, same, "left")
+    return cut(marked.select("page_id", "url", "html", "refers_to").mapInPandas(_writer(folder), "archive string, records long"), "archives")
 
 
 def _reader(folder: str):
