@@ -1,4 +1,4 @@
-"""Exact top-k inner-product search over a bit-sliced index."""
+"""Exact top-k inner-product search over a bit-sliced index: for each slice of each attribute, a bitmap over the rows."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from tallywick.llm.common import cut
 
 SCALE = 256
 K = 5
-QUERY_BLOCK = 1024
-ROW_BLOCK = 8192
-#: Slices of the vectors' values that are added before rows are first ruled out.
-FIRST_SLICES = 5
+#: Queries and rows that meet in one task. Rows are sent once per block of queries, queries once per block of rows.
+QUERY_BLOCK = 4096
+ROW_BLOCK = 16_384
+#: Most significant slices of an attribute that the index holds; what the others may add is bounded, and resolved exactly.
+SLICES = 6
 
 
 def quantised(embedding: Column) -> Column:
@@ -27,76 +28,126 @@ def quantised(embedding: Column) -> Column:
     return F.when(embedding.isNotNull() & fine, F.transform(x, lambda v: F.floor(v * SCALE).cast("long")))
 
 
-class BitSlices:
-    """Integer vectors as bitmaps: for each bit of their values, offset to be non-negative, which dimensions have it set.
+def signed_digits(n: int) -> list[tuple[int, int]]:
+    """n as a sum of sign * 2^place with no two places adjacent, which is the fewest digits: (place, sign)."""
+    out, place = [], 0
+    while n:
+        if n & 1:
+            sign = 2 - (n & 3)
+            out.append((place, sign))
+            n -= sign
+        n >>= 1
+        place += 1
+    return out
 
-    A bitmap of a vector is one 64-bit word per 64 dimensions. The inner product of two vectors is a sum, over pairs of
-    slices, of 2^(s+t) times the population count of their bitmaps' AND, corrected for the offsets.
+
+class SliceIndex:
+    """A block of rows as bitmaps: slice s of attribute d has a bit per row, set where bit s of the row's value is.
+
+    Values are offset to be non-negative and quantised to SLICES slices by leaving out ``drop`` lower bits. Each slice is
+    held with its complement, which stands for a negative coefficient. A bitmap has one 64-bit word per 64 rows.
     """
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, slices: int = SLICES):
+        order = np.argsort(ids, kind="stable")
+        self.rows, self.ids = rows[order], ids[order]
+        n, dims = rows.shape
         self.low = int(rows.min()) if rows.size else 0
-        shifted = (rows - self.low).astype(np.uint64)
-        self.bits = max(1, int(shifted.max()).bit_length() if rows.size else 1)
-        pad = -rows.shape[1] % 64
-        self.words = (rows.shape[1] + pad) // 64
-        self.slices = []
-        for s in range(self.bits):
-            on = np.pad((shifted >> np.uint64(s)) & np.uint64(1), ((0, 0), (0, pad))).astype(np.uint8)
-            self.slices.append(np.packbits(on, axis=1, bitorder="little").view(np.uint64).reshape(len(rows), self.words))
-        self.sums = rows.sum(axis=1)
-
-    def slice_product(self, query: list[tuple[int, np.ndarray]], s: int, which: np.ndarray | None = None) -> np.ndarray:
-        """What slice s of the rows adds: sum over the query's slices of 2^(s+t) * popcount(row slice AND query slice)."""
-        own = self.slices[s] if which is None else self.slices[s][which]
-        total = np.zeros(len(own), np.int64)
-        for t, bitmap in query:
-            if self.words == 1:
-                total += np.bitwise_count(own[:, 0] & bitmap[0]).astype(np.int64) << (s + t)
+        offset = (self.rows - self.low).astype(np.uint64)
+        bits = max(1, int(offset.max()).bit_length() if rows.size else 1)
+        self.drop = max(0, bits - slices)
+        self.bits = bits - self.drop
+        self.words = -(-n // 64)
+        kept = np.zeros((dims, self.words * 64), np.uint64)
+        kept[:, :n] = (offset >> np.uint64(self.drop)).T
+        planes = [np.packbits(((kept >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64) for s in range(self.bits)]
+        #: By sign, slice and attribute.
+        self.planes = np.stack([np.stack(planes), ~np.stack(planes)])
+        self.present = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(np.uint64)
+
+    def added(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Slices of the sum, over attributes, of the query's value times the quantised value, least significant first, and
+        what is to be added to it. A product is a slice shifted by each digit of the query's value; slices of one weight
+        are added three at a time, leaving one of that weight and one carry."""
+        weights: dict[int, list[tuple[int, int, int]]] = {}
+        fixed = 0
+        for d, value in enumerate(query.tolist()):
+            for place, sign in signed_digits(value):
+                for s in range(self.bits):
+                    weights.setdefault(place + s, []).append((0 if sign > 0 else 1, s, d))
+                if sign < 0:
+                    fixed -= ((1 << self.bits) - 1) << place
+        out: list[np.ndarray] = []
+        carried = np.zeros((0, self.words), np.uint64)
+        w = 0
+        while w <= max(weights, default=-1) or len(carried):
+            own = weights.get(w)
+            heap = carried
+            if own:
+                g, s, d = np.array(own).T
+                heap = np.concatenate([carried, self.planes[g, s, d]])
+            carries = []
+            while len(heap) > 2:
+                m = len(heap) // 3
+                a, b, c = heap[:m], heap[m : 2 * m], heap[2 * m : 3 * m]
+                half = a ^ b
+                carries.append((a & b) | (half & c))
+                heap = np.concatenate([half ^ c, heap[3 * m :]])
+            if len(heap) == 2:
+                carries.append((heap[0] & heap[1])[None])
+                heap = (heap[0] ^ heap[1])[None]
+            out.append(heap[0] if len(heap) else np.zeros(self.words, np.uint64))
+            carried = np.concatenate(carries) if carries else np.zeros((0, self.words), np.uint64)
+            w += 1
+        return out, fixed
+
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows other than own, ties to smaller ids."""
+        allowed = self.present.copy()
+        for at in range(int(np.searchsorted(self.ids, own)), int(np.searchsorted(self.ids, own, side="right"))):
+            allowed[at // 64] &= ~np.uint64(1 << at % 64)
+        slices, _ = self.added(query)
+        able = allowed
+        if int(np.bitwise_count(allowed).sum()) > k:
+            # The k-th largest sum, a bit at a time from the most significant slice downward.
+            sure, open_, bound, have = np.zeros_like(allowed), allowed, 0, 0
+            for w in range(len(slices) - 1, -1, -1):
+                on = open_ & slices[w]
+                n = int(np.bitwise_count(on).sum())
+                if have + n >= k:
+                    open_, bound = on, bound | 1 << w
+                else:
+                    sure, have, open_ = sure | on, have + n, open_ & ~slices[w]
+            # A row's true score lies between its sum and its sum and what the slices left out can add.
+            slack = int(np.abs(query).sum()) * ((1 << self.drop) - 1) >> self.drop
+            able = allowed & self.at_least(slices, bound - slack - 1)
+        which = np.flatnonzero(np.unpackbits(able.view(np.uint8), bitorder="little"))
+        score = self.rows[which] @ query
+        best = np.lexsort((self.ids[which], -score))[:k]
+        return self.ids[which][best], score[best]
+
+    def at_least(self, slices: list[np.ndarray], bound: int) -> np.ndarray:
+        """Rows whose sum is at least bound."""
+        above, equal = np.zeros(self.words, np.uint64), ~np.zeros(self.words, np.uint64)
+        if bound <= 0:
+            return equal
+        for w in range(len(slices) - 1, -1, -1):
+            if bound >> w & 1:
+                equal = equal & slices[w]
             else:
-                total += np.bitwise_count(own & bitmap).sum(axis=1, dtype=np.int64) << (s + t)
-        return total
-
-
-def top_rows(rows: BitSlices, ids: np.ndarray, queries: BitSlices, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of its k best rows other than itself, ties to smaller ids.
-
-    Slices are added from the most significant downward. What the slices below can still add lies between 0 and
-    (2^s - 1) times the sum of the query's offset values; a row whose upper bound is below the k-th best lower bound is
-    out. The rows left at the boundary get their remaining slices and so their exact scores.
-    """
-    dims = rows.rows.shape[1] if rows.rows.ndim == 2 else 0
-    for i in range(len(own)):
-        bits = [(t, queries.slices[t][i]) for t in range(queries.bits) if queries.slices[t][i].any()]
-        offset_sum = int(queries.sums[i]) - queries.low * dims
-        # q.v = q'.v' + low_q * sum(v) + low_v * sum(q) - low_q * low_v * dims, with q', v' the offset values.
-        fixed = queries.low * rows.sums + rows.low * int(queries.sums[i]) - queries.low * rows.low * dims
-        left = np.flatnonzero(ids != own[i])
-        partial = fixed[left].astype(np.int64)
-        done = rows.bits
-        for s in range(rows.bits - 1, -1, -1):
-            partial = partial + rows.slice_product(bits, s, None if len(left) == len(ids) else left)
-            done = s
-            if s and rows.bits - s >= FIRST_SLICES and len(left) > k:
-                slack = ((1 << s) - 1) * offset_sum
-                floor = np.partition(partial, len(partial) - k)[len(partial) - k]
-                stay = partial + slack >= floor
-                if not stay.all():
-                    left, partial = left[stay], partial[stay]
-        assert done == 0
-        order = np.lexsort((ids[left], -partial))[:k]
-        yield i, ids[left][order], partial[order]
+                above |= equal & slices[w]
+                equal = equal & ~slices[w]
+        return above | equal
 
 
 def _searcher(k: int):
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
-            own, ids = queries["id"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
-            q, v = (np.stack(x["v"].tolist()).astype(np.int64) for x in (queries, rows))
-            for i, best, score in top_rows(BitSlices(v), ids, BitSlices(q), own, k):
-                out["query_id"] += [int(own[i])] * len(best)
+            index = SliceIndex(np.stack(rows["v"].tolist()).astype(np.int64), rows["id"].to_numpy(np.int64))
+            for own, v in zip(queries["id"].tolist(), queries["v"], strict=True):
+                best, score = index.top(np.asarray(v, np.int64), own, k)
+                out["query_id"] += [own] * len(best)
                 out["vec_id"] += best.tolist()
                 out["score"] += score.tolist()
         return pd.DataFrame(out).astype("int64")
@@ -111,8 +162,10 @@ def _up_to(n: int) -> Column:
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k highest integer inner products over all other rows: query_id, rank, vec_id, score.
 
-    Rows are dealt into blocks and queries into blocks; every pair of blocks is one task's work, which keeps each query's
-    best k of that block, and the best of those are ranked. So no task holds more than a block of either.
+    Rows are dealt into blocks and queries into blocks; every pair of blocks is one task's work. It builds the block's
+    index, adds the slices that a query's digits select, finds the k-th best sum from the most significant slice
+    downward, and scores exactly the rows whose sum comes as near to it as the quantisation leaves open. The best k of
+    each block are ranked. So no task holds more than a block of either.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Vectors are
     compared with those of the same length only. Rows that repeat an id are candidates each; a query's own id never is.

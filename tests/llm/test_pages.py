@@ -67,6 +67,87 @@ def test_frequent_sections_keep_their_verdicts_and_rare_ones_share_one(spark):
     assert {(out[len(urls) + i]["template"], out[len(urls) + i]["verdict"]) for i in range(200)} == {("/p/*", "block")}
 
 
+def same_rate(hits, n, all_hits, all_n):
+    others, other_hits, rate = all_n - n, all_hits - hits, (all_hits + 1) / (all_n + 2)
+    return abs((hits + rate) / (n + 1) - (other_hits + rate) / (others + 1)) < url_filter.MERGE_Z * (rate * (1 - rate) * (1 / (n + 1) + 1 / (others + 1))) ** 0.5
+
+
+def plain_tree(counts):
+    """(host, shape) -> [pages, labelled, blocked] to (host, shape) -> (template, verdict), by the docstrings, with dicts."""
+    few, wild, rare = url_filter.PRIOR, url_filter.WILD, url_filter.RARE
+
+    def sums(pairs):
+        out = {}
+        for key, of in pairs:
+            out[key] = [x + y for x, y in zip(out.get(key, [0, 0, 0]), of, strict=True)]
+        return out
+
+    nodes = sums(((h, s[: i + 1]), of) for (h, s), of in counts.items() for i in range(len(s)))
+    is_rare = {k for k, (n, m, _) in nodes.items() if n < few and m == 0 and k[1][-1] != wild}
+    first = {(h, s): next((i for i in range(len(s)) if (h, s[: i + 1]) in is_rare), None) for h, s in counts}
+    tails = sums(((h, s[: first[h, s]], i - first[h, s], s[i]), of) for (h, s), of in counts.items() if first[h, s] is not None for i in range(first[h, s] + 1, len(s)))
+    made = {}
+    for h, s in counts:
+        at = first[h, s]
+        tail = lambda i: tails[h, s[:at], i - at, s[i]]
+        made[h, s] = s if at is None else tuple(x if i < at else rare if i == at or (tail(i)[0] < few and tail(i)[1] == 0 and x != wild) else x for i, x in enumerate(s))
+    grouped = sums(((h, made[h, s]), of) for (h, s), of in counts.items())
+    nodes = sums(((h, t[: i + 1]), of) for (h, t), of in grouped.items() for i in range(len(t)))
+    takes = set()
+    for h, t in nodes:
+        family = {k: of for k, of in nodes.items() if k[0] == h and len(k[1]) == len(t) and k[1][:-1] == t[:-1]}
+        all_n, all_hits = sum(of[1] for of in family.values()), sum(of[2] for of in family.values())
+        alike = {k: 0 < of[1] < all_n and same_rate(of[2], of[1], all_hits, all_n) for k, of in family.items()}
+        clash = any(k[1][-1] == wild and not alike[k] for k in family)
+        taken = any(k[1][-1] == wild or alike[k] for k in family)
+        if (alike[h, t] and not clash) or (t[-1] == rare and not taken):
+            takes.add((h, t))
+    final = {(h, t): tuple(wild if (h, t[: i + 1]) in takes else x for i, x in enumerate(t)) for h, t in grouped}
+    own = sums(((h, final[h, t]), of) for (h, t), of in grouped.items())
+    hosts, every = sums((h, of) for (h, _), of in own.items()), sums((t, of) for (_, t), of in own.items())
+    base = (sum(of[2] for of in own.values()) + 1) / (sum(of[0] for of in own.values()) + few)
+    verdicts = {}
+    for (h, t), (_, m, b) in own.items():
+        of_host = (hosts[h][2] + few * base) / (hosts[h][0] + few)
+        before = (every[t][2] + few * of_host) / (every[t][1] + few)
+        verdicts[h, t] = "block" if (b + few * before) / (m + few) > url_filter.PURITY else "allow"
+    return {(h, s): (final[h, made[h, s]], verdicts[h, final[h, made[h, s]]]) for h, s in counts}
+
+
+def test_tree_matches_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    counts = {}
+    for k in range(900):
+        host, depth = f"h{int(rng.integers(0, 6))}", int(rng.integers(0, 5)) if k % 60 else 40
+        shape = tuple(str(rng.choice(["de", "en", "*", f"s{int(rng.integers(0, 40))}", "*.html", "view"])) for _ in range(depth))
+        n = int(rng.integers(1, 9))
+        m = int(rng.integers(0, n + 1)) if "de" in shape[:1] or host == "h1" else 0
+        b = m if "de" in shape[:1] else int(rng.integers(0, m + 1))
+        old = counts.get((host, shape), [0, 0, 0])
+        counts[host, shape] = [old[0] + n, old[1] + m, old[2] + b]
+    rows = spark.createDataFrame([(h, list(s), *of) for (h, s), of in counts.items()], "host string, shape array<string>, pages long, labelled long, blocked long")
+    got = {(r["host"], tuple(r["shape"])): (tuple(r["template"]), r["learned"]) for r in url_filter.template_tree(rows).collect()}
+    assert got == plain_tree(counts)
+    assert {v for _, v in got.values()} == {"allow", "block"}
+
+
+def test_templates_learn_across_hosts_and_repeats_count(spark):
+    urls = [f"http://a{i % 7}.example.com/de/{i}" for i in range(60)] + [f"http://b.example.org/{part}/{i}" for part in ("de", "en") for i in range(20)] * 2
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(out) == len(urls)
+    assert {r["verdict"] for r in out if "b.example.org/de/" in urls[r["page_id"]]} == {"block"}
+    assert {r["verdict"] for r in out if "/en/" in urls[r["page_id"]]} == {"allow"}
+    assert all(r["rule"] is None for r in out if r["host"] == "b.example.org")
+
+
+def test_equal_rules_and_long_paths(spark):
+    rules = [("allow", "h/a"), ("block", "h/b"), ("block", "x.h/"), ("allow", "h/bc")]
+    urls = ["http://h/bcd", "http://x.h/a", "http://x.h/b", "http://h/" + "s/" * 3000, "http://h/" + "y" * 100_000]
+    out = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert [out[i]["rule"] for i in range(5)] == ["h/bc", "x.h/", "x.h/", None, None]
+    assert len(out[3]["path"]) == 6001 and len(out[4]["path"]) == 100_001
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "ROW_BLOCK", 70)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 9)
@@ -107,6 +188,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_many_repeated_payloads_are_found_by_id_and_digest(spark, tmp_path):
+    rows = [(i % 40 if i % 7 else None, f"u{i}", f"p{i % 9}") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_at", F.lit(1)).withColumn("last", F.lit("x"))
+    folder = f"file://{tmp_path}/"
+    got = [sorted(map(tuple, warc.read_archives(warc.write_archives(df, folder + str(few), few_bytes=few), folder + str(few)).collect()), key=repr) for few in (0, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == 200 and {r[3] for r in got[0]} == {"response", "revisit"}
+
+
 def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     assert {r["page_id"]: r["record_type"] for r in warc.archive_pages(df, min_revisit=3).collect()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
