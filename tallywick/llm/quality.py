@@ -235,7 +235,8 @@ def fit(measured: DataFrame, labels: DataFrame) -> Additive:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(crc_mod(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_ROWS)
-    rows = measured.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    # Of rows that repeat an id, the features that come first in order.
+    rows = measured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float))
 

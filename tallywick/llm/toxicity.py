@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywick.llm.common import bound_batches, crc_mod, mix, word_chunks
+from tallywick.llm.common import bound_batches, bounded, crc_mod, cut, mix, word_chunks
 
 #: Rows of the embedding table: words and word beginnings are hashed into it.
 BUCKETS = 1 << 16
@@ -21,10 +21,17 @@ DIM = 12
 FILTERS = {1: 8, 2: 4, 3: 4}
 #: A word is embedded as the sum of its own row and that of its first letters, so that unseen endings are no blind spot.
 PREFIX = 4
-#: Bounds on what the model is fitted to: so many labelled rows of either label, in the order of a hash of their id, none
-#: of more bytes than this. They bound the driver's memory; every text is scored whole, whatever its length.
+#: Bound on what the model is fitted to: so many labelled rows of either label, in the order of a hash of their id. Of a
+#: longer text, this many windows of so many bytes, evenly spread and each with the text's label, stand for it in fitting.
+#: They bound the driver's memory; thresholds come from whole texts, and every text is scored whole, whatever its length.
 MAX_TRAIN_ROWS = 2000
-MAX_TRAIN_BYTES = 20_000
+WINDOWS, WINDOW_BYTES = 4, 5000
+#: Every so many-th labelled row, by a hash of its id, is never fitted to: all of these rows calibrate the thresholds.
+CALIBRATE_MOD = 5
+#: Scored logits are counted in bins of this width, per language and label, between these bounds.
+BIN, LOGIT_BOUND = 0.05, 40.0
+#: Toxic rows of a language after which its own threshold counts as much as that of all languages.
+SHRINK = 5
 #: Only buckets that so many training texts have are learned: what a single text has says nothing about others.
 MIN_TEXTS = 3
 #: How far a bucket's log-odds move where its embedding starts, and how many texts at the base rate smooth them.
@@ -161,7 +168,7 @@ def _parts(texts: list[str | None], most: int = 2_000_000) -> Iterator[slice]:
 
 
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fit embeddings, filters and output by Adam on the cross-entropy; thresholds on every fifth text, which is held back.
+    """Fit embeddings, filters and output by Adam on the cross-entropy; first thresholds on every fifth text, held back.
 
     A bucket starts at the smoothed log-odds of its texts' labels, in the first component that the filters lean on, so
     that what tells the labels apart wins the maxima from the start: only the window that wins a filter's maximum gets its
@@ -271,29 +278,34 @@ def _gradients(feats: list[Features], labels: np.ndarray, weight: np.ndarray, pa
 
 
 def _calibrate(model: Model, every: list[Features], labels: np.ndarray, held: np.ndarray) -> None:
-    """Per guessed language, the logit that separates the held-back texts best; with few of them, that of all languages."""
+    """Thresholds from the held-back texts, or from all where those have one label only."""
     use = np.flatnonzero(held) if held.any() and len(set(labels[held].tolist())) == 2 else np.arange(len(labels))
     logits = np.array([model.logits(every[i], 1)[0] for i in use])
     lang = np.array([every[i].languages()[0] for i in use])
-    y = labels[use]
-    model.threshold[:] = base = _best_cut(logits, y)
+    set_thresholds(model, lang, logits, labels[use], np.ones(len(use), np.int64))
+
+
+def set_thresholds(model: Model, lang: np.ndarray, logits: np.ndarray, labels: np.ndarray, count: np.ndarray) -> None:
+    """Per guessed language, the logit that separates its texts best, drawn to that of all languages by SHRINK toxic
+    texts' worth; texts come as counts per language, logit and label."""
+    model.threshold[:] = base = _best_cut(logits, labels, count)
     for k in range(len(LANGUAGES)):
         own = lang == k
-        if own.sum() >= 100 and y[own].sum() >= 10:
-            # Drawn to the common threshold where the language has little evidence.
-            n = y[own].sum()
-            model.threshold[k] = (n * _best_cut(logits[own], y[own]) + 10 * base) / (n + 10)
+        n = int((labels * count)[own].sum())
+        if n and (count * (labels == 0))[own].any():
+            model.threshold[k] = (n * _best_cut(logits[own], labels[own], count[own]) + SHRINK * base) / (n + SHRINK)
 
 
-def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
+def _best_cut(logits: np.ndarray, y: np.ndarray, count: np.ndarray) -> float:
     """The threshold with the highest F1, in the middle of the gap between its neighbours. Where no threshold beats calling
     every text toxic, the logits tell nothing, and none is called so."""
     order = np.argsort(-logits, kind="stable")
-    x, hit = logits[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(x) + 1) + max(1, y.sum()))
+    x, hit, upto = logits[order], np.cumsum((y * count)[order]), np.cumsum(count[order])
+    toxic = int(hit[-1])
+    f1 = 2 * hit / (upto + max(1, toxic))
     able = np.flatnonzero(x[:-1] > x[1:])
     if not len(able) or f1[able].max() <= f1[-1]:
-        return float(x[0] + 2) if y.sum() < len(y) else float(x[-1] - 2)
+        return float(x[0] + 2) if toxic < upto[-1] else float(x[-1] - 2)
     best = int(able[f1[able].argmax()])
     return float((x[best] + x[best + 1]) / 2)
 
@@ -301,40 +313,92 @@ def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
 _models: dict[int, Model] = {}
 
 
-def scorer(model: Model):
-    """A column function from text to score; the weights go to each executor once, their size fixed by the parameters."""
+def _held_model(shared, key: int) -> Model:
+    if key not in _models:
+        _models.clear()
+        _models[key] = pickle.loads(zlib.decompress(shared.value))
+    return _models[key]
+
+
+def _shared(model: Model):
+    """The weights, to be sent to each executor once; their size is fixed by the parameters."""
     spark = SparkSession.getActiveSession()
     bound_batches(spark)
     packed = zlib.compress(pickle.dumps(model), 1)
-    shared, key = spark.sparkContext.broadcast(packed), zlib.crc32(packed)
+    return spark.sparkContext.broadcast(packed), zlib.crc32(packed)
+
+
+def scorer(model: Model):
+    """A column function from text to score."""
+    shared, key = _shared(model)
 
     @F.pandas_udf(T.DoubleType())
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(zlib.decompress(shared.value))
         for texts in parts:
-            yield pd.Series(_models[key].scores(texts.tolist()))
+            yield pd.Series(_held_model(shared, key).scores(texts.tolist()))
 
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, seen: Column, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Texts and labels of up to ``most`` labelled rows of either label, the first by a hash of their id; seen says which ids may be learned from."""
+def binned(model: Model):
+    """A column function from text to language * 2^20 + bin of its logit, without thresholds."""
+    shared, key = _shared(model)
+
+    @F.pandas_udf(T.LongType())
+    def where(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            own, out = texts.tolist(), np.empty(len(texts), np.int64)
+            for part in _parts(own):
+                feats = Features(own[part])
+                logits = np.clip(_held_model(shared, key).logits(feats, len(own[part])), -LOGIT_BOUND, LOGIT_BOUND)
+                out[part] = (feats.languages().astype(np.int64) << 20) + np.floor((logits + LOGIT_BOUND) / BIN).astype(np.int64)
+            yield pd.Series(out)
+
+    return where
+
+
+def labelled(labels: DataFrame, label: str, seen: Column) -> DataFrame:
+    """doc_id, _label of the rows that may be learned from; seen is about doc_id. An id with both labels counts as 1."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
-    known = known.withColumnRenamed("_id", "doc_id").filter(seen).groupBy("doc_id").agg(F.max("_label").alias("_label"))
+    return known.withColumnRenamed("_id", "doc_id").filter(seen).groupBy("doc_id").agg(F.max("_label").alias("_label"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """doc_id, text, _label of up to ``most`` labelled rows of either label, the first by a hash of their id. Of rows that
+    repeat an id, the text that comes first by code point."""
     chosen = known.filter("_label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = chosen.union(known.filter("_label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES)
     # At most twice `most` rows of two numbers: a proven bound, so they go to the texts rather than the texts to them.
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+
+
+def _windows(text: Column) -> Column:
+    """A text, or WINDOWS stretches of one that is longer than all of them."""
+    most = WINDOWS * WINDOW_BYTES
+    step = (F.length(text) - WINDOW_BYTES) / (WINDOWS - 1)
+    cuts = F.array(*[F.substring(text, (step * k + 1).cast("int"), F.lit(WINDOW_BYTES)) for k in range(WINDOWS)])
+    return F.when(F.length(text) > most, cuts).otherwise(F.array(text))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on labels.toxic, from rows whose crc32(doc_id as text) mod 5 is not 0."""
-    rows = training_rows(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
+    """Train on labels.toxic, from rows whose crc32(doc_id as text) mod 5 is not 0.
+
+    A fifth of those rows is left out of the fit. Whole texts of all of them are scored and counted by guessed language,
+    label and bin of the logit, which is all that reaches the driver; so the thresholds rest on all data and on its own
+    share of toxic texts, at any size. Where that fifth has one label only, the fit's own held-back texts serve.
+    """
+    known = cut(labelled(labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0), "labelled")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_MOD)) == 0
+    rows = training_rows(docs, known.filter(~held)).select("doc_id", F.explode(_windows(F.col("text"))).alias("text"), "_label").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    model = train([r["text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
+    others = bounded(known.filter(held))
+    counts = docs.select("doc_id", "text").join(others, "doc_id").select(binned(model)("text").alias("at"), "_label").groupBy("at", "_label").count().collect()
+    y, n, at = (np.array([r[c] for r in counts], np.int64) for c in ("_label", "count", "at"))
+    if len(set(y.tolist())) == 2:
+        set_thresholds(model, at >> 20, (at & (1 << 20) - 1) * BIN - LOGIT_BOUND + BIN / 2, y, n)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,6 +414,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not judged toxic, with all columns."""
+    """The documents not judged toxic, with all columns.
+
+    Each row is judged by its own text: repeated rows stay or go together, null, empty and blank texts score what the
+    bias alone says, and an empty table stays empty. Without labels of both classes nothing is learned: with none, or
+    none toxic, all rows stay. Only a score decides, so no row is shuffled.
+    """
     score = scorer(fit(docs, labels))
     return docs.filter(score(docs["text"]) < 0.5)
