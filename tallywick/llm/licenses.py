@@ -127,18 +127,25 @@ SPELLINGS: list[tuple[str, str]] = [
     ("copyright owner", "copyright holder"),
 ]
 NOTICE_LINE = r"(^|\n)[ \t]*(copyright [^a-z]|copyright \(c\)|\(c\)|©|all rights reserved)[^\n]*"
+#: A copyright line with a holder's name alone: a capital tells it from a sentence wrapped before the word.
+HOLDER_LINE = r"(^|\n)[ \t]*Copyright (by )?[A-Z][^\n]*"
 #: Typographic quotes, dashes and bullets (U+2010 to U+2027) are punctuation; other letters beyond ASCII belong to words.
 NOT_WORD = r"[^a-z0-9\x{80}-\x{200F}\x{2028}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """A licence text as compared: lower case, no copyright lines, no punctuation, one spelling, single spaces; null counts as empty."""
-    x = F.lower(F.coalesce(text, F.lit("")))
+    x = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), HOLDER_LINE, "\n"))
     x = F.regexp_replace(x, NOTICE_LINE, "\n")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, NOT_WORD, " "), F.lit(" "))
+    # Two spaces between words, one for either, so that neighbours are both matched.
+    x = F.concat(F.lit(" "), F.regexp_replace(x, NOT_WORD, "  "), F.lit(" "))
     for other, one in SPELLINGS:
-        x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(x)
+        x = F.replace(x, F.lit(f" {_wide(other)} "), F.lit(f" {one} "))
+    return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
+
+
+def _wide(words: str) -> str:
+    return words.replace(" ", "  ")
 
 
 def known_digests(spark) -> DataFrame:
@@ -172,12 +179,12 @@ def oracle_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def sql(col: str) -> str:
-        x = f"lower(coalesce({col}, ''))"
+        x = f"lower(regexp_replace(coalesce({col}, ''), {quote(HOLDER_LINE)}, chr(10), 'g'))"
         x = f"regexp_replace({x}, {quote(NOTICE_LINE)}, chr(10), 'g')"
-        x = f"(' ' || regexp_replace({x}, {quote(NOT_WORD)}, ' ', 'g') || ' ')"
+        x = f"(' ' || regexp_replace({x}, {quote(NOT_WORD)}, '  ', 'g') || ' ')"
         for other, one in SPELLINGS:
-            x = f"replace({x}, ' {other} ', ' {one} ')"
-        return f"sha256(trim({x}))"
+            x = f"replace({x}, ' {_wide(other)} ', ' {one} ')"
+        return f"sha256(trim(replace({x}, '  ', ' ')))"
 
     rows = ", ".join(f"({quote(i)}, {quote(body)})" for i, body in LICENCES)
     return f"""WITH known AS (SELECT {sql('body')} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, body) GROUP BY 1),

@@ -37,8 +37,8 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(_table(spark, sf_dir, "documents"))
 
 
-@_query("op2_licence_notices", licenses.notices_sql())
-def op2_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("licence_notices", licenses.notices_sql())
+def licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_notices(_table(spark, sf_dir, "documents"))
 
 

@@ -227,6 +227,17 @@ def test_licences(docs_of):
     assert licenses.scan_licences(docs_of([])).count() == 0
 
 
+def test_normalisation_is_idempotent_and_names_are_no_text(spark, docs_of):
+    texts = ["licence licence x", "sub licence sub license per cent per cent", "Copyright owner\nCopyright Jane Doe\nnon commercial, non-commercial", "a -- b"]
+    once = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(F.col("t")).alias("t"))
+    assert [r[0] for r in once.collect()] == [r[0] for r in once.select(licenses.canonical(F.col("t"))).collect()]
+    assert once.collect()[0][0] == "license license x"
+    rows = [(1, "The MIT License\n\nCopyright Jane Doe\n\n" + licenses._MIT_BODY), (2, "MIT License\nCopyright by Acme Ltd.\n" + licenses._MIT_BODY.replace("OR COPYRIGHT", "OR\nCOPYRIGHT"))]
+    assert [r["license_id"] for r in sorted(licenses.scan_licences(docs_of(rows)).collect())] == [None, "MIT"]
+    rows = [(1, "Copyright Jane Doe\n" + licenses._MIT_BODY)]
+    assert licenses.scan_licences(docs_of(rows)).first()["license_id"] == "MIT"
+
+
 def test_whole_licences_and_notices_within_prose(spark, docs_of):
     rows = [(i, body) for i, (_, body) in enumerate(licenses.LICENCES)]
     out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licences(docs_of(rows)).collect()}
@@ -242,5 +253,5 @@ def test_licence_queries_match_their_sql(spark):
 
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    for name in ("op2_licences", "op2_licence_notices"):
+    for name in ("op2_licences", "licence_notices"):
         assert sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()), key=repr) == sorted(con.execute(queries.ORACLES[name]).fetchall(), key=repr)
