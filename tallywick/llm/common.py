@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths that are to be deleted together, where someone keeps count of them.
+_tracked: list[str] | None = None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tallywick/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallywick/{label}-{uuid.uuid4().hex}"
+    if _tracked is not None:
+        _tracked.append(path)
+    return path
+
+
+@contextmanager
+def tracked(into: list[str]) -> Iterator[None]:
+    """Note the scratch paths made within, for their maker to delete once nothing reads them any more."""
+    global _tracked
+    before, _tracked = _tracked, into
+    try:
+        yield
+    finally:
+        _tracked = before
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch paths, which only scratch_path() makes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
 
 
 #: Rows that Spark hands to Python at a time. Its default of 10,000 is for narrow rows: of whole texts that is too much memory.
