@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """At the end of a Python task: hand freed memory back to the machine, as a worker may then be idle beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        gc.collect()
+        trim(0)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: what follows neither recomputes it nor depends on its executors."""
     bound_batches(df.sparkSession)

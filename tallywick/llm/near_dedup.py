@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywick.llm.common import bounded, cut, mix, word_chunks
+from tallywick.llm.common import bounded, cut, give_back, mix, word_chunks
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -118,6 +118,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     rows.append((doc_id, 0, None, None, None, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"]).astype({"doc_id": "Int64", "d1": "Int64", "d2": "Int64"})
+    give_back()
 
 
 COMPARED = "a long, b long, common long, linked boolean, outside array<long>"
@@ -141,6 +142,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 both = len(two) - len(outside)
                 rows.append((a, int(b), both, 100 * both >= SHARE * (len(one) + len(outside)), _signed(outside)))
             yield pd.DataFrame(rows, columns=["a", "b", "common", "linked", "outside"])
+    give_back()
 
 
 def _sketches_near(a: str, b: str) -> Column:

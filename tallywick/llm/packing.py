@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywick.llm.common import cut
+from tallywick.llm.common import cut, give_back
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -22,7 +22,7 @@ END_ID = 1
 #: this size that is under one sequence in a thousand, and a group is a few MB.
 GROUP_PIECES = 16_384
 #: Distinct words, and distinct parts of words, whose ids a Python worker keeps; rarer ones are encoded anew each time.
-CACHED = 300_000
+CACHED = 100_000
 #: Words encoded at a time; bounds memory, not what is encoded.
 CHUNK_WORDS = 200_000
 
@@ -196,6 +196,7 @@ def _cutter(path: str, capacity: int, end_id: int):
                         own = ids[start : start + capacity]
                         rows.append((doc_id, k, start, len(own), zlib.crc32(own.astype("<u4").tobytes())))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        give_back()
 
     return pieces
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywick.llm.common import crc_mod, cut, mix, word_chunks
+from tallywick.llm.common import crc_mod, cut, give_back, mix, word_chunks
 
 FEATURES = [
     "log_words",
@@ -222,6 +222,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 512):
             part = batch.iloc[at : at + 512]
             yield pd.DataFrame({"doc_id": part["doc_id"], "x": list(text_features(part["text"].tolist()))})
+    give_back()
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywick.llm.common import bound_batches, bounded, crc_mod, cut, mix, word_chunks
+from tallywick.llm.common import bound_batches, bounded, crc_mod, cut, give_back, mix, word_chunks
 
 #: Rows of the embedding table: words and word beginnings are hashed into it.
 BUCKETS = 1 << 16
@@ -336,6 +336,7 @@ def scorer(model: Model):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(_held_model(shared, key).scores(texts.tolist()))
+        give_back()
 
     return score
 
@@ -353,6 +354,7 @@ def binned(model: Model):
                 logits = np.clip(_held_model(shared, key).logits(feats, len(own[part])), -LOGIT_BOUND, LOGIT_BOUND)
                 out[part] = (feats.languages().astype(np.int64) << 20) + np.floor((logits + LOGIT_BOUND) / BIN).astype(np.int64)
             yield pd.Series(out)
+        give_back()
 
     return where
 
