@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
 
@@ -52,18 +53,33 @@ def build(bodies: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, "chain long, seq long, body string, prev_hash string, record_hash string")
 
 
-def verify(records: DataFrame) -> DataFrame:
-    """Every break: chain, seq, kind (sequence, link, hash). A record is held against the *stored* hash before it, found by
-    a join on its number, so no chain is walked and one edit makes at most two breaks."""
-    before = records.select("chain", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("expected"))
-    joined = records.join(before, ["chain", "seq"], "left")
-    first = F.col("seq") == 1
-    kinds = F.array(
-        F.when(~first & F.col("expected").isNull(), "sequence"),
-        F.when(F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("expected")), "link"),
+#: Records of a chain that one task orders; a longer chain is verified as several such stretches.
+STRETCH = 65_536
+
+
+def verify(records: DataFrame, bodies: bool = True) -> DataFrame:
+    """Every break: chain, seq, kind. A record must follow the one before it in the log (``sequence``), carry that one's
+    *stored* hash (``link``), have the hash of its body (``hash``), and hold canonical JSON (``body``, where asked for).
+
+    The log's order is that of seq; of records that repeat a seq, each is held against the one before it, so a repetition
+    breaks the sequence. So does a gap, which breaks the link too. One edit makes at most two breaks, as the stored hash
+    is followed. Chains are cut into stretches; a stretch's first record is held against the last of those before it,
+    found from one row per stretch, so a chain with a third of all records is many tasks' work.
+    """
+    own = records.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    here = F.struct("seq", "record_hash")
+    lasts = own.groupBy("chain", "stretch").agg(F.max(here).alias("last"))
+    carried = lasts.select("chain", "stretch", F.lag("last").over(Window.partitionBy("chain").orderBy("stretch")).alias("carried"))
+    before = F.lag(here).over(Window.partitionBy("chain", "stretch").orderBy("seq", "record_hash"))
+    joined = own.withColumn("before", before).join(carried, ["chain", "stretch"]).withColumn("before", F.coalesce("before", "carried"))
+    kinds = [
+        F.when(F.col("seq") != F.coalesce(F.col("before.seq"), F.lit(0)) + 1, "sequence"),
+        F.when(F.col("prev_hash") != F.coalesce(F.col("before.record_hash"), F.lit(GENESIS)), "link"),
         F.when(F.col("record_hash") != link(F.col("prev_hash"), F.col("body")), "hash"),
-    )
-    return joined.select("chain", "seq", F.explode(F.array_compact(kinds)).alias("kind"))
+    ]
+    if bodies:
+        kinds.append(F.when(~canonical_json("body").eqNullSafe(F.col("body")), "body"))
+    return joined.select("chain", "seq", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
 def heads(records: DataFrame) -> DataFrame:
@@ -71,6 +87,32 @@ def heads(records: DataFrame) -> DataFrame:
     return records.groupBy("chain").agg(F.max("seq").alias("seq"), F.max_by("record_hash", "seq").alias("head"))
 
 
+def append(records: DataFrame, bodies: DataFrame) -> DataFrame:
+    """New bodies (chain, seq from 1, body) linked after each chain's head: only those are hashed, the log is not walked."""
+    told = heads(records).withColumnRenamed("seq", "base")
+    new = bodies.join(told, "chain", "left").select("chain", (F.col("seq") + F.coalesce("base", F.lit(0))).alias("seq"), "body", F.coalesce("head", F.lit(GENESIS)).alias("head"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, prev = None, GENESIS
+        for batch in batches:
+            before, own = [], []
+            for chain, body, head in zip(batch["chain"], batch["body"], batch["head"], strict=True):
+                prev = prev if chain == at else head
+                before.append(prev)
+                at, prev = chain, hashlib.sha256(bytes.fromhex(prev) + body.encode()).hexdigest()
+                own.append(prev)
+            yield batch.drop(columns="head").assign(prev_hash=before, record_hash=own)
+
+    ordered = new.repartition("chain").sortWithinPartitions("chain", "seq")
+    return ordered.mapInPandas(fold, "chain long, seq long, body string, prev_hash string, record_hash string")
+
+
+def importable(incoming: DataFrame, held: DataFrame) -> DataFrame:
+    """Chains that may be imported: those whole and unbroken from their first record, of which nothing is held yet."""
+    broken = verify(incoming).select("chain").distinct()
+    return incoming.select("chain").distinct().join(broken, "chain", "left_anti").join(held.select("chain"), "chain", "left_anti")
+
+
 def check_anchors(records: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors that the chain does not honour: past its end (truncated), or another hash there (anchor). An anchor at 0
     is the genesis and says nothing."""

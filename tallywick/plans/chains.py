@@ -29,12 +29,34 @@ def chain_links(spark, sf_dir):
     return built(spark, sf_dir)
 
 
-@query("chain_verify", "SELECT CAST(0 AS BIGINT) AS breaks, count(*) AS records FROM events")
+# Breaks by the rule of a log that is read from its start: its order, the hash stored before, the body's own hash and form.
+_BREAKS = """v AS (SELECT *, coalesce(lag(seq) OVER w, 0) + 1 AS next, coalesce(lag(record_hash) OVER w, repeat('0', 64)) AS expected FROM t WINDOW w AS (PARTITION BY chain ORDER BY seq, record_hash))
+SELECT chain, seq, 'sequence' AS kind FROM v WHERE seq <> next UNION ALL SELECT chain, seq, 'link' FROM v WHERE prev_hash <> expected UNION ALL SELECT chain, seq, 'hash' FROM v WHERE record_hash <> sha256(unhex(prev_hash) || encode(body)) UNION ALL SELECT chain, seq, 'body' FROM v WHERE NOT json_valid(body)"""
+
+
+@query("chain_verify", f"WITH RECURSIVE {_CHAIN}, t AS (SELECT * FROM built UNION ALL SELECT * FROM built WHERE (chain + seq) % 97 = 5), b AS ({'WITH ' + _BREAKS}) SELECT (SELECT count(*) FROM b) AS breaks, (SELECT count(*) FROM t) AS records")
 def chain_verify(spark, sf_dir):
+    # The log with some of its records written twice.
     records = built(spark, sf_dir)
+    records = records.unionByName(records.filter("(chain + seq) % 97 = 5"))
     return op.verify(records).agg(F.count(F.lit(1)).alias("breaks")).crossJoin(records.agg(F.count(F.lit(1)).alias("records")))
 
 
+@query("chain_append", f"WITH RECURSIVE {_CHAIN} SELECT * FROM built WHERE seq > 5")
+def chain_append(spark, sf_dir):
+    every = bodies(spark, sf_dir)
+    later = every.filter("seq > 5").withColumn("seq", F.col("seq") - 5)
+    return op.append(op.build(every.filter("seq <= 5")), later)
+
+
+@query("chain_importable", f"WITH RECURSIVE {_CHAIN} SELECT chain FROM built GROUP BY chain HAVING chain % 5 <> 2 AND (chain % 3 <> 1 OR max(seq) < 4)")
+def chain_importable(spark, sf_dir):
+    # Of each third chain record 4 is edited; of each fifth something is held already.
+    records = built(spark, sf_dir)
+    edited = F.when((F.col("chain") % 3 == 1) & (F.col("seq") == 4), F.concat("body", F.lit(" "))).otherwise(F.col("body"))
+    return op.importable(records.withColumn("body", edited), records.filter("chain % 5 = 2 AND seq = 1"))
+
+
 @query("chain_heads", f"WITH RECURSIVE {_CHAIN} SELECT chain, max(seq) AS seq, max_by(record_hash, seq) AS head FROM built GROUP BY 1")
 def chain_heads(spark, sf_dir):
     return op.heads(built(spark, sf_dir))
@@ -46,8 +68,7 @@ _TAMPER = "CASE WHEN (chain * 31 + seq) % 101 = 7 THEN 'edit' WHEN (chain * 31 +
 
 @query("chain_tampered", f"""WITH RECURSIVE {_CHAIN}, marked AS (SELECT *, {_TAMPER} AS how FROM built), t AS (SELECT chain, seq, prev_hash, CASE WHEN how IN ('edit', 'rehash') THEN body || 'x' ELSE body END AS body,
   CASE WHEN how = 'rehash' THEN sha256(unhex(prev_hash) || encode(body || 'x')) ELSE record_hash END AS record_hash FROM marked WHERE coalesce(how, '') <> 'delete'),
-v AS (SELECT a.*, CASE WHEN a.seq = 1 THEN repeat('0', 64) ELSE b.record_hash END AS expected FROM t a LEFT JOIN t b ON a.chain = b.chain AND a.seq = b.seq + 1)
-SELECT chain, seq, 'sequence' AS kind FROM v WHERE expected IS NULL UNION ALL SELECT chain, seq, 'link' FROM v WHERE prev_hash <> expected UNION ALL SELECT chain, seq, 'hash' FROM v WHERE record_hash <> sha256(unhex(prev_hash) || encode(body))""")
+{_BREAKS}""")
 def chain_tampered(spark, sf_dir):
     marked = built(spark, sf_dir).withColumn("how", F.expr(_TAMPER)).filter("coalesce(how, '') <> 'delete'")
     body = F.when(F.col("how").isin("edit", "rehash"), F.concat("body", F.lit("x"))).otherwise(F.col("body"))
