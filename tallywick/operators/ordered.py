@@ -87,7 +87,7 @@ class _Replay:
         self.n += 1
 
 
-def cache_replay(calls: DataFrame, scope: str, order: list[str], threshold: float, most: int = 20_000) -> DataFrame:
+def cache_replay(calls: DataFrame, scope: str, order: list[str], threshold: float, most: int | None = None) -> DataFrame:
     """Calls (question, family, storable, marked, v) of a scope in order, as a cache would have served them: outcome is
     exact, semantic, false (another family), miss, or out (unmarked: neither looked up nor stored). Only a storable miss is
     stored, up to ``most`` entries a scope, which is the cache's own size; among equals the earliest entry wins."""
@@ -101,7 +101,7 @@ def cache_replay(calls: DataFrame, scope: str, order: list[str], threshold: floa
         best, sim = cache.nearest(v)
         if best >= 0 and sim >= threshold:
             return ("semantic" if cache.family[best] == row.family else "false"), sim
-        if row.storable and cache.n < most:
+        if row.storable and (most is None or cache.n < most):
             cache.store(row.question, v, row.family)
         return "miss", (sim if best >= 0 else None)
 
@@ -109,43 +109,65 @@ def cache_replay(calls: DataFrame, scope: str, order: list[str], threshold: floa
 
 
 class EventDecoder:
-    """Server-sent events from text that arrives in pieces: any line ending, comments, several data lines."""
+    """Server-sent events from bytes that arrive in pieces: lines end at LF or CRLF, an event at its first blank line.
 
-    def __init__(self, held: str = ""):
-        self.held = held
+    Comments and other fields say nothing; several data lines are one event's; a field without a colon has no value.
+    Bytes that are no UTF-8 become replacement characters, once their line is whole, so a character may be split.
+    """
 
-    def feed(self, text: str) -> list[str]:
+    def __init__(self, held: bytes = b"", data: list[str] | None = None):
+        self.held, self.data = held, list(data or ())
+
+    def feed(self, piece: bytes) -> list[str]:
         """The data of the events that this piece completes."""
-        self.held = (self.held + text).replace("\r\n", "\n")
-        # A final CR may be half of a CRLF: it waits for the next piece.
-        wait = "\r" if self.held.endswith("\r") else ""
-        body = self.held[: len(self.held) - len(wait)].replace("\r", "\n")
-        *whole, rest = body.split("\n\n")
-        self.held = rest + wait
+        *lines, self.held = (self.held + piece).split(b"\n")
         out = []
-        for event in whole:
-            data = [line[5:].removeprefix(" ") for line in event.split("\n") if line.startswith("data:")]
-            if data:
-                out.append("\n".join(data))
+        for line in lines:
+            line = line.removesuffix(b"\r")
+            name, _, value = line.partition(b":")
+            if name == b"data":
+                self.data.append(value.removeprefix(b" ").decode("utf-8", "replace"))
+            elif not line:
+                out += self._event()
         return out
 
+    def finish(self) -> list[str]:
+        """The stream is over: what it holds is its last event, though no blank line came."""
+        return [*(self.feed(b"\n") if self.held else []), *self._event()]
+
+    def _event(self) -> list[str]:
+        whole, self.data = ["\n".join(self.data)] if self.data else [], []
+        return whole
+
 
 def decode_events(chunks: DataFrame) -> DataFrame:
-    """Events of streams that came as chunks (stream_id, seq, body, arrival_ms): stream_id, n, data, arrival_ms."""
+    """Events of streams that came as chunks (stream_id, seq, body as text or binary, arrival_ms): stream_id, n, data,
+    arrival_ms. A stream's last event counts when the stream is over, as of its last chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, decoder, n = object(), None, 0
+        at, decoder, n, last, rows = None, None, 0, None, []
+
+        def put(events: list[str]) -> None:
+            nonlocal n
+            for data in events:
+                rows.append((at, n, data, last))
+                n += 1
+
         for batch in batches:
+            for stream_id, body, arrival in zip(batch["stream_id"], batch["body"], batch["arrival_ms"], strict=True):
+                if decoder is None or stream_id != at:
+                    if decoder is not None:
+                        put(decoder.finish())
+                    at, decoder, n = stream_id, EventDecoder(), 0
+                last = arrival
+                put(decoder.feed(body or b""))
+            yield pd.DataFrame(rows, columns=["stream_id", "n", "data", "arrival_ms"])
             rows = []
-            for row in batch.itertuples(index=False):
-                if row.stream_id != at:
-                    at, decoder, n = row.stream_id, EventDecoder(), 0
-                for data in decoder.feed(row.body):
-                    rows.append((at, n, data, row.arrival_ms))
-                    n += 1
+        if decoder is not None:
+            put(decoder.finish())
             yield pd.DataFrame(rows, columns=["stream_id", "n", "data", "arrival_ms"])
 
-    ordered = chunks.select("stream_id", "seq", "body", "arrival_ms").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    ordered = chunks.select("stream_id", "seq", F.col("body").cast("binary").alias("body"), "arrival_ms").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
     return ordered.mapInPandas(run, "stream_id long, n long, data string, arrival_ms long")
 
 

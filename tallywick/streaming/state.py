@@ -43,16 +43,23 @@ def sliding_quota(requests: DataFrame, limit: int, window: float = 60.0) -> Data
 
 
 def decode_stream(chunks: DataFrame) -> DataFrame:
-    """Events of streams whose chunks (stream_id, seq, body) arrive over many batches; the state is the undecoded rest."""
+    """Events of streams whose chunks (stream_id, seq, body as text or binary) arrive over many batches. The state is what
+    is not decoded yet; a chunk without a body ends its stream, whose last event then counts and whose state is dropped."""
 
     def decode(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decoder = EventDecoder(state.get[0] if state.exists else "")
-        rows = pd.concat(list(parts)).sort_values("seq")
-        data = [d for body in rows["body"] for d in decoder.feed(body)]
-        state.update((decoder.held,))
+        held, pending = state.get if state.exists else (b"", [])
+        decoder, data, over = EventDecoder(held, pending), [], False
+        for body in pd.concat(list(parts)).sort_values("seq")["body"]:
+            over = body is None
+            data += decoder.finish() if over else decoder.feed(body)
+        if not over:
+            state.update((decoder.held, decoder.data))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"stream_id": [key[0]] * len(data), "data": data})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(decode, "stream_id long, data string", "held string", "append", GroupStateTimeout.NoTimeout)
+    raw = chunks.withColumn("body", F.col("body").cast("binary"))
+    return raw.groupBy("stream_id").applyInPandasWithState(decode, "stream_id long, data string", "held binary, pending array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def into_merge(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

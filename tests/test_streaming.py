@@ -29,6 +29,16 @@ def test_events_across_batches(spark, tmp_path):
     assert got == [(1, "a"), (1, "b"), (2, "xy")]
 
 
+def test_a_stream_ends_with_its_last_event(spark, tmp_path):
+    euro = "data: €\n\n".encode()
+    parts = [[(1, 0, euro[:7]), (2, 0, b"data\n\ndata:  x\rdata: y\r\n: note\r\n")], [(1, 1, euro[7:] + b"data: end"), (2, 1, b"\r\n")], [(1, 2, None)]]
+    got = sorted((r["stream_id"], r["data"]) for r in run("events_end", state.decode_stream(stream(spark, tmp_path, parts, "stream_id long, seq long, body binary")), "append", spark))
+    assert got == [(1, "end"), (1, "€"), (2, ""), (2, " x\rdata: y")]
+    rows = [(s, q, b, 10 * q) for part in parts for s, q, b in part if b is not None] + [(3, 0, b"data: a\ndata: b", 7)]
+    batch = ordered.decode_events(spark.createDataFrame(rows, "stream_id long, seq long, body binary, arrival_ms long")).collect()
+    assert sorted(map(tuple, batch)) == [(1, 0, "€", 10), (1, 1, "end", 10), (2, 0, "", 0), (2, 1, " x\rdata: y", 10), (3, 0, "a\nb", 7)]
+
+
 def test_maintained_spend_equals_recomputed(spark, tmp_path):
     schema = "project string, ts_utc string, cost_usd double"
     parts = [[(f"p{i % 3}", f"2024-0{1 + i % 2}-05", i / 7) for i in range(a, a + 15)] for a in (0, 15)]
