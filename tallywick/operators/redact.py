@@ -6,6 +6,7 @@ offsets, and so run in Python over Arrow batches, a document at a time; everythi
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from tallywick.functions.text import luhn_digits
 
 SPAN = "struct<start:int,end:int,entity_type:string,score:double,recogniser:string>"
 _COMPILED = [(name, kind, re.compile(p, re.I if "i" in flags else 0), group, score) for name, kind, flags, p, group, score in RECOGNISERS]
+# The types that an allow list may release.
+RELEASABLE = frozenset({"LOCATION", "ORGANISATION"})
 _PRIORITY = {name: i for i, (name, *_) in enumerate(_COMPILED)}
 _HEALTH = re.compile(HEALTH_LABEL, re.I)
 #: What a second pass masks wherever it stands: tokens shaped like an identifier, and addresses no recogniser took.
@@ -42,14 +45,26 @@ def detect(text: str) -> list[tuple[int, int, str, float, str]]:
 
 
 def resolve(spans: list[tuple]) -> list[tuple]:
-    """One span per stretch: strictly contained spans go first, whatever their score; then the better score, the longer
-    span and the earlier recogniser win."""
-    free = [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[1] - o[0] > s[1] - s[0] for o in spans)]
+    """One span per stretch of text. A span strictly inside another one goes, whatever its score. Of those that overlap
+    then, the best stays: by score, then length, then the recogniser's place in the list, then position.
+
+    One sweep by start finds what is contained, since the furthest end so far tells; the others are in order of both
+    ends, so what a span overlaps are its neighbours, and taking the best first needs a look at the nearest kept ones.
+    """
+    outer, reach = [], (-1, 0)
+    for s in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if s[1] > reach[1] or (s[0], s[1]) == reach:
+            outer.append(s)
+            reach = (s[0], s[1])
     kept: list[tuple] = []
-    for s in sorted(free, key=lambda s: (-s[3], s[0] - s[1], _PRIORITY[s[4]], s[0])):
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+    starts: list[int] = []
+    for s in sorted(outer, key=lambda s: (-s[3], s[0] - s[1], _PRIORITY[s[4]], s[0])):
+        at = bisect.bisect_left(starts, s[1])
+        if at == 0 or kept[at - 1][1] <= s[0]:
+            at = bisect.bisect_left(starts, s[0])
+            starts.insert(at, s[0])
+            kept.insert(at, s)
+    return kept
 
 
 def _identifier(token: str) -> bool:
@@ -60,24 +75,30 @@ def _identifier(token: str) -> bool:
 def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str, str], list[tuple]]:
     """Masked text, vault (placeholder to value) and spans. Placeholders are numbered per type by first mention; equal
     values, but for case and spacing, share one. Placeholder-shaped text of the document itself is masked too, so that
-    nothing in it can be mistaken for one of ours."""
-    spans = [s for s in resolve(detect(text)) if text[s[0] : s[1]].casefold() not in allow]
+    nothing in it can be mistaken for one of ours. What is allowed releases places and organisations, and tokens that only
+    look like an identifier; never a value that a recogniser took for a person's."""
+    spans = [s for s in resolve(detect(text)) if s[2] not in RELEASABLE or text[s[0] : s[1]].casefold() not in allow]
     foreign = [(m.start(), m.end(), "ID_LIKE", 0.5, "placeholder") for m in _PLACEHOLDER.finditer(text)]
     taken = [(s, e) for s, e, *_ in spans]
-    clear = lambda s, e: all(e <= a or b <= s for a, b in taken)
+    taken.sort()
+
+    def clear(s: int, e: int) -> bool:
+        at = bisect.bisect_left(taken, (e, -1))
+        return at == 0 or taken[at - 1][1] <= s
+
     for s in foreign:
         if clear(s[0], s[1]):
             spans.append(s)
-            taken.append(s[:2])
+            bisect.insort(taken, s[:2])
     # A value that was recognised once is masked wherever else it stands, also where its surroundings hid it.
     known = {text[s[0] : s[1]].casefold(): s for s in spans}
     if known:
         for m in re.finditer("|".join(re.escape(v) for v in sorted(known, key=len, reverse=True)), text, re.I):
             if clear(*m.span()) and m.group().casefold() in known:
                 spans.append((*m.span(), *known[m.group().casefold()][2:]))
-                taken.append(m.span())
+                bisect.insort(taken, m.span())
     at = 0
-    for lo, hi in [*sorted(taken), (len(text), len(text))]:
+    for lo, hi in [*taken, (len(text), len(text))]:
         for m in _TOKEN.finditer(text, at, lo):
             if _identifier(m.group()) and m.group().casefold() not in allow:
                 spans.append((*m.span(), "EMAIL" if "@" in m.group() else "ID_LIKE", 0.5, "second-pass"))
