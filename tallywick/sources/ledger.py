@@ -66,3 +66,13 @@ def read_ledgers(spark: SparkSession, *paths: str) -> DataFrame:
             raise ValueError(f"{path} has columns this version does not know: {', '.join(extra)}")
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def rows_after(rows: DataFrame, watermark: int, id_col: str = "event_id") -> DataFrame:
+    """Rows beyond the last one seen; the filter reaches the scan."""
+    return rows.filter(F.col(id_col) > watermark)
+
+
+def rows_for_batch(rows: DataFrame, batch_id: str, order: str = "event_id") -> DataFrame:
+    """One batch's rows in the order in which they were submitted."""
+    return rows.filter(F.col("batch_id") == batch_id).orderBy(order)

@@ -4,11 +4,14 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallywick.functions import gateway
 from tallywick.functions import statistics as st
 from tallywick.functions import text as tx
 from tallywick.functions.patterns import RULE_NAMES
-from tallywick.operators import chain, merge, ordered, policy, redact, reports, screen, vectors
+from tallywick.operators import chain, merge, ordered, policy, redact, reports, requests, screen, vectors
+from tallywick.sources import files
 from tallywick.sources.ledger import LEDGER_SCHEMA, read_ledgers
 
 
@@ -118,8 +121,21 @@ def test_one_edit_breaks_at_most_twice(spark):
     built = chain.build(spark.createDataFrame([(1, i, f'{{"n":{i}}}') for i in range(1, 31)], "chain long, seq long, body string"))
     assert chain.verify(built).count() == 0
     edited = built.withColumn("body", F.when(F.col("seq") == 7, "x").otherwise(F.col("body")))
-    assert chain.verify(edited).collect() == [(1, 7, "hash")]
-    assert sorted(map(tuple, chain.verify(built.filter("seq <> 9")).collect())) == [(1, 10, "sequence")]
+    breaks = lambda log: sorted(map(tuple, chain.verify(log).collect()))
+    assert breaks(edited) == [(1, 7, "body"), (1, 7, "hash")]
+    assert breaks(built.filter("seq <> 9")) == [(1, 10, "link"), (1, 10, "sequence")]
+    assert breaks(built.filter("seq > 2")) == [(1, 3, "link"), (1, 3, "sequence")]
+    assert breaks(built.union(built.filter("seq = 4"))) == [(1, 4, "link"), (1, 4, "sequence")]
+    spelled = chain.build(spark.createDataFrame([(1, 1, '{"n": 1}'), (1, 2, "[2]"), (1, 3, '{"a":1}')], "chain long, seq long, body string"))
+    assert breaks(spelled) == [(1, 1, "body"), (1, 2, "body")]
+
+
+def test_stretches_of_a_chain_are_held_together(spark, monkeypatch):
+    built = chain.build(spark.createDataFrame([(c, i, f'{{"n":{i}}}') for c in (1, 2) for i in range(1, 60)], "chain long, seq long, body string"))
+    logs = [built, built.filter("seq NOT IN (8, 16, 40)"), built.filter("NOT seq BETWEEN 9 AND 31"), built.union(built.filter("seq IN (7, 8, 24)"))]
+    whole = [sorted(map(tuple, chain.verify(log).collect())) for log in logs]
+    monkeypatch.setattr(chain, "STRETCH", 8)
+    assert [sorted(map(tuple, chain.verify(log).collect())) for log in logs] == whole
 
 
 def test_canonical_json(spark):
@@ -130,8 +146,9 @@ def test_canonical_json(spark):
 @pytest.mark.parametrize("seed", range(25))
 def test_events_decode_the_same_however_they_are_cut(seed):
     rnd = random.Random(seed)
-    end = rnd.choice(["\n", "\r\n", "\r"])
-    body = end.join([": comment", "data: one", "", "event: x", "data: two", "data:  three", "", "id: 4", "", "data:", "", ""])
+    end = rnd.choice(["\n", "\r\n"])
+    body = end.join([": comment", "data: one", "", "event: x", "data: two", "data:  three", "", "id: 4", "", "data:", "", ""]).encode()
+    end = end.encode()
     whole = ordered.EventDecoder().feed(body + end)
     decoder, got, at = ordered.EventDecoder(), [], 0
     while at < len(body):
@@ -193,3 +210,40 @@ def test_pair_matrix_holds_every_pair(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 2)
     rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(5)], "id long, label int, v array<double>")
     assert sorted(map(tuple, vectors.pair_matrix(rows).collect())) == [(0, 0, 6, 3.666667), (0, 1, 6, 5.0), (1, 0, 6, 5.0), (1, 1, 2, 4.0)]
+
+
+def test_an_allow_list_never_releases_what_a_recogniser_took():
+    masked, vault, _ = redact.mask("mail a@b.co, sin 046 454 286, part X99-12345", frozenset({"a@b.co", "046 454 286", "x99-12345"}))
+    assert masked == "mail <EMAIL_1>, sin <SIN_1>, part X99-12345" and set(vault.values()) == {"a@b.co", "046 454 286"}
+
+
+def test_files_of_lines_and_tables(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "n": 1, "t": "a"}\n\n{"id": 2, "n": 2}\n{"id": 1, "n": 3, "t": "b"}\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("t", T.StringType())])
+    assert sorted(map(tuple, files.json_lines(spark, str(tmp_path / "a.jsonl"), schema, ["id"], "n").collect())) == [(1, 3, "b"), (2, 2, None)]
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\nno\n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.json_lines(spark, str(tmp_path / "bad.jsonl"), schema).collect()
+    (tmp_path / "allow.txt").write_text("# head\n Court \n\nAppeal\n  # note\n")
+    assert sorted(r[0] for r in files.allow_list(spark, str(tmp_path / "allow.txt")).collect()) == ["Appeal", "Court"]
+    text = "x\n<!-- load:start -->\n| a | b |\n| --- | --- |\n| 1 | 2.5 (1 to 3) |\n<!-- load:end -->\n<!-- other:start -->\nnone\n<!-- other:end -->"
+    cells = files.marked_tables(spark.createDataFrame([(text,)], "text string"))
+    assert {(r["row"], r["col"]): r["cell"] for r in cells.collect()} == {(0, 0): "a", (0, 1): "b", (1, 0): "---", (1, 1): "---", (2, 0): "1", (2, 1): "2.5 (1 to 3)"}
+    assert files.figure(cells, "load", 2, 1) == "2.5 (1 to 3)"
+    with pytest.raises(ValueError, match="no cell"):
+        files.figure(cells, "load", 3, 0)
+
+
+def test_runs_merge_only_over_the_same_pages(spark):
+    run = lambda pages, seed: spark.createDataFrame([(pages, seed, "f", 1)], "pages int, seed int, fingerprint string, call int")
+    assert requests.run_merge([run(3, 1), run(3, 1)]).count() == 2
+    with pytest.raises(ValueError, match="different"):
+        requests.run_merge([run(3, 1), run(3, 2)])
+    assert requests.same_fingerprint(run(3, 1), F.lit("f")).count() == 1
+    with pytest.raises(Exception, match="another fingerprint"):
+        requests.same_fingerprint(run(3, 1), F.lit("g")).collect()
+
+
+def test_route_fields_go_under_the_callers(spark):
+    rows = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"x": "y"}), ({"k": "v"}, None)], "route map<string,string>, caller map<string,string>")
+    assert [r[0] for r in rows.select(gateway.with_route_extra(F.col("route"), F.col("caller"))).collect()] == [{"a": "1", "b": "3"}, {"x": "y"}, {"k": "v"}]
