@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,32 +105,76 @@ def residency_violations(report: DataFrame, limit: str) -> DataFrame:
     return report.filter((F.col("reach") > RESIDENCIES.index(limit)) & (F.col("sent") > 0))
 
 
+def _cell(value: Column) -> Column:
+    """A coarse place of a number that never falls as the number grows; cells are about a 1,400th of their values wide."""
+    v = value.cast("double")
+    far = F.floor(F.least(F.log2(1 + F.abs(v)), F.lit(2000.0)) * 1024)
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v < 0, -far).otherwise(far)
+
+
+def values_at(counted: DataFrame, keys: list[str], value: str, weight: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group, the values at some ranks (from 0) of those that occur ``weight`` times each: keys, _n, and a column per
+    rank, which is a function of how many there are.
+
+    Groups are never sorted whole: a histogram of cells says which cell holds a rank, and only the values of that cell are
+    ordered. So a group with most of the rows is many tasks' work, and neither an array nor a sort holds it.
+    """
+    held = counted.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).withColumn("_cell", _cell(F.col(value)))
+    cells = held.groupBy(*keys, "_cell").agg(F.sum(weight).alias("_in"))
+    of_group = Window.partitionBy(*keys)
+    ahead = F.coalesce(F.sum("_in").over(of_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"_ahead": ahead, "_n": F.sum("_in").over(of_group)})
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("_n")).cast("long").alias("at")) for name, at in ranks.items()]))
+    wanted = cells.select(*keys, "_cell", "_n", "_ahead", "_in", each.alias("_w")).filter("_w.at >= _ahead AND _w.at < _ahead + _in")
+    wanted = wanted.select(*keys, "_cell", "_n", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_ahead")).alias("_at"))
+    upto = F.sum(weight).over(Window.partitionBy(*keys, "_cell", "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = held.join(wanted, [*keys, "_cell"]).withColumn("_upto", upto).filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col(weight) <= F.col("_at")))
+    return found.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def nearest(q: float) -> Callable[[Column], Column]:
+    """The nearest rank of a quantile: round-half-even of q * (n - 1)."""
+    return lambda n: F.bround(q * (n - 1), 0)
+
+
 def ranked_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles per group for groups of any size: each value gets its rank from a sort, and those at the
-    wanted ranks, round-half-even of q * (n - 1), are kept. No group is collected into an array."""
-    held = rows.filter(F.col(value).isNotNull())
-    sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    ranked = held.select(*keys, value).withColumn("_at", place).join(sizes, keys)
-    at = {name: F.bround(q * (F.col("_n") - 1), 0).cast("long") for name, q in quantiles.items()}
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == k, F.col(value))).alias(name) for name, k in at.items()])
+    """Nearest-rank quantiles per group, for groups of any size."""
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    return values_at(counted, keys, value, "_k", {name: nearest(q) for name, q in quantiles.items()}).drop("_n")
+
+
+def linear_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles per group with linear interpolation between neighbours, for groups of any size; keys, a column each."""
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    for name, q in quantiles.items():
+        ranks[f"{name}_below"] = lambda n, q=q: F.floor(q * (n - 1))
+        ranks[f"{name}_above"] = lambda n, q=q: F.ceil(q * (n - 1))
+    at = values_at(counted, keys, value, "_k", ranks)
+    part = lambda q: q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))
+    return at.select(*keys, *[(F.col(f"{name}_below") + (F.col(f"{name}_above") - F.col(f"{name}_below")) * part(q)).alias(name) for name, q in quantiles.items()])
 
 
 def dashboard(rows: DataFrame, keys: list[str], since: str | None = None) -> DataFrame:
     """Calls by outcome, cost and latency by any keys; ``day`` is one derived from the time. Latency is that of answered,
-    uncached calls, at the nearest rank."""
+    uncached calls, at the nearest rank.
+
+    Rows are read and costed once: they are first summed by keys and latency, and both the sums and the ranks come from
+    that."""
     rows = rows if since is None else rows.filter(F.coalesce(F.col("ts_utc"), F.lit("")) >= since)
     rows = rows.withColumn("day", F.substring("ts_utc", 1, 10))
-    rows = rows.select(*[dash(F.col(k)).alias(k) if k != "day" else F.col(k) for k in keys], "error_type", "cached", "costed", "http_status", "cost_usd", "latency_ms")
     failed = F.coalesce(F.col("error_type") != "", F.lit(False))
+    timed = ~failed & ~F.col("cached") & F.col("latency_ms").isNotNull()
+    named = [dash(F.col(k)).alias(k) if k != "day" else F.col(k) for k in keys]
+    rows = rows.select(*named, "error_type", "cached", "costed", "http_status", "cost_usd", F.when(timed, F.col("latency_ms")).alias("_ms"))
     refused = F.coalesce(F.col("error_type").isin(REFUSALS), F.lit(False))
     flying = F.coalesce(F.col("error_type") == IN_FLIGHT, F.lit(False))
-    counts = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("calls"), _n(failed & ~refused & ~flying).alias("errors"), _n(refused).alias("refused"), _n(flying).alias("in_flight"),
-        _n(F.col("cached")).alias("cached"), _n(uncosted()).alias("uncosted"), usd(F.col("costed")).alias("cost_usd"),
-    )
-    timed = ranked_quantiles(rows.filter(~failed & ~F.col("cached")), keys, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    return counts.join(timed, keys, "left")
+    counts = {"calls": F.lit(True), "errors": failed & ~refused & ~flying, "refused": refused, "in_flight": flying, "cached": F.col("cached"), "uncosted": uncosted()}
+    cost = F.sum(F.when(F.col("costed"), F.col("cost_usd")).cast("decimal(20,10)"))
+    base = rows.groupBy(*keys, "_ms").agg(*[_n(c).alias(name) for name, c in counts.items()], cost.alias("cost_usd"))
+    sums = base.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in counts], F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("cost_usd"))
+    ranks = values_at(base.select(*keys, "_ms", "calls"), keys, "_ms", "calls", {"p50_ms": nearest(0.5), "p95_ms": nearest(0.95)})
+    return sums.join(ranks.drop("_n"), keys, "left")
 
 
 def top_with_rest(groups: DataFrame, name: str, value: str, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywick.functions import statistics as st
-from tallywick.operators.reports import ranked_quantiles
+from tallywick.operators.reports import linear_quantiles, ranked_quantiles, values_at
 from tallywick.plans.registry import query, table
 
 
@@ -60,18 +60,16 @@ def nearest_rank(spark, sf_dir):
 
 @query("upper_median", "SELECT event_type, list_sort(list(value))[1 + count(*) // 2] AS upper_median FROM events WHERE value IS NOT NULL GROUP BY 1")
 def upper_median(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    rows = table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_type", "value")
-    sizes = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(sizes, "event_type")
-    return ranked.filter(F.expr("at = n div 2")).select("event_type", F.col("value").alias("upper_median"))
+    counted = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
+    return values_at(counted, ["event_type"], "value", "k", {"upper_median": lambda n: F.floor(n / 2)}).drop("_n")
 
 
 @query("linear_quantile", "SELECT event_type, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.975), 9) AS high, round(avg(CAST(value AS DECIMAL(18, 6))), 6) AS mean FROM events GROUP BY 1")
 def linear_quantile(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 9)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.025).alias("low"), p(0.5).alias("median"), p(0.975).alias("high"), F.round(F.avg(F.col("value").cast("decimal(18,6)")).cast("double"), 6).alias("mean"))
+    events = table(spark, sf_dir, "events")
+    at = linear_quantiles(events, ["event_type"], "value", {"low": 0.025, "median": 0.5, "high": 0.975})
+    means = events.groupBy("event_type").agg(F.round(F.avg(F.col("value").cast("decimal(18,6)")).cast("double"), 6).alias("mean"))
+    return at.select("event_type", *[F.round(c, 9).alias(c) for c in ("low", "median", "high")]).join(means, "event_type")
 
 
 @query("token_estimates", r"""WITH t AS (SELECT doc_id, length(text) / 4.0 AS chars4, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) * 1.3 AS words13, length(text) / 3.5 AS actual FROM documents),
@@ -83,4 +81,6 @@ def token_estimates(spark, sf_dir):
     one = F.explode(F.array(F.struct(F.lit("chars/4").alias("estimator"), (F.col("chars") / 4).alias("est")), F.struct(F.lit("words*1.3").alias("estimator"), (F.col("words") * 1.3).cast("double").alias("est"))))
     rows = docs.select(chars.alias("chars"), words.alias("words")).select((F.col("chars") / 3.5).cast("double").alias("actual"), one.alias("e")).filter("actual > 0")
     err = rows.select("e.estimator", ((F.col("e.est") - F.col("actual")) / F.col("actual")).alias("err"))
-    return err.groupBy("estimator").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("err"), 6).alias("median_error"), F.round(F.max(F.abs("err")), 6).alias("worst"), F.round(F.count(F.when(F.abs("err") <= 0.1, 1)) / F.count(F.lit(1)), 6).alias("within_10"))
+    whole = err.groupBy("estimator").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("err")), 6).alias("worst"), F.round(F.count(F.when(F.abs("err") <= 0.1, 1)) / F.count(F.lit(1)), 6).alias("within_10"))
+    middle = linear_quantiles(err, ["estimator"], "err", {"median_error": 0.5})
+    return whole.join(middle.select("estimator", F.round("median_error", 6).alias("median_error")), "estimator")

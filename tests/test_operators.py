@@ -247,3 +247,14 @@ def test_runs_merge_only_over_the_same_pages(spark):
 def test_route_fields_go_under_the_callers(spark):
     rows = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), (None, {"x": "y"}), ({"k": "v"}, None)], "route map<string,string>, caller map<string,string>")
     assert [r[0] for r in rows.select(gateway.with_route_extra(F.col("route"), F.col("caller"))).collect()] == [{"a": "1", "b": "3"}, {"x": "y"}, {"k": "v"}]
+
+
+def test_ranks_of_groups_match_sorting(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice([0.0, -0.0, -3.5, 1e-9, 7.0, rnd.gauss(0, 100), float(rnd.randint(0, 5)), float("inf"), -1e300])) for k in "ab" for _ in range(300)] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in reports.ranked_quantiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in "abc":
+        held = sorted(v for g, v in rows if g == k)
+        assert [got[k][name] for name in ("low", "mid", "top")] == [held[round(q * (len(held) - 1))] for q in (0.1, 0.5, 1.0)]
