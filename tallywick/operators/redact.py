@@ -67,16 +67,21 @@ def resolve(spans: list[tuple]) -> list[tuple]:
     return kept
 
 
+def _kind(placeholder: str) -> str:
+    return placeholder[1:-1].rsplit("_", 1)[0]
+
+
 def _identifier(token: str) -> bool:
     digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
     return digits >= 5 or (letters > 0 and digits >= 2)
 
 
-def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str, str], list[tuple]]:
+def mask(text: str, allow: frozenset[str] = frozenset(), carried: dict[str, str] | None = None) -> tuple[str, dict[str, str], list[tuple]]:
     """Masked text, vault (placeholder to value) and spans. Placeholders are numbered per type by first mention; equal
     values, but for case and spacing, share one. Placeholder-shaped text of the document itself is masked too, so that
     nothing in it can be mistaken for one of ours. What is allowed releases places and organisations, and tokens that only
-    look like an identifier; never a value that a recogniser took for a person's."""
+    look like an identifier; never a value that a recogniser took for a person's. A carried vault's values keep their placeholders and are masked wherever
+    they stand; new ones are numbered after them."""
     spans = [s for s in resolve(detect(text)) if s[2] not in RELEASABLE or text[s[0] : s[1]].casefold() not in allow]
     foreign = [(m.start(), m.end(), "ID_LIKE", 0.5, "placeholder") for m in _PLACEHOLDER.finditer(text)]
     taken = [(s, e) for s, e, *_ in spans]
@@ -91,7 +96,8 @@ def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str,
             spans.append(s)
             bisect.insort(taken, s[:2])
     # A value that was recognised once is masked wherever else it stands, also where its surroundings hid it.
-    known = {text[s[0] : s[1]].casefold(): s for s in spans}
+    known = {v.casefold(): (0, 0, _kind(p), 0.95, "carried") for p, v in (carried or {}).items()}
+    known |= {text[s[0] : s[1]].casefold(): s for s in spans}
     if known:
         for m in re.finditer("|".join(re.escape(v) for v in sorted(known, key=len, reverse=True)), text, re.I):
             if clear(*m.span()) and m.group().casefold() in known:
@@ -104,7 +110,12 @@ def mask(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str,
                 spans.append((*m.span(), "EMAIL" if "@" in m.group() else "ID_LIKE", 0.5, "second-pass"))
         at = hi
     spans.sort()
-    vault, names, counts, out, at = {}, {}, {}, [], 0
+    vault, names, counts, out, at = dict(carried or {}), {}, {}, [], 0
+    for placeholder, value in vault.items():
+        kind = _kind(placeholder)
+        key = kind, " ".join(value.casefold().split())
+        names[(kind, value, "as written") if key in names else key] = placeholder
+        counts[kind] = max(counts.get(kind, 0), int(placeholder[1:-1].rsplit("_", 1)[1]))
     for start, end, kind, _, _ in spans:
         value = text[start:end]
         key = kind, " ".join(value.casefold().split())
@@ -138,20 +149,124 @@ def unresolved(text: str, vault: dict[str, str]) -> list[str]:
     return [m[0] for m in _PLACEHOLDER.finditer(text) if restore(m[0], vault) == m[0]]
 
 
+#: Without a digit of any kind or an @ a text holds nothing that a recogniser or the second pass takes, nor a placeholder.
+_ABLE = r"[\p{N}@]"
+REDACTED = f"doc_id long, masked string, vault map<string,string>, spans array<{SPAN}>, clashes int"
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: list[str] | None = None) -> DataFrame:
-    """doc_id, masked, vault, spans of every document; null text stays null."""
+    """doc_id, masked, vault, spans of every document, and how many of the placeholders used its text had already; null
+    text stays null. Documents that can hold nothing are told apart by one pattern and never leave the JVM."""
     allowed = frozenset(a.casefold() for a in allow or ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                masked, vault, spans = mask(text, allowed) if text is not None else (None, {}, [])
-                rows.append((doc_id, masked, vault, [dict(zip(("start", "end", "entity_type", "score", "recogniser"), s, strict=True)) for s in spans]))
-            yield pd.DataFrame(rows, columns=["doc_id", "masked", "vault", "spans"])
+                masked, vault, spans = mask(text, allowed)
+                told = [dict(zip(("start", "end", "entity_type", "score", "recogniser"), s, strict=True)) for s in spans]
+                rows.append((doc_id, masked, vault, told, sum(p in text for p in vault)))
+            yield pd.DataFrame(rows, columns=["doc_id", "masked", "vault", "spans", "clashes"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    able = F.coalesce(F.col("text").rlike(_ABLE), F.lit(False))
+    empty = [F.create_map().cast("map<string,string>").alias("vault"), F.array().cast(f"array<{SPAN}>").alias("spans"), F.lit(0).alias("clashes")]
+    return own.filter(able).mapInPandas(run, REDACTED).union(own.filter(~able).select("doc_id", F.col("text").alias("masked"), *empty))
+
+
+def redact_requests(turns: DataFrame, by: str = "conv_id", order: str = "turn", text_col: str = "text", allow: list[str] | None = None) -> DataFrame:
+    """Requests of several messages, each request under one vault: by, order, masked, vault.
+
+    First the messages of each request stream by in order and the vault grows; then every message is masked with the whole
+    vault, so that a value is masked also in messages before the one that told what it is. Only messages that can hold
+    something take part in the first pass, and the second has no order.
+    """
+    allowed = frozenset(a.casefold() for a in allow or ())
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, vault = None, {}
+        for batch in batches:
+            done = []
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                if key != at:
+                    if vault:
+                        done.append((at, vault))
+                    at, vault = key, {}
+                vault = mask(text, allowed, vault)[1]
+            yield pd.DataFrame(done, columns=["key", "vault"])
+        if vault:
+            yield pd.DataFrame([(at, vault)], columns=["key", "vault"])
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            masked = [mask(t, allowed, dict(v))[0] for t, v in zip(batch["text"], batch["vault"], strict=True)]
+            yield pd.DataFrame({"key": batch["key"], "place": batch["place"], "masked": masked, "vault": batch["vault"]})
+
+    own = turns.select(F.col(by).cast("long").alias("key"), F.col(order).cast("long").alias("place"), F.col(text_col).alias("text"))
+    told = own.filter(F.col("text").rlike(_ABLE)).repartition("key").sortWithinPartitions("key", "place")
+    vaults = told.mapInPandas(grow, "key long, vault map<string,string>")
+    both = own.join(vaults, "key", "left")
+    able = F.col("vault").isNotNull() & F.col("text").isNotNull()
+    masked = both.filter(able).mapInPandas(cover, "key long, place long, masked string, vault map<string,string>")
+    rest = both.filter(~able).select("key", "place", F.col("text").alias("masked"), F.coalesce("vault", F.create_map().cast("map<string,string>")).alias("vault"))
+    return masked.union(rest).toDF(by, order, "masked", "vault")
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"doc_id long, masked string, vault map<string,string>, spans array<{SPAN}>")
+
+def outbound(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
+    """What may be sent of masked documents: doc_id, masked (null where refused) and refusals, a count by kind.
+
+    Refused is what the guard finds (values, digits of them, shapes), and a text that had, before it was masked, one of
+    the placeholders that were then used for something else."""
+    found = leaks(redacted, allow).groupBy("doc_id", "kind").agg(F.sum("leaked").alias("n"))
+    clashes = redacted.filter("clashes > 0").select("doc_id", F.lit("placeholder").alias("kind"), F.col("clashes").cast("long").alias("n"))
+    told = found.union(clashes).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("refusals"))
+    both = redacted.select("doc_id", "masked").join(told, "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("refusals").isNull(), F.col("masked")).alias("masked"), "refusals")
+
+
+class StreamRestorer:
+    """Values back for placeholders in a text that arrives in pieces: what may be the beginning of a placeholder waits."""
+
+    #: No placeholder is longer than this; a longer stretch after a < is text.
+    MOST = 64
+
+    def __init__(self, vault: dict[str, str]):
+        self.vault, self.held = vault, ""
+
+    def feed(self, piece: str) -> str:
+        text = self.held + piece
+        at = text.rfind("<")
+        open_ = at >= 0 and ">" not in text[at:] and len(text) - at <= self.MOST
+        self.held = text[at:] if open_ else ""
+        return restore(text[:at] if open_ else text, self.vault)
+
+    def finish(self) -> str:
+        out, self.held = restore(self.held, self.vault), ""
+        return out
+
+
+def restore_streams(pieces: DataFrame, vaults: DataFrame) -> DataFrame:
+    """Pieces (stream_id, seq, text) of answers with their vaults (stream_id, vault) to stream_id, seq, text, the pieces in
+    which the restored text may be handed on. A stream's pieces are joined one after the other; its rest is one more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, restorer = None, 0, None
+        for batch in batches:
+            rows = []
+            for stream_id, seq, text, vault in zip(batch["stream_id"], batch["seq"], batch["text"], batch["vault"], strict=True):
+                if restorer is None or stream_id != at:
+                    if restorer is not None:
+                        rows.append((at, last + 1, restorer.finish()))
+                    at, restorer = stream_id, StreamRestorer(dict(vault) if vault is not None else {})
+                rows.append((stream_id, seq, restorer.feed(text or "")))
+                last = seq
+            yield pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
+        if restorer is not None:
+            yield pd.DataFrame([(at, last + 1, restorer.finish())], columns=["stream_id", "seq", "text"])
+
+    own = pieces.select("stream_id", "seq", "text").join(vaults, "stream_id", "left")
+    ordered = own.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInPandas(run, "stream_id long, seq long, text string").filter("text <> ''")
 
 
 @F.pandas_udf(T.StringType())
@@ -176,7 +291,8 @@ def leaks(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
     def shapes(texts: pd.Series) -> pd.Series:
         return pd.Series([[s[2] for s in mask(t, allowed)[2]] if t is not None else [] for t in texts])
 
-    left = redacted.select("doc_id", F.lit("shape").alias("kind"), F.explode(shapes(bare)).alias("entity_type"))
+    able = redacted.select("doc_id", bare.alias("bare")).filter(F.col("bare").rlike(_ABLE))
+    left = able.select("doc_id", F.lit("shape").alias("kind"), F.explode(shapes("bare")).alias("entity_type"))
     return known.unionByName(left).groupBy("doc_id", "kind", "entity_type").agg(F.count(F.lit(1)).alias("leaked"))
 
 

@@ -103,6 +103,28 @@ def redact_round_trip(spark, sf_dir):
     return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("back") == F.col("text"), 1)).alias("restored"))
 
 
+@query("redact_turns")
+def redact_turns(spark, sf_dir):
+    # Some turns tell a number, and later ones of the same conversation repeat it.
+    told = F.expr("CASE WHEN turn = 1 THEN concat(text, ' File no. ', conv_id % 50, '-77-A') WHEN turn = 3 THEN concat('On ', conv_id % 50, '-77-a: ', text) ELSE text END")
+    return rd.redact_requests(table(spark, sf_dir, "conversations").withColumn("text", told)).select("conv_id", "turn", "masked", F.size("vault").alias("placeholders"))
+
+
+@query("outbound_documents")
+def outbound_documents(spark, sf_dir):
+    return rd.outbound(rd.redact(documents(spark, sf_dir))).select("doc_id", "masked", F.to_json("refusals").alias("refusals"))
+
+
+@query("restored_streams", "SELECT conv_id * 1000 + turn AS stream_id, concat('To <PERSON_9>: ', replace(text, ' of ', ' 709-555-0142 '), ' 709-555-0142, <') AS text FROM conversations WHERE text IS NOT NULL")
+def restored_streams(spark, sf_dir):
+    own = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.expr("concat('To <PERSON_9>: ', replace(text, ' of ', ' <phone_01> '), ' <PHONE_1>, <')").alias("t"))
+    pieces = own.select("stream_id", F.posexplode(F.regexp_extract_all("t", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "text"))
+    vaults = own.select("stream_id", F.create_map(F.lit("<PHONE_1>"), F.lit("709-555-0142")).alias("vault"))
+    out = rd.restore_streams(pieces.withColumn("seq", F.col("seq").cast("long")), vaults)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("stream_id").agg(whole.alias("text"))
+
+
 @query("leak_check")
 def leak_check(spark, sf_dir):
     return rd.leaks(rd.redact(documents(spark, sf_dir)))

@@ -258,3 +258,29 @@ def test_ranks_of_groups_match_sorting(spark):
     for k in "abc":
         held = sorted(v for g, v in rows if g == k)
         assert [got[k][name] for name in ("low", "mid", "top")] == [held[round(q * (len(held) - 1))] for q in (0.1, 0.5, 1.0)]
+
+
+def test_requests_share_a_vault_in_both_directions(spark):
+    rows = [(1, 0, "about 555-77-A: hello"), (1, 1, "File no. 555-77-A"), (1, 2, "mail a@b.co and A@b.co"), (1, 3, None), (2, 0, "a@b.co"), (3, 0, "nothing")]
+    out = {(r["conv_id"], r["turn"]): (r["masked"], dict(r["vault"])) for r in redact.redact_requests(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert len(out) == 6 and out[1, 3][0] is None and out[3, 0] == ("nothing", {})
+    vault = out[1, 0][1]
+    assert out[1, 1][1] == vault and out[2, 0] == ("<EMAIL_1>", {"<EMAIL_1>": "a@b.co"})
+    for k, text in ((0, rows[0][2]), (1, rows[1][2]), (2, rows[2][2])):
+        assert redact.restore(out[1, k][0], vault) == text and "555" not in out[1, k][0] and "@" not in out[1, k][0]
+
+
+def test_outbound_refuses_leaks_and_clashes(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co"), (2, "<EMAIL_1> said a@b.co"), (3, None), (4, "plain"), (5, "call 709-555-0142, ends 0142x")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["masked"], r["refusals"]) for r in redact.outbound(redact.redact(docs)).collect()}
+    assert out[1] == ("mail <EMAIL_1>", None) and out[3] == (None, None) and out[4] == ("plain", None)
+    assert out[2][0] is None and out[2][1] == {"placeholder": 1}
+
+
+def test_placeholders_are_restored_however_a_stream_is_cut():
+    vault = {"<PHONE_1>": "709", "<ID_LIKE_2>": "X<9>"}
+    text = "a < b <PHONE_1><id like-02> <" + "y" * 90 + "> <PHONE_3> <PHONE_1"
+    for n in range(1, 12):
+        restorer = redact.StreamRestorer(vault)
+        got = "".join(restorer.feed(text[i : i + n]) for i in range(0, len(text), n)) + restorer.finish()
+        assert got == redact.restore(text, vault)
