@@ -132,3 +132,45 @@ def against_ledger(sealed: DataFrame, ledger: DataFrame) -> DataFrame:
     settled = F.coalesce(F.col("s.error_type") == "in_flight", F.lit(False)) & F.coalesce(F.col("l.error_type") != "in_flight", F.lit(True))
     state = F.when(F.col("s").isNull(), "unsealed").when(F.col("l").isNull(), "ledger_missing").when(F.col("s.body") == F.col("l.body"), "sealed").when(settled, "resealable").otherwise("ledger_changed")
     return both.select("call_uid", state.alias("state"))
+
+#: Ways to tamper with a chain whose hashes are all made anew after it, in the log alone (edit) or in log and ledger.
+REWRITES = ("edit", "edit_both", "delete_both", "insert_both", "swap_both", "truncate_both", "replace_both")
+
+
+def rewritten(bodies: DataFrame, targets: DataFrame) -> DataFrame:
+    """Bodies (chain, seq, body) as a forger leaves them, of whom ``build`` then makes an unbroken chain.
+
+    targets (chain, kind, at): at is the record that is edited, deleted, swapped with the next one, followed by a forged
+    one, or the last one left. Each is arithmetic on numbers and bodies, so only the chain's new hashes are a fold.
+    """
+    own = bodies.join(targets, "chain")
+    here = lambda *kinds: F.col("kind").isin(*kinds)
+    after, at = F.col("seq") > F.col("at"), F.col("seq") == F.col("at")
+    forged = F.concat(F.lit('{"forged":'), F.col("seq").cast("string"), F.lit("}"))
+    gone = (here("delete_both") & at) | (here("truncate_both") & after)
+    longest = bodies.groupBy("chain").agg(F.max("seq").alias("_last"))
+    swaps = here("swap_both") & (F.col("at") < F.col("_last"))
+    seq = (
+        F.when(here("delete_both") & after, F.col("seq") - 1)
+        .when(here("insert_both") & after, F.col("seq") + 1)
+        .when(swaps & at, F.col("seq") + 1)
+        .when(swaps & (F.col("seq") == F.col("at") + 1), F.col("seq") - 1)
+        .otherwise(F.col("seq"))
+    )
+    body = F.when((here("edit", "edit_both") & at) | here("replace_both"), forged).otherwise(F.col("body"))
+    kept = own.join(longest, "chain").filter(~gone).select("chain", seq.alias("_seq"), body.alias("_body")).toDF("chain", "seq", "body")
+    new = targets.filter(here("insert_both")).select("chain", (F.col("at") + 1).alias("seq"), F.concat(F.lit('{"forged":'), F.col("at").cast("string"), F.lit("}")).alias("body"))
+    return kept.unionByName(new)
+
+
+def tamper_measure(bodies: DataFrame, targets: DataFrame, every: int = 20) -> DataFrame:
+    """Per kind of tampering: chains, and those found by the chain itself, by anchors published before at each ``every``-th
+    record, and by the ledger, which the kinds named both have changed too."""
+    anchors = build(bodies).filter(F.col("seq") % every == 0).select("chain", "seq", F.col("record_hash").alias("head"))
+    forged = rewritten(bodies, targets)
+    log = build(forged)
+    found = lambda df, name: df.select("chain").distinct().withColumn(name, F.lit(1))
+    ledger = forged.join(targets.filter(F.col("kind") != "edit"), "chain", "left_semi").unionByName(bodies.join(targets.filter(F.col("kind") == "edit"), "chain", "left_semi"))
+    differs = forged.toDF("chain", "seq", "sealed").join(ledger, ["chain", "seq"], "full").filter(~F.col("sealed").eqNullSafe(F.col("body")))
+    all_of = targets.join(found(verify(log), "_c"), "chain", "left").join(found(check_anchors(log, anchors), "_a"), "chain", "left").join(found(differs, "_l"), "chain", "left")
+    return all_of.groupBy("kind").agg(F.count(F.lit(1)).alias("chains"), F.count("_c").alias("by_chain"), F.count("_a").alias("by_anchor"), F.count("_l").alias("by_ledger"))

@@ -102,3 +102,16 @@ def ledger_chain_diff(spark, sf_dir):
 def canonical_bodies(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select("event_id", "props")
     return raw.select("event_id", op.canonical_json("props").alias("body"), (op.canonical_json("props") == F.col("props")).alias("is_canonical"))
+
+
+_KINDS = "CASE chain % 7 WHEN 0 THEN 'edit' WHEN 1 THEN 'edit_both' WHEN 2 THEN 'delete_both' WHEN 3 THEN 'insert_both' WHEN 4 THEN 'swap_both' WHEN 5 THEN 'truncate_both' ELSE 'replace_both' END"
+
+
+# What must be found, by reasoning: a record at or after the first changed one has another hash, and an anchor there tells.
+@query("tamper_measure", f"""WITH n AS (SELECT user_id AS chain, count(*) AS n FROM events GROUP BY 1), t AS (SELECT chain, n, 1 + chain * 7 % n AS spot, {_KINDS} AS kind, n // 20 * 20 AS anchored FROM n),
+first AS (SELECT *, CASE kind WHEN 'insert_both' THEN spot + 1 WHEN 'truncate_both' THEN spot + 1 WHEN 'replace_both' THEN 1 WHEN 'swap_both' THEN CASE WHEN spot < n THEN spot END ELSE spot END AS changed FROM t)
+SELECT kind, count(*) AS chains, CAST(0 AS BIGINT) AS by_chain, count(*) FILTER (anchored > 0 AND anchored >= changed) AS by_anchor, count(*) FILTER (kind = 'edit') AS by_ledger FROM first GROUP BY 1""")
+def tamper_measure(spark, sf_dir):
+    rows = bodies(spark, sf_dir)
+    targets = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).select("chain", F.expr(_KINDS).alias("kind"), F.expr("1 + chain * 7 % n").alias("at"))
+    return op.tamper_measure(rows, targets)
