@@ -186,10 +186,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a bucket. First each is a candidate with the most central class of its bucket, the one whose buckets are largest, and
     links make components. Then, where a bucket still holds several components, every pair across them is a candidate,
     once, however many buckets it shares, unless what both have in common with their centre, plus what each has beyond it
-    that any other member has too, bounds their intersection too low. Every candidate of either kind must pass the odd
-    sketches, whose XOR population count estimates the similarity, and is then confirmed on full sets. So a large group
-    of near copies costs one comparison for each of its texts, and few pairs. A text is sent to its comparisons once for
-    each partner that it has there, a common partner once for each PARTNERS of them.
+    that any other member has too, bounds their intersection too low. That bound must reach 3/7 of both sizes' sum, so
+    6/7 of the smaller set's own size and 3/4 of the larger's: members below the one cannot be the smaller of a pair, and
+    those below the other are in none, which leaves them out before any pair is formed. So of texts that share 50 to 70 %
+    with each other and nothing more, none is left. Every candidate of either kind must pass the odd sketches, whose XOR
+    population count estimates the similarity, and is then confirmed on full sets. So a large group of near copies costs
+    one comparison for each of its texts, and few pairs. A text is sent to its comparisons once for each partner that it
+    has there, a common partner once for each PARTNERS of them.
 
     32 bands of 4 values miss a pair of similarity 0.75 with probability 5e-6, the sketches with about 2e-5, and closer
     pairs with far less.
@@ -218,9 +221,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = members.join(first, "key").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     sketch = marks.drop("bands")
     banded = star.join(sketch.alias("l"), F.col("a") == F.col("l.rep")).join(sketch.alias("r"), F.col("b") == F.col("r.rep"))
-    star = cut(banded.filter(_sketches_near("l", "r")).select("a", "b"), "pairs")
-    stars = cut(_compared(star, given), "stars")
-    links = stars.filter("linked").select("a", "b")
+    star = cut(banded.select("a", "b", _sketches_near("l", "r").alias("near")), "pairs")
+    # Members too far from their centre for a link are compared with it as well: bounds hold only if every member has them.
+    stars = cut(_compared(star.select("a", "b"), given), "stars")
+    links = stars.filter("linked").join(star.filter("near"), ["a", "b"], "left_semi").select("a", "b")
     roots = components(links)
 
     # Of what a class has beyond its centre, the part that another of the centre's classes has too.
@@ -235,11 +239,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     open_ = cut(open_.join(first, "key"), "open")
     left = rooted.join(bounded(open_), "key").join(bounds, ["first", "rep"], "left").join(marks, "rep")
-    left = cut(left.withColumns({"common": F.coalesce("common", "n_shingles"), "beyond": F.coalesce("beyond", F.lit(0))}), "open-members")
-    apart = (F.col("l.rep") < F.col("r.rep")) & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
+    left = left.withColumns({"common": F.coalesce("common", "n_shingles"), "beyond": F.coalesce("beyond", F.lit(0))})
+    left = cut(left.filter("4 * (common + beyond) >= 3 * n_shingles"), "open-members")
+    smaller = cut(left.filter("7 * (common + beyond) >= 6 * n_shingles"), "smaller-members")
+    order = (F.col("l.n_shingles") < F.col("r.n_shingles")) | ((F.col("l.n_shingles") == F.col("r.n_shingles")) & (F.col("l.rep") < F.col("r.rep")))
+    apart = order & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
     once = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.key")
-    across = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & once)
-    across = across.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = smaller.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & once)
+    across = across.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(_compared(cut(across, "pairs"), given).filter("linked").select("a", "b"), "links")
     roots = components(links.union(more)) if not more.isEmpty() else roots
 

@@ -53,6 +53,23 @@ def test_matches_brute_force_on_chains_and_groups(docs_of):
     assert got == brute(rows)
 
 
+def test_matches_brute_force_where_many_share_a_part(docs_of):
+    rnd = random.Random(9)
+    shared = [f"p{i}" for i in range(120)]
+    rows, n = [], 0
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(rnd.choice([12, 25, 34, 45, 60, 80]))]
+        for _ in range(rnd.choice([1, 1, 1, 2, 4])):
+            words = shared[: rnd.randint(90, 120)] + own
+            for _ in range(rnd.choice([0, 1, 2])):
+                words[rnd.randrange(len(words))] = f"y{n}"
+            rows.append((n, " ".join(words)))
+            n += 1
+    rnd.shuffle(rows)
+    got = {r[0]: tuple(r)[1:] for r in nd.near_groups(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(docs_of, odd_rows):
     out = nd.near_groups(docs_of(odd_rows)).collect()
     assert len(out) == len(odd_rows)
