@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +17,15 @@ MIN_SHARDS = 64
 #: Words of a block: a shard is drawn as so many blocks, unless they would be smaller or larger than these bounds.
 BLOCKS_PER_SHARD = 1024
 BLOCK_WORDS = (4096, 65_536)
-#: The tree has so many leaves at most; with more shards, the draws of a leaf are dealt to its shards in turn.
-MAX_LEAVES = 512
-#: The tree's plan has a number per leaf and group of sources. With more sources than this allows, sources share a group,
-#: whose blocks are permuted together: their quotas stay exact, and the driver's work stays bounded.
-PLAN_CELLS = 1 << 21
-#: Blocks of a source, from the one that its target cuts, whose documents may be taken to meet it, and passes over them.
+#: The driver splits quotas down to so many nodes; below each, the tree goes on in tasks.
+TOP_NODES = 512
+#: The top of the tree has a number per node and group of sources. A source with at least its share of the draws is a
+#: group of its own; the others are pooled, and each pool's draws are parted among its sources in tasks.
+TOP_CELLS = 1 << 21
+#: Blocks of a source, from the one that its target cuts, whose documents may be taken to meet it.
 EDGE_BLOCKS = 16
-FILLS = 4
+#: Draws that are listed at a time.
+DRAWS = 4096
 #: Blocks whose words are summed in one window.
 CHUNK = 2048
 SALTS = 64
@@ -34,11 +33,14 @@ SALTS = 64
 _PRIME = (1 << 31) - 1
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Exact block quotas per shard (rows) and group of sources (columns). Each node of a binary tree hands its left half a
-    multivariate hypergeometric draw of its blocks, so every shard's mix is that of blocks dealt at random, and the
-    columns still sum to the quotas."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, nodes: int | None = None) -> np.ndarray:
+    """Exact block quotas per node (rows) and group of sources (columns). Each node of a binary tree hands its left half a
+    multivariate hypergeometric draw of its blocks, so every node's mix is that of blocks dealt at random, and the
+    columns still sum to the quotas. Without ``nodes`` the tree ends at the shards; else it ends there, and a node has
+    blocks in proportion to its shards."""
+    nodes = nodes or shards
+    out = np.zeros((nodes, len(quotas)), np.int64)
+    edge = [k * shards // nodes for k in range(nodes + 1)]
 
     def part(here: np.ndarray, low: int, high: int) -> None:
         if high - low == 1:
@@ -46,24 +48,16 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return
         mid = (low + high) // 2
         total = int(here.sum())
-        take = total * (mid - low) // (high - low)
+        take = total * (edge[mid] - edge[low]) // (edge[high] - edge[low])
         rng = np.random.default_rng([seed, low, high])
         left = rng.multivariate_hypergeometric(here, take, method="marginals") if 0 < take else np.zeros_like(here)
         part(left, low, mid)
         part(here - left, mid, high)
 
-    part(quotas.astype(np.int64), 0, shards)
+    part(quotas.astype(np.int64), 0, nodes)
     return out
 
 
-def stride(n: int, seed: int) -> int:
-    """A step coprime to n near the golden section, so that i * step mod n permutes the blocks."""
-    step = max(1, int(n * 0.6180339887) + seed % 7)
-    while math.gcd(step, n) != 1:
-        step += 1
-    return step % n or 1
-
-
 def _source_key(source: Column) -> Column:
     """A source as a text that is never null, and sorts by code point with null last."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
@@ -94,9 +88,9 @@ def capped_targets(sources: DataFrame, cap: float = MAX_EPOCHS) -> DataFrame:
         closed, open_weight, left = now["n"], now["weight"], max(total - cap * (now["size"] or 0), 0.0)
 
 
-def _at_most(upto: Column, x: Column) -> Column:
-    """How many entries of a sorted array are at most x, by halving."""
-    steps = F.array(*[F.lit(1 << k) for k in range(MAX_LEAVES.bit_length() - 1, -1, -1)])
+def _at_most(upto: Column, x: Column, most: int) -> Column:
+    """How many entries of a sorted array of at most ``most`` are at most x, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
 
     def step(low: Column, by: Column) -> Column:
         return F.when((low + by <= F.size(upto)) & (F.get(upto, low + by - 1) <= x), low + by).otherwise(low)
@@ -109,9 +103,8 @@ class Plan:
 
     ``sources`` has a row per source: source, source_size, target, blocks (of the source), whole (times that all its
     blocks are taken), edge (the permuted place of the block that the target cuts; -1: none), quota (blocks drawn),
-    group, first (where its draws begin among the group's). ``groups`` has a row per group: group, drawn (its quota),
-    step, upto (draws of the leaves before and up to each). ``changes`` has the documents about the edges whose number of
-    copies differs from what their block's place says: source, place, more.
+    shards (those that draw from it) and upto (its draws that go to the shards before each and to it). ``changes`` has the
+    documents about the edges whose number of copies differs from what their block's place says: source, place.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], shards: int | None, block_words: int | None, seed: int):
@@ -126,28 +119,46 @@ class Plan:
         words = about["words"] or 0
         self.shards = shards or max(MIN_SHARDS, -(-words // SHARD_WORDS))
         self.block_words = block_words or min(max(words // (self.shards * BLOCKS_PER_SHARD), BLOCK_WORDS[0]), BLOCK_WORDS[1])
-        self.leaves = min(self.shards, MAX_LEAVES)
-        self.each = -(-self.shards // self.leaves)
-        self.shards = self.leaves * self.each
-        n_groups = max(1, min(about["n"], PLAN_CELLS // self.leaves))
-
-        targets = capped_targets(ranked).withColumns({"blocks": F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / self.block_words)), "group": F.pmod("rank", F.lit(n_groups)).cast("int")})
+        targets = capped_targets(ranked).withColumns({"blocks": F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / self.block_words))})
         whole = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_EPOCHS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
         targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         targets = cut(targets, "targets")
         edges = self._edges(targets)
         sources = targets.join(edges, "source", "left").withColumn("edge", F.coalesce("edge", F.lit(-1).cast("long")))
         sources = sources.withColumn("quota", F.col("whole") * F.col("blocks") + F.col("edge") + 1)
-        first = F.coalesce(F.sum("quota").over(Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-        self.sources = cut(sources.withColumn("first", first).drop("rank", "weight"), "sources")
-
-        drawn = sorted((r["group"], r["drawn"]) for r in self.sources.groupBy("group").agg(F.sum("quota").alias("drawn")).collect())
-        quotas = np.array([q for _, q in drawn], np.int64)
-        upto = np.cumsum(split_quotas(quotas, self.leaves, seed), axis=0) if drawn else np.zeros((self.leaves, 0), np.int64)
-        made = [(g, int(q), stride(int(q), seed) if q else 1, upto[:, i].tolist()) for i, (g, q) in enumerate(drawn)]
-        self.groups = docs.sparkSession.createDataFrame(made, "group int, drawn long, step long, upto array<long>")
+        planned = cut(sources.drop("weight"), "quotas")
+        self.sources = cut(planned.drop("rank").join(self._split(planned), "source", "left"), "sources")
         self.changes = cut(self._changes(), "changes")
 
+    def _split(self, planned: DataFrame) -> DataFrame:
+        """The tree: source, shards, upto. Its top splits the quotas of groups among nodes, in the driver. What a node has
+        of a pool of sources is then parted among them, and below a node its draws go on to its shards, each by the order of
+        a seeded hash: cutting draws in random order is what a multivariate hypergeometric draw of their sources counts."""
+        nodes = min(self.shards, TOP_NODES)
+        most = TOP_CELLS // nodes
+        total = planned.agg(F.sum("quota")).first()[0] or 0
+        alone = (planned["quota"] * (most // 2) >= total) | F.lit(planned.count() <= most)
+        grouped = cut(planned.filter("quota > 0").select("source", "quota", F.when(alone, F.concat(F.lit("="), "source")).otherwise(F.pmod("rank", F.lit(most // 2)).cast("string")).alias("group"), alone.alias("alone")), "groups")
+        drawn = sorted((r["group"], r["drawn"]) for r in grouped.groupBy("group").agg(F.sum("quota").alias("drawn")).collect())
+        upto = np.cumsum(split_quotas(np.array([q for _, q in drawn], np.int64), self.shards, self.seed, nodes), axis=0) if drawn else np.zeros((nodes, 0), np.int64)
+        top = planned.sparkSession.createDataFrame([(g, upto[:, i].tolist()) for i, (g, _) in enumerate(drawn)], "group string, upto array<long>")
+
+        chunks = grouped.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / DRAWS)))).repartition("source", "chunk")
+        last = F.least((F.col("chunk") + 1) * DRAWS, "quota") - 1
+        draws = chunks.select("source", "group", "alone", F.explode(F.sequence(F.col("chunk") * DRAWS, last)).alias("draw"))
+        order = lambda salt: [F.xxhash64("source", "draw", F.lit(self.seed), F.lit(salt)), "source", "draw"]
+        pooled = F.row_number().over(Window.partitionBy("group").orderBy(*order("pool"))) - 1
+        ranked = draws.filter("alone").withColumn("place", F.col("draw")).union(draws.filter("NOT alone").withColumn("place", pooled.cast("long")))
+        at = ranked.join(F.broadcast(top), "group").select("source", "draw", _at_most(F.col("upto"), F.col("place"), nodes).cast("long").alias("node"))
+        within = Window.partitionBy("node")
+        # node k has the shards from k * shards / nodes on, and its draws are cut into as many equal parts
+        low, high = F.floor(F.col("node") * self.shards / nodes), F.floor((F.col("node") + 1) * self.shards / nodes)
+        at = at.withColumns({"nth": F.row_number().over(within.orderBy(*order("node"))) - 1, "all": F.count(F.lit(1)).over(within)})
+        counts = at.groupBy("source", (low + F.floor(F.col("nth") * (high - low) / F.col("all"))).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+        sums = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("shard")))
+        lists = sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("list"))
+        return lists.select("source", F.col("list.shard").alias("shards"), F.col("list.upto").alias("upto"))
+
     def place(self) -> Column:
         """A document's place in the order of its source: a hash of what it is."""
         id_col, text_col, _ = self.columns
@@ -166,7 +177,7 @@ class Plan:
 
     def _with(self, df: DataFrame, plan: DataFrame) -> DataFrame:
         """df with the columns of its source's row of plan; plan goes to the tasks where it is small, else is salted."""
-        whole = bounded(plan, text_bytes=256)
+        whole = bounded(plan, text_bytes=256 + (12 * self.shards if "upto" in plan.columns else 0))
         if whole is not plan:
             return df.join(whole, "source")
         salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -176,21 +187,23 @@ class Plan:
         """Documents of the blocks from the edge on that are taken once more, so that the target is met.
 
         In the order of their places, documents are taken while they go into what is missing; then, of those that are
-        not too large for what is missing now, again, FILLS times in all. At last the document whose size fits best what
-        is missing is added, though it may be a little larger.
+        not too large for what is missing now, again, until none is left that would go into it. At last the document whose
+        size fits best what is missing is added, if that comes nearer. So what a target misses, or has too much, is at
+        most half the smallest document of those blocks that was not taken.
         """
         plan = self.sources.filter("edge >= 0").select("source", "blocks", "edge", F.col("rest") - F.col("ahead"))
         plan = plan.toDF("source", "blocks", "edge", "room")
         near = self._with(self.rows.filter("size > 0"), plan).withColumn("spot", _spot()).filter(f"spot >= edge AND spot < edge + {EDGE_BLOCKS}")
         rows = near.groupBy("source", "place").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+        rows = cut(rows.withColumns({"more": F.lit(False), "gap": F.col("room")}), "edges")
         of_source = Window.partitionBy("source")
         upto = of_source.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumns({"more": F.lit(False), "gap": F.col("room")})
-        for _ in range(FILLS):
-            able = ~F.col("more") & (F.col("size") <= F.col("gap"))
+        able = ~F.col("more") & (F.col("size") <= F.col("gap"))
+        while not rows.filter(able).isEmpty():
             rows = rows.withColumn("filled", F.sum(F.when(able, F.col("size"))).over(upto))
             rows = rows.withColumn("more", F.col("more") | (able & (F.col("filled") <= F.col("gap"))))
             rows = rows.withColumn("gap", F.col("room") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(of_source))
+            rows = cut(rows.drop("filled"), "edges")
         miss = F.abs(F.col("gap") - F.col("size"))
         best = F.min(F.when(~F.col("more") & (miss < F.col("gap")), F.struct(miss.alias("miss"), "place"))).over(of_source)
         rows = rows.withColumn("best", best)
@@ -198,9 +211,10 @@ class Plan:
 
     def drawn(self, df: DataFrame) -> DataFrame:
         """df, which has source and place, with the columns of its source and ``shards``: of each copy that is taken, the
-        shard that draws its block. Copy e of a document lies in the block's draw e of its source; the source's draws
-        stand in its group's, which are permuted, and each leaf draws as many of them as the tree gave it."""
-        own = self._with(df, self.sources.select("source", "source_size", "target", "blocks", "whole", "edge", "quota", "group", "first")).join(F.broadcast(self.groups), "group")
+        shard that draws its block. Copy e of a document lies in the block's draw e of its source; the source's draws are
+        permuted, and each shard draws as many of them as the tree gave it, from where the shard before it ended."""
+        plan = self.sources.select("source", "source_size", "target", "blocks", "whole", "edge", "quota", F.col("shards").alias("_shards"), "upto")
+        own = self._with(df, plan)
         changes = bounded(self.changes, text_bytes=256)
         own = own.join(changes, (own["source"] == changes["_source"]) & (own["place"] == changes["_place"]), "left")
         spot = _spot()
@@ -208,12 +222,10 @@ class Plan:
 
         def shard(e: Column) -> Column:
             draw = F.least(e * F.col("blocks") + spot, F.col("quota") - 1)
-            at = F.pmod((F.col("first") + draw) * F.col("step"), F.col("drawn"))
-            leaf = _at_most(F.col("upto"), at)
-            return (leaf * self.each + F.pmod(at, F.lit(self.each))).cast("int") if self.each > 1 else leaf
+            return F.get("_shards", _at_most(F.col("upto"), F.pmod(draw * _PRIME, F.col("quota")), self.shards))
 
         epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
-        return own.withColumn("shards", F.transform(epochs, shard)).drop("whole", "edge", "quota", "group", "first", "drawn", "step", "upto", "_source", "_place")
+        return own.withColumn("shards", F.transform(epochs, shard)).drop("whole", "edge", "quota", "_shards", "upto", "_source", "_place")
 
 
 def _spot() -> Column:
@@ -246,8 +258,9 @@ def mix(
     text has none, and a null source is a source of its own. A document without words is taken with its block and adds
     nothing. Rows that repeat an id are documents of their own, except that rows equal in id and text are taken alike.
     Where no document has a word, every target is 0. An empty table gives no rows; further columns of docs play no part.
-    Any number of sources is planned exactly. Reruns agree: every order comes from hashes of ids and texts, every draw
-    from ``seed``. Shards grow in number with the words; only sources' and groups' rows are joined, never documents.
+    Any number of sources and shards is planned exactly. Reruns agree: every order comes from hashes of ids and texts, every
+    draw from ``seed``. Shards grow in number with the words; a source's target is missed by half of one document at most,
+    the smallest untaken one of the blocks about its edge. Documents are joined with rows of their sources alone.
     """
     plan = Plan(docs, id_col, text_col, source_col, weights, shards, block_words, seed)
     return plan.drawn(plan.rows).select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")

@@ -36,11 +36,11 @@ def test_targets(spark, sizes, weights):
     assert sum(targets) == pytest.approx(sum(sizes))
 
 
-def brute_mix(rows, targets, shards, block_words, seed, groups=None):
+def brute_mix(rows, targets, shards, block_words, seed):
     """(doc_id, place, size, source) to copies and shards, by the rule of the docstring, in plain Python."""
     prime, out, plan = (1 << 31) - 1, {}, {}
     order = sorted({r[3] for r in rows})
-    for rank, s in enumerate(order):
+    for s in order:
         own = sorted((r for r in rows if r[3] == s), key=lambda r: r[1])
         size = sum(r[2] for r in own)
         blocks = max(1, math.ceil(size / block_words))
@@ -55,8 +55,8 @@ def brute_mix(rows, targets, shards, block_words, seed, groups=None):
         if edge >= 0:
             near = [r for r in own if r[2] > 0 and edge <= spot[r[0]] < edge + mixing.EDGE_BLOCKS]
             gap = room
-            for _ in range(mixing.FILLS):
-                able, filled, now = [r for r in near if r[0] not in more and r[2] <= gap], 0, set()
+            while able := [r for r in near if r[0] not in more and r[2] <= gap]:
+                filled, now = 0, set()
                 for r in able:
                     filled += r[2]
                     if filled <= gap:
@@ -67,26 +67,18 @@ def brute_mix(rows, targets, shards, block_words, seed, groups=None):
             more |= {best[2]} if best else set()
         for r in own:
             out[r[0]] = whole + (spot[r[0]] < edge or r[0] in more)
-        plan[s] = (rank % (groups or len(order)), whole * blocks + edge + 1, blocks, spot)
-    drawn = {g: sum(p[1] for p in plan.values() if p[0] == g) for g in {p[0] for p in plan.values()}}
-    upto = np.cumsum(split_quotas(np.array([drawn[g] for g in sorted(drawn)]), shards, seed), axis=0)
-    ahead = dict.fromkeys(drawn, 0)
+        plan[s] = (whole * blocks + edge + 1, blocks, spot)
+    drawn = [s for s in order if plan[s][0]]
+    upto = np.cumsum(split_quotas(np.array([plan[s][0] for s in drawn]), shards, seed), axis=0)
     result = {}
-    for s in order:
-        g, quota, blocks, spot = plan[s]
-        for r in rows:
-            if r[3] == s:
-                draws = [min(e * blocks + spot[r[0]], quota - 1) for e in range(out[r[0]])]
-                at = [(ahead[g] + d) * mixing.stride(drawn[g], seed) % drawn[g] for d in draws]
-                result[r[0]] = [int((upto[:, sorted(drawn).index(g)] <= a).sum()) for a in at]
-        ahead[g] += quota
+    for r in rows:
+        quota, blocks, spot = plan[r[3]]
+        draws = [min(e * blocks + spot[r[0]], quota - 1) for e in range(out[r[0]])]
+        result[r[0]] = [int((upto[:, drawn.index(r[3])] <= d * prime % quota).sum()) for d in draws]
     return result
 
 
-@pytest.mark.parametrize("cells", [None, 3 * 16])
-def test_draws_match_a_plain_version(spark, docs_of, monkeypatch, cells):
-    if cells:
-        monkeypatch.setattr(mixing, "PLAN_CELLS", cells)
+def test_draws_match_a_plain_version(spark, docs_of):
     rng = np.random.default_rng(1)
     rows = [(i, f"u{i} " + "w " * int(rng.integers(0, 90)) * (1 + 20 * (i % 97 == 0)), f"s{int(rng.integers(0, 30)) ** 2 % 8}") for i in range(700)]
     docs = docs_of(rows)
@@ -94,7 +86,7 @@ def test_draws_match_a_plain_version(spark, docs_of, monkeypatch, cells):
     got = {r["doc_id"]: r for r in mix(docs, **options).collect()}
     held = docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(7)).alias("place")).collect()
     plain = [(r["doc_id"], r["place"], got[r["doc_id"]]["size"], rows[r["doc_id"]][2]) for r in held]
-    want = brute_mix(plain, {r[3]: got[r[0]]["target"] for r in plain}, 16, 150, 7, 3 if cells else None)
+    want = brute_mix(plain, {r[3]: got[r[0]]["target"] for r in plain}, 16, 150, 7)
     assert {i: list(r["shards"]) for i, r in got.items()} == want
     assert all(r["taken"] == len(want[i]) * r["size"] for i, r in got.items())
     assert len({s for shards in want.values() for s in shards}) == 16
@@ -153,10 +145,49 @@ def test_repeated_and_null_ids_are_mixed_as_rows_of_their_own(docs_of):
     assert sum(words(r["text"]) for r in mixed_rows(docs).collect()) == sum(r["taken"] for r in taken)
 
 
-def test_more_shards_than_leaves(docs_of, monkeypatch):
+def plan_of(docs, **options):
+    return mixing.Plan(docs, "doc_id", "text", "source", (5, 2, 1), options.get("shards"), options.get("block_words"), options.get("seed", 7))
+
+
+def drawn_by(plan):
+    """Draws per source (rows) and shard, and the sources' quotas."""
+    rows = [r for r in plan.sources.collect() if r["quota"]]
+    out = np.zeros((len(rows), plan.shards), np.int64)
+    for i, r in enumerate(rows):
+        out[i, r["shards"]] = np.diff([0, *r["upto"]])
+    return out, np.array([r["quota"] for r in rows])
+
+
+def test_a_tree_of_more_shards_than_top_nodes_takes_the_same(docs_of, monkeypatch):
     rows = [(i, "w " * (i % 20 + 1), "a" if i < 100 else "b") for i in range(400)]
-    monkeypatch.setattr(mixing, "MAX_LEAVES", 4)
+    monkeypatch.setattr(mixing, "TOP_NODES", 4)
     out = mix(docs_of(rows), shards=10, block_words=16).collect()
-    assert {s for r in out for s in r["shards"]} == set(range(12))
+    assert {s for r in out for s in r["shards"]} == set(range(10))
+    draws, quotas = drawn_by(plan_of(docs_of(rows), shards=10, block_words=16))
+    assert (draws.sum(axis=1) == quotas).all() and np.ptp(draws.sum(axis=0)) <= 3
     monkeypatch.undo()
     assert {r["doc_id"]: r["taken"] for r in out} == {r["doc_id"]: r["taken"] for r in mix(docs_of(rows), shards=3, block_words=16).collect()}
+
+
+def test_600_shards_and_4700_sources_draw_hypergeometrically(docs_of):
+    rows = [(i, "w " * 8, f"s{i % 7000 if i % 3 else i % 40}") for i in range(30_000)]
+    plan = plan_of(docs_of(rows), shards=600, block_words=8)
+    draws, quotas = drawn_by(plan)
+    assert len(quotas) > mixing.TOP_CELLS // mixing.TOP_NODES and plan.shards > mixing.TOP_NODES
+    assert (draws.sum(axis=1) == quotas).all()
+    per, total = draws.sum(axis=0), int(quotas.sum())
+    assert np.ptp(per) <= 3
+    # the variance of a source's draws over the shards, against a hypergeometric draw of total / shards
+    each = total / 600
+    want = each * (quotas / total) * (1 - quotas / total) * (total - each) / (total - 1)
+    got = ((draws - quotas[:, None] / 600) ** 2).mean(axis=1)
+    large = quotas >= np.sort(quotas)[-100]
+    for some in (large, ~large):
+        assert abs(got[some].sum() / want[some].sum() - 1) < 0.1
+
+
+def test_sources_are_pooled_without_losing_draws(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "TOP_CELLS", 6 * 16)
+    rows = [(i, "w " * (i % 30 + 1), f"s{i % 40 if i % 2 else 0}") for i in range(900)]
+    draws, quotas = drawn_by(plan_of(docs_of(rows), shards=16, block_words=20))
+    assert (draws.sum(axis=1) == quotas).all() and np.ptp(draws.sum(axis=0)) <= 3
