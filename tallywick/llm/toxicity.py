@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,10 @@ DIM = 12
 FILTERS = {1: 8, 2: 4, 3: 4}
 #: A word is embedded as the sum of its own row and that of its first letters, so that unseen endings are no blind spot.
 PREFIX = 4
-#: Bound on what the model is fitted to: so many labelled rows of either label, in the order of a hash of their id. Of a
-#: longer text, this many windows of so many bytes, evenly spread and each with the text's label, stand for it in fitting.
-#: They bound the driver's memory; thresholds come from whole texts, and every text is scored whole, whatever its length.
+#: Bounds on what the model is fitted to, for the driver's memory: so many labelled rows of either label, in the order of
+#: a hash of their id, and of these as many as have so many characters together. Their texts are fitted to whole.
 MAX_TRAIN_ROWS = 2000
-WINDOWS, WINDOW_BYTES = 4, 5000
+MAX_TRAIN_CHARS = 64 << 20
 #: Every so many-th labelled row, by a hash of its id, is never fitted to: all of these rows calibrate the thresholds.
 CALIBRATE_MOD = 5
 #: Scored logits are counted in bins of this width, per language and label, between these bounds.
@@ -167,8 +166,9 @@ def _parts(texts: list[str | None], most: int = 2_000_000) -> Iterator[slice]:
         yield slice(low, len(texts))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fit embeddings, filters and output by Adam on the cross-entropy; first thresholds on every fifth text, held back.
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, hold: bool = True) -> Model:
+    """Fit embeddings, filters and output by Adam on the cross-entropy; first thresholds on every fifth text, held back, or
+    with ``hold`` off on the texts themselves, for a caller that sets thresholds by others.
 
     A bucket starts at the smoothed log-odds of its texts' labels, in the first component that the filters lean on, so
     that what tells the labels apart wins the maxima from the start: only the window that wins a filter's maximum gets its
@@ -180,7 +180,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     bias = {w: np.full(f, 0.01) for w, f in FILTERS.items()}
     out = np.abs(rng.normal(0.5, 0.1, sum(FILTERS.values()))) * np.where(np.arange(sum(FILTERS.values())) % 4 == 3, -1, 1)
     out_bias = np.array([-2.0])
-    held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.arange(len(texts)) % 5 == 4 if hold and len(texts) >= 50 else np.zeros(len(texts), bool)
     fit = np.flatnonzero(~held)
     model = Model(emb, filters, bias, out, float(out_bias[0]))
     if not len(fit) or len(set(labels.tolist())) < 2:
@@ -365,36 +365,33 @@ def labelled(labels: DataFrame, label: str, seen: Column) -> DataFrame:
     return known.withColumnRenamed("_id", "doc_id").filter(seen).groupBy("doc_id").agg(F.max("_label").alias("_label"))
 
 
-def training_rows(docs: DataFrame, known: DataFrame, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, _label of up to ``most`` labelled rows of either label, the first by a hash of their id. Of rows that
-    repeat an id, the text that comes first by code point."""
+def training_rows(docs: DataFrame, known: DataFrame, most: int = MAX_TRAIN_ROWS, chars: int | None = None) -> DataFrame:
+    """doc_id, text, _label of up to ``most`` labelled rows of either label, the first by a hash of their id, and of these
+    the first that have ``chars`` characters together, if that is given; whole texts, always. Of rows that repeat an id,
+    the text that comes first by code point."""
     chosen = known.filter("_label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = chosen.union(known.filter("_label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # At most twice `most` rows of two numbers: a proven bound, so they go to the texts rather than the texts to them.
+    if chars is not None:
+        sizes = docs.select("doc_id", F.length("text").alias("_n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.max("_n").alias("_n"))
+        upto = F.sum(F.coalesce("_n", F.lit(0)) + 1).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+        chosen = sizes.withColumn("_upto", F.coalesce(upto, F.lit(0))).filter((F.col("_upto") + F.coalesce("_n", F.lit(0)) <= chars) | (F.col("_upto") == 0)).select("doc_id", "_label")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
 
-def _windows(text: Column) -> Column:
-    """A text, or WINDOWS stretches of one that is longer than all of them."""
-    most = WINDOWS * WINDOW_BYTES
-    step = (F.length(text) - WINDOW_BYTES) / (WINDOWS - 1)
-    cuts = F.array(*[F.substring(text, (step * k + 1).cast("int"), F.lit(WINDOW_BYTES)) for k in range(WINDOWS)])
-    return F.when(F.length(text) > most, cuts).otherwise(F.array(text))
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labels.toxic, from rows whose crc32(doc_id as text) mod 5 is not 0.
 
     A fifth of those rows is left out of the fit. Whole texts of all of them are scored and counted by guessed language,
     label and bin of the logit, which is all that reaches the driver; so the thresholds rest on all data and on its own
-    share of toxic texts, at any size. Where that fifth has one label only, the fit's own held-back texts serve.
+    share of toxic texts, at any size. Where that fifth has one label only, a fifth of the fit's rows is held back for it.
     """
     known = cut(labelled(labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0), "labelled")
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE_MOD)) == 0
-    rows = training_rows(docs, known.filter(~held)).select("doc_id", F.explode(_windows(F.col("text"))).alias("text"), "_label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    model = train([r["text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
+    told = known.filter(held).agg(F.min("_label").alias("low"), F.max("_label").alias("high")).first()
+    rows = sorted(training_rows(docs, known.filter(~held), chars=MAX_TRAIN_CHARS).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    model = train([r["text"] for r in rows], np.array([r["_label"] for r in rows], np.int64), hold=told["low"] == told["high"])
     others = bounded(known.filter(held))
     counts = docs.select("doc_id", "text").join(others, "doc_id").select(binned(model)("text").alias("at"), "_label").groupBy("at", "_label").count().collect()
     y, n, at = (np.array([r[c] for r in counts], np.int64) for c in ("_label", "count", "at"))
