@@ -26,7 +26,13 @@ _PRIORITY = {name: i for i, (name, *_) in enumerate(_COMPILED)}
 _HEALTH = re.compile(HEALTH_LABEL, re.I)
 #: What a second pass masks wherever it stands: tokens shaped like an identifier, and addresses no recogniser took.
 _TOKEN = re.compile(r"[^\W_][\w/.\-]*[^\W_]")
-_PLACEHOLDER = re.compile(r"<\s*([A-Za-z]+(?:[_\-\s]+[A-Za-z]+)*)[_\-\s]+0*(\d+)\s*>")
+#: A placeholder in brackets, in any case, with a few spaces, hyphens and leading zeros; or bare, as it was written.
+_KIND = r"[A-Za-z]{1,24}(?:[_\-\s]{1,4}[A-Za-z]{1,24}){0,3}"
+_NUMBER = r"\d{1,9}(?:\.\d{1,3})?"
+_PLACEHOLDER = re.compile(rf"<\s{{0,4}}({_KIND})[_\-\s]{{1,4}}0{{0,8}}({_NUMBER})\s{{0,4}}>|(?<![A-Za-z0-9_])([A-Z]{{1,24}}(?:_[A-Z]{{1,24}}){{0,3}})_({_NUMBER})(?![A-Za-z0-9_])")
+#: No placeholder is longer. What may yet become one, at the end of a text: an open bracket, or a word in capitals.
+LONGEST = 160
+_UNFINISHED = re.compile(r"<[\sA-Za-z0-9_.\-]*\Z|(?<![A-Za-z0-9_])[A-Z][A-Z0-9_.]*\Z")
 
 
 def detect(text: str) -> list[tuple[int, int, str, float, str]]:
@@ -58,7 +64,7 @@ def resolve(spans: list[tuple]) -> list[tuple]:
             reach = (s[0], s[1])
     kept: list[tuple] = []
     starts: list[int] = []
-    for s in sorted(outer, key=lambda s: (-s[3], s[0] - s[1], _PRIORITY[s[4]], s[0])):
+    for s in sorted(outer, key=lambda s: (-s[3], s[0] - s[1], _PRIORITY.get(s[4], len(_PRIORITY)), s[0])):
         at = bisect.bisect_left(starts, s[1])
         if at == 0 or kept[at - 1][1] <= s[0]:
             at = bisect.bisect_left(starts, s[0])
@@ -115,7 +121,7 @@ def mask(text: str, allow: frozenset[str] = frozenset(), carried: dict[str, str]
         kind = _kind(placeholder)
         key = kind, " ".join(value.casefold().split())
         names[(kind, value, "as written") if key in names else key] = placeholder
-        counts[kind] = max(counts.get(kind, 0), int(placeholder[1:-1].rsplit("_", 1)[1]))
+        counts[kind] = max(counts.get(kind, 0), int(placeholder[1:-1].rsplit("_", 1)[1].split(".")[0]))
     for start, end, kind, _, _ in spans:
         value = text[start:end]
         key = kind, " ".join(value.casefold().split())
@@ -137,10 +143,13 @@ def mask(text: str, allow: frozenset[str] = frozenset(), carried: dict[str, str]
 
 
 def restore(text: str, vault: dict[str, str]) -> str:
-    """Values back for placeholders, tolerant of case, spaces, hyphens and leading zeros inside the brackets."""
+    """Values back for placeholders, tolerant of case, spaces, hyphens and leading zeros inside the brackets. Without
+    brackets a placeholder must be as it was written, and a word of its own."""
 
     def one(m: re.Match[str]) -> str:
-        return vault.get(f"<{re.sub(r'[_\-\s]+', '_', m[1]).upper()}_{int(m[2])}>", m[0])
+        kind, number = (m[1], m[2]) if m[1] else (m[3], m[4])
+        whole, *part = number.split(".")
+        return vault.get(f"<{re.sub(r'[_\-\s]+', '_', kind).upper()}_{'.'.join([str(int(whole)), *part])}>", m[0])
 
     return _PLACEHOLDER.sub(one, text)
 
@@ -215,9 +224,10 @@ def redact_requests(turns: DataFrame, by: str = "conv_id", order: str = "turn",
 def outbound(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
     """What may be sent of masked documents: doc_id, masked (null where refused) and refusals, a count by kind.
 
-    Refused is what the guard finds (values, digits of them, shapes), and a text that had, before it was masked, one of
-    the placeholders that were then used for something else."""
-    found = leaks(redacted, allow).groupBy("doc_id", "kind").agg(F.sum("leaked").alias("n"))
+    Refused is what the guard finds of values and shapes, and a text that had, before it was masked, one of the
+    placeholders that were then used for something else. Digits of a value alone are reported by leaks(), and refuse
+    nothing: three digits in a row may be anyone's."""
+    found = leaks(redacted, allow).filter("kind <> 'digits'").groupBy("doc_id", "kind").agg(F.sum("leaked").alias("n"))
     clashes = redacted.filter("clashes > 0").select("doc_id", F.lit("placeholder").alias("kind"), F.col("clashes").cast("long").alias("n"))
     told = found.union(clashes).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("refusals"))
     both = redacted.select("doc_id", "masked").join(told, "doc_id", "left")
@@ -225,24 +235,28 @@ def outbound(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
 
 
 class StreamRestorer:
-    """Values back for placeholders in a text that arrives in pieces: what may be the beginning of a placeholder waits."""
-
-    #: No placeholder is longer than this; a longer stretch after a < is text.
-    MOST = 64
+    """Values back for placeholders in a text that arrives in pieces: its end waits as long as it may be the beginning of
+    a placeholder, so the pieces together are the whole text restored, wherever they are cut."""
 
     def __init__(self, vault: dict[str, str]):
-        self.vault, self.held = vault, ""
+        self.vault, self.rest, self.within = vault, "", ""
+
+    def _told(self, text: str, end: int) -> str:
+        """What is handed on of a text; ``within`` stands for a word that was handed on up to its middle."""
+        out = restore(self.within + text[:end], self.vault)[len(self.within) :]
+        if end:
+            self.within = "x" if text[end - 1].isascii() and (text[end - 1].isalnum() or text[end - 1] == "_") else ""
+        self.rest = text[end:]
+        return out
 
     def feed(self, piece: str) -> str:
-        text = self.held + piece
-        at = text.rfind("<")
-        open_ = at >= 0 and ">" not in text[at:] and len(text) - at <= self.MOST
-        self.held = text[at:] if open_ else ""
-        return restore(text[:at] if open_ else text, self.vault)
+        text = self.rest + piece
+        known = self.within + text
+        waits = _UNFINISHED.search(known, max(0, len(known) - LONGEST))
+        return self._told(text, waits.start() - len(self.within) if waits else len(text))
 
     def finish(self) -> str:
-        out, self.held = restore(self.held, self.vault), ""
-        return out
+        return self._told(self.rest, len(self.rest))
 
 
 def restore_streams(pieces: DataFrame, vaults: DataFrame) -> DataFrame:
@@ -280,11 +294,11 @@ def leaks(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:
     Kinds are ``value`` (a value of the vault), ``digits`` (of a value that isn't there whole, a run of three or more of
     its digits) and ``shape`` (what a recogniser or the second pass would mask). Placeholders are cut out first. A run may
     also be in the text by chance; it is reported, since a guard can't tell."""
-    bare = F.regexp_replace("masked", r"<[A-Z_]+_\d+>", "\n")
+    bare = F.regexp_replace("masked", r"<[A-Z_]+_\d+(\.\d+)?>", "\n")
     values = redacted.select("doc_id", bare.alias("bare"), F.explode("vault").alias("placeholder", "value"))
     runs = F.regexp_extract_all(F.replace("value", F.lit(" ")), F.lit(r"([0-9]{3,})"), F.lit(1))
     kind = F.when(F.instr(F.lower("bare"), F.lower(F.col("value"))) > 0, "value").when(F.exists(runs, lambda r: F.col("bare").contains(r)), "digits")
-    known = values.select("doc_id", kind.alias("kind"), F.regexp_extract("placeholder", r"<(.+)_\d+>", 1).alias("entity_type")).filter("kind IS NOT NULL")
+    known = values.select("doc_id", kind.alias("kind"), F.regexp_extract("placeholder", r"<(.+)_\d+(?:\.\d+)?>", 1).alias("entity_type")).filter("kind IS NOT NULL")
     allowed = frozenset(a.casefold() for a in allow or ())
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywick.functions.text import identifier_shaped, luhn, normalised
+from tallywick.operators import names
 from tallywick.operators import redact as rd
 from tallywick.operators import screen as sc
 from tallywick.plans.registry import query, table
@@ -141,3 +142,57 @@ def phrase_overmask(spark, sf_dir):
 @query("normalised_questions", r"SELECT conv_id, turn, sha256(lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS question_hash FROM conversations WHERE role = 'user'")
 def normalised_questions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.sha2(normalised(F.col("text")), 256).alias("question_hash"))
+
+
+#: Stands for what a detector of names gives: the first capitalised word of a text that is not its first.
+NAMED = r"[ \n]([A-Z][a-z]{3,})[ ,.\n]"
+
+SWEPT_SQL = r"""
+WITH told AS (
+    SELECT doc_id, text, regexp_extract(text, '[ \n]([A-Z][a-z]{3,})[ ,.\n]', 1) AS part, strpos(text, regexp_extract(text, '[ \n]([A-Z][a-z]{3,})[ ,.\n]', 0)) AS place FROM documents
+), pieces AS (
+    SELECT doc_id, part, place, unnest(p) AS piece, generate_subscripts(p, 1) AS nr
+    FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p FROM told WHERE part <> '')
+), placed AS (
+    SELECT *, sum(length(piece)) OVER w - length(piece) AS start, lag(piece) OVER w AS gap, lag(piece, 2) OVER w AS before FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY nr)
+), hits AS (
+    SELECT *, CASE WHEN before = part AND regexp_full_match(gap, '[ \t]+|-') THEN 0 ELSE 1 END AS begins FROM placed WHERE piece = part
+), runs AS (
+    SELECT doc_id, part, max(CASE WHEN start = place THEN 1 ELSE 0 END) AS known FROM (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY nr) AS run FROM hits) GROUP BY doc_id, part, run
+)
+SELECT doc_id, part, count(*) FILTER (WHERE known = 0) AS swept, count(*) FILTER (WHERE known = 1) AS found FROM runs GROUP BY doc_id, part
+"""
+
+
+def _named_pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.regexp_extract("text", NAMED, 1) != "")
+    start = F.regexp_instr("text", F.lit(NAMED))
+    spans = docs.select("doc_id", F.lit(1).alias("page"), start.alias("start"), (start + F.length(F.regexp_extract("text", NAMED, 1))).alias("end"), F.lit("PERSON").alias("entity_type"), F.lit(0.9).alias("score"), F.lit("first-name").alias("recogniser"))
+    return docs.select("doc_id", F.lit(1).alias("page"), "text"), spans
+
+
+@query("swept_names", SWEPT_SQL)
+def swept_names(spark, sf_dir):
+    """What the sweep adds to one detected name of each document, whatever its length."""
+    pages, spans = _named_pages(spark, sf_dir)
+    told = names.provenance(names.sweep_documents(pages, spans))
+    own = pages.select("doc_id", F.regexp_extract("text", NAMED, 1).alias("part"))
+    counts = told.groupBy("doc_id").agg(*[F.count(F.when(F.col("how") == h, 1)).alias(h) for h in ("swept", "found")])
+    return own.join(counts, "doc_id").select("doc_id", "part", "swept", "found")
+
+
+PEOPLE_SQL = r"""
+WITH told AS (
+    SELECT doc_id, text, regexp_extract(text, '[ \n]([A-Z][a-z]{3,})[ ,.\n]', 1) AS part FROM documents
+)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: w = part)) AS mentions, true AS restored FROM told WHERE part <> ''
+"""
+
+
+@query("people_masked", PEOPLE_SQL)
+def people_masked(spark, sf_dir):
+    """Each document masked under one detected name: its mentions, and whether restoring gives the text back."""
+    pages, spans = _named_pages(spark, sf_dir)
+    masked = names.mask_people(pages, spans, shapes=False)
+    both = masked.join(pages.select("doc_id", "text"), "doc_id")
+    return both.select("doc_id", F.regexp_count("masked", F.lit("<PERSON_1>")).cast("long").alias("mentions"), (rd.restored("masked", "vault") == F.col("text")).alias("restored"))
