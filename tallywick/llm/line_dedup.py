@@ -181,7 +181,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if told:
                 hashes, told = np.unique(np.concatenate([hashes, *told])), []
             own = np.frombuffer(keys, "<i8").reshape(-1, 2)
-            own = own[np.isin(own[:, 0].view(np.uint64), hashes)]
+            known = heads(keys)
+            own = own[np.searchsorted(hashes, known, "right") > np.searchsorted(hashes, known)]
             rows.append(np.full(len(own), i))
             found.append(own)
         both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
