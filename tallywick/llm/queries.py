@@ -219,11 +219,13 @@ WITH pieces AS (
     SELECT * FROM counts WHERE size > 1 AND f >= 10
 ), cuts AS (
     SELECT lang, phrase, f AS a, w, unnest(range(1, size)) AS k FROM candidates
+), keyed AS (
+    SELECT lang || ' ' || phrase AS key, f FROM counts
+), parts AS (
+    SELECT *, lang || ' ' || array_to_string(w[1:k], ' ') AS l_key, lang || ' ' || array_to_string(w[k + 1:], ' ') AS r_key FROM cuts
 ), scored AS (
-    SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
-    FROM cuts c
-    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
-    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')
+    SELECT p.lang, p.phrase, p.a, p.k, l.f AS l, r.f AS r, (1000000::HUGEINT * p.a * p.a) // (l.f::HUGEINT * r.f) AS score
+    FROM parts p JOIN keyed l ON l.key = p.l_key JOIN keyed r ON r.key = p.r_key
 ), best AS (
     SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inside AS (

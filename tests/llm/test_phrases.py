@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,8 +64,10 @@ def test_equals_plain_version(spark, max_words, contained, top):
     assert sorted(map(tuple, found)) == plain(rows, max_words, 10, contained, top)
 
 
-def test_tries_of_few_bytes_are_merged(spark, monkeypatch):
+def test_many_tries_and_ranges_are_merged(spark, monkeypatch):
     monkeypatch.setattr(phrases, "TRIE_BYTES", 200)
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 500)
+    monkeypatch.setattr(phrases, "MERGE_NODES", 50)
     rows = made(200, 8) + [("en", "very " * 3000)]
     found = phrases.collocations(table(spark, rows).repartition(5)).collect()
     assert sorted(map(tuple, found)) == plain(rows)
@@ -88,7 +91,30 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert row["s"] == 10**6 * a * a // (left * right)
 
 
+def nodes_of(run):
+    return [[(bytes(p.as_py()), int(c)) for p, c in zip(run.phrases(d, np.arange(len(n))), n)] for d, (_, n) in enumerate(run.levels)]
+
+
 def test_trie_levels_come_sorted():
-    trie = phrases.Trie(b"b a b. a B\tb a", 3)
-    levels = [[(bytes(p.as_py()), int(c)) for p, c in zip(phrases_, count)] for phrases_, count in trie.runs()]
-    assert levels == [[(b"", 7)], [(b"a", 3), (b"b", 4)], [(b"a b", 2), (b"b a", 2), (b"b b", 1)], [(b"a b b", 1), (b"b a b", 1), (b"b b a", 1)]]
+    run = phrases.trie(b"b a b. a B\tb a", 3)
+    assert nodes_of(run) == [[(b"a", 3), (b"b", 4)], [(b"a b", 2), (b"b a", 2), (b"b b", 1)], [(b"a b b", 1), (b"b a b", 1), (b"b b a", 1)]]
+
+
+def test_runs_are_cut_packed_and_merged_without_loss():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b c d ab".split()) for _ in range(200)).encode() for _ in range(4)]
+    runs = [phrases.trie(t, 3) for t in texts]
+    whole = nodes_of(phrases.trie(b"\n".join(texts), 3))
+    assert nodes_of(phrases.merge(runs)) == whole
+    bounds = [(b"a", b"c", b"z"), (b"ab",), (b"b", b"a"), (b"c", b"zz", b"a")]
+    parts = [[] for _ in range(5)]
+    for run in runs:
+        known = run.words.to_pylist()
+        edges = [[0, *(run.starts(d, b, known) for b in bounds), len(n)] for d, (_, n) in enumerate(run.levels)]
+        for k in range(5):
+            parts[k].append(phrases.Run.unpack(*run.between([slice(e[k], e[k + 1]) for e in edges]).pack(), 3))
+    cut = [nodes_of(phrases.merge(p)) for p in parts]
+    assert [sum((c[d] for c in cut), []) for d in range(3)] == whole
+    words = [tuple(p.split(b" ")) for k in range(5) for level in cut[k] for p, _ in level]
+    low = [sorted(w for level in cut[k] for w in [tuple(p.split(b" ")) for p, _ in level]) for k in range(5)]
+    assert len(words) == len(set(words)) and all(a[-1] < b <= c[0] for a, b, c in zip(low, bounds, low[1:]))
