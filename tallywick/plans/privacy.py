@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywick.functions.text import identifier_shaped, luhn, normalised
+from tallywick.operators import annotated as an
 from tallywick.operators import names
 from tallywick.operators import redact as rd
 from tallywick.operators import screen as sc
@@ -196,3 +197,59 @@ def people_masked(spark, sf_dir):
     masked = names.mask_people(pages, spans, shapes=False)
     both = masked.join(pages.select("doc_id", "text"), "doc_id")
     return both.select("doc_id", F.regexp_count("masked", F.lit("<PERSON_1>")).cast("long").alias("mentions"), (rd.restored("masked", "vault") == F.col("text")).alias("restored"))
+
+
+ANNOTATED = """
+WITH t AS (
+    SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS p FROM documents)
+), w AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS nr, piece FROM t WHERE regexp_matches(piece, '^[\\p{L}\\p{N}]')
+), judged AS (
+    SELECT doc_id, nr, length(piece) AS n, regexp_matches(piece, '^[A-Z]') AS masked, nr % 17 = 0 OR nr % 23 = 0 AS a_needs, nr % 17 = 0 AS direct, nr % 23 = 0 AND nr % 17 <> 0 AS quasi, nr % 29 = 0 AND nr % 17 <> 0 AND nr % 23 <> 0 AS safe, nr % 13 = 0 AS b_needs FROM w
+)
+"""
+
+CORPUS_SQL = ANNOTATED + """
+SELECT doc_id, count(*) FILTER (WHERE direct AND masked) + count(*) FILTER (WHERE b_needs AND masked) AS direct, count(*) FILTER (WHERE direct) + count(*) FILTER (WHERE b_needs) AS direct_total,
+       count(*) FILTER (WHERE quasi AND masked) AS quasi, count(*) FILTER (WHERE quasi) AS quasi_total,
+       count(*) FILTER (WHERE masked AND a_needs) + count(*) FILTER (WHERE masked AND b_needs) AS precise, 2 * count(*) FILTER (WHERE masked) AS judged,
+       count(*) FILTER (WHERE safe AND masked) AS safe_touched, count(*) FILTER (WHERE safe) AS safe, coalesce(CAST(sum(n) FILTER (WHERE masked) AS BIGINT), 0) AS masked_chars
+FROM judged GROUP BY doc_id
+"""
+
+
+def _annotated(spark, sf_dir):
+    """Documents as an annotated corpus: the words of one reader's, at every 17th and 23rd place, of another's at every
+    13th, words that may stay, and what a redaction that takes capitalised words would mask."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = an.tokens(docs)
+    nr = F.col("nr")
+    kind = F.when(nr % 17 == 0, an.DIRECT).when(nr % 23 == 0, an.QUASI).when(nr % 29 == 0, an.SAFE)
+    one = words.select("doc_id", F.lit("a").alias("annotator"), nr.cast("string").alias("entity_id"), kind.alias("identifier_type"), "start", "end").filter("identifier_type IS NOT NULL")
+    two = words.filter(nr % 13 == 0).select("doc_id", F.lit("b").alias("annotator"), nr.cast("string").alias("entity_id"), F.lit(an.DIRECT).alias("identifier_type"), "start", "end")
+    return docs, one.union(two), words.filter(F.col("word").rlike("^[A-Z]")).select("doc_id", "start", "end")
+
+
+@query("annotated_scores", CORPUS_SQL)
+def annotated_scores(spark, sf_dir):
+    """What each document's mask has found of its annotations, over every word of every document."""
+    return an.score_corpus(*_annotated(spark, sf_dir)).filter("direct_total > 0").drop("chars")
+
+
+@query(
+    "allowed_words",
+    """
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS p FROM documents), t AS (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS place FROM p),
+w AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS nr FROM t WHERE regexp_matches(word, '^[\\p{L}\\p{N}]')),
+m AS (SELECT *, nr % 17 = 0 OR nr % 23 = 0 OR nr % 13 = 0 AS need, nr % 29 = 0 AND nr % 17 <> 0 AND nr % 23 <> 0 AS safe FROM w),
+told AS (SELECT doc_id, word, nr % 17 = 0 OR nr % 23 = 0 AS need FROM m WHERE nr % 17 = 0 OR nr % 23 = 0 OR nr % 29 = 0 UNION ALL SELECT doc_id, word, true FROM m WHERE nr % 13 = 0),
+share AS (SELECT lower(word) AS key, avg(CASE WHEN need THEN 1.0 ELSE 0.0 END) AS share FROM told GROUP BY 1),
+s AS (SELECT word AS phrase, count(DISTINCT doc_id) AS documents FROM told WHERE NOT need GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+c AS (SELECT word AS phrase, count(DISTINCT doc_id) AS documents FROM m WHERE regexp_matches(word, '^\\p{Lu}') AND length(word) > 1 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2 AND NOT bool_or(need))
+SELECT phrase, max(documents) AS documents FROM (SELECT s.phrase, documents FROM s JOIN share ON lower(s.phrase) = key WHERE share <= 0.1 UNION ALL SELECT * FROM c) GROUP BY 1
+""",
+)
+def allowed_words(spark, sf_dir):
+    """Words that the corpus's annotations let stand in two documents and more, from all of them."""
+    docs, mentions, _ = _annotated(spark, sf_dir)
+    return an.allow_from_mentions(docs, mentions)
