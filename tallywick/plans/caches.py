@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywick.functions.text import normalised
+from tallywick.operators import cache_eval as ce
 from tallywick.operators import vectors as op
 from tallywick.plans.registry import query, table
 
@@ -89,3 +90,81 @@ def vector_curve_others(spark, sf_dir):
 @query("vector_pair_matrix", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.label, b.label AS other_label, count(*) AS pairs, round(avg(round(list_inner_product(a.v, b.v), 9)), 6) AS mean_similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2")
 def vector_pair_matrix(spark, sf_dir):
     return op.pair_matrix(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")))
+
+
+GRID = [0.2, 0.25, 0.3, 0.35, 0.4]
+
+# Every call in turn, at every threshold, with the list of what that threshold's cache holds.
+_REPLAY = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, vec_id % 20 AS scope, label, vec_id % 7 <> 0 AS storable, vec_id % 11 <> 0 AS marked, vec_id % 20 * 1000 + vec_id % 160 // 20 * 3 AS question, (vec_id % 13) / 100.0 AS cost, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+           row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS nr FROM embeddings
+), sims AS (
+    SELECT a.scope, a.nr, b.nr AS other, b.label, b.vec_id AS source, a.question = b.question AS same, round(list_inner_product(a.v, b.v), 9) AS sim FROM v a JOIN v b ON a.scope = b.scope AND b.nr < a.nr
+), t AS (
+    SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4])::DOUBLE AS threshold
+), r AS (
+    SELECT DISTINCT scope, threshold, 0::BIGINT AS nr, []::BIGINT[] AS held, NULL::VARCHAR AS outcome, NULL::DOUBLE AS similarity, NULL::BIGINT AS source FROM v, t
+    UNION ALL
+    SELECT scope, threshold, nr, CASE WHEN outcome = 'miss' AND storable THEN list_append(held, nr) ELSE held END, outcome, CASE outcome WHEN 'exact' THEN 1.0 WHEN 'out' THEN NULL ELSE sim END, CASE outcome WHEN 'exact' THEN exact WHEN 'semantic' THEN near WHEN 'false' THEN near END
+    FROM (
+        SELECT scope, threshold, nr, held, storable, exact, near, sim, CASE WHEN NOT marked THEN 'out' WHEN exact IS NOT NULL THEN 'exact' WHEN sim >= threshold THEN CASE WHEN near_label = label THEN 'semantic' ELSE 'false' END ELSE 'miss' END AS outcome
+        FROM (
+            SELECT r.scope, r.threshold, v.nr, r.held, any_value(v.storable) AS storable, any_value(v.marked) AS marked, any_value(v.label) AS label,
+                   arg_min(s.source, s.other) FILTER (WHERE s.same) AS exact, max(s.sim) AS sim, arg_max(s.source, (s.sim, -s.other)) AS near, arg_max(s.label, (s.sim, -s.other)) AS near_label
+            FROM r JOIN v ON v.scope = r.scope AND v.nr = r.nr + 1 LEFT JOIN sims s ON s.scope = r.scope AND s.nr = v.nr AND list_contains(r.held, s.other)
+            GROUP BY r.scope, r.threshold, v.nr, r.held
+        )
+    )
+), o AS (
+    SELECT v.vec_id, v.question, v.cost, r.* EXCLUDE (held) FROM r JOIN v USING (scope, nr)
+)
+"""
+
+
+def replayed(spark, sf_dir):
+    """Every vector as a call, in order within its scope: some repeat a question, some aren't marked or can't be stored."""
+    i = F.col("vec_id")
+    question = (i % 20 * 1000 + F.floor(i % 160 / 20) * 3).cast("string")
+    calls = table(spark, sf_dir, "embeddings").select(i.alias("id"), (i % 20).alias("scope"), question.alias("question"), F.col("label").alias("family"), (i % 7 != 0).alias("storable"), (i % 11 != 0).alias("marked"), ((i % 13) / 100).alias("cost_usd"), F.col("embedding").alias("v"))
+    return ce.replay_grid(calls, "scope", ["id"], GRID)
+
+
+@query("cache_replay_grid", _REPLAY + "SELECT vec_id AS id, threshold, outcome, round(similarity, 6) AS similarity, source FROM o")
+def cache_replay_grid(spark, sf_dir):
+    return ce.by_threshold(replayed(spark, sf_dir)).select("id", "threshold", "outcome", F.round("similarity", 6).alias("similarity"), "source")
+
+
+@query(
+    "cache_replay_summary",
+    _REPLAY
+    + """, p AS (SELECT threshold, count(*) AS pairs, sum(f) AS pairs_false FROM (SELECT threshold, question, source, max(CASE WHEN outcome = 'false' THEN 1 ELSE 0 END) AS f FROM o WHERE outcome IN ('semantic', 'false') GROUP BY ALL) GROUP BY 1),
+s AS (SELECT threshold, count(*) AS calls, count(*) FILTER (outcome <> 'out') AS looked_up, count(*) FILTER (outcome IN ('exact', 'semantic', 'false')) AS hits, count(*) FILTER (outcome = 'exact') AS exact_hits, count(*) FILTER (outcome IN ('semantic', 'false')) AS semantic_hits, count(*) FILTER (outcome = 'false') AS semantic_false,
+round(sum(cost), 6) AS spend_usd, round(sum(cost) FILTER (outcome IN ('exact', 'semantic', 'false')), 6) AS saved_usd FROM o GROUP BY 1)
+SELECT s.*, coalesce(pairs, 0) AS pairs, CAST(coalesce(pairs_false, 0) AS BIGINT) AS pairs_false, round(hits / looked_up, 6) AS hit_rate, round(saved_usd / spend_usd, 6) AS saved_share FROM s LEFT JOIN p USING (threshold)""",
+)
+def cache_replay_summary(spark, sf_dir):
+    told = ce.replay_summary(ce.by_threshold(replayed(spark, sf_dir)))
+    return told.drop("saved_semantic_usd", "uncosted_hits", "false_of_semantic", "pairs_low", "pairs_high")
+
+
+_EVALUATED = """
+WITH v AS (SELECT vec_id, label, vec_id % 3 AS scope, CASE WHEN vec_id % 2 = 1 THEN 'odd' ELSE 'even' END AS split, CASE WHEN vec_id % 5 = 0 THEN 'persona' ELSE 'paraphrase' END AS kind, vec_id % 4 < 2 AS stored, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS (SELECT q.scope, q.split, q.kind, arg_max(s.label = q.label, (round(list_inner_product(q.v, s.v), 9), -s.vec_id)) AS correct, max(round(list_inner_product(q.v, s.v), 9)) AS sim FROM v q JOIN v s ON s.stored AND NOT q.stored AND q.scope = s.scope AND q.split = s.split GROUP BY q.vec_id, q.scope, q.split, q.kind),
+p AS (SELECT scope, split, kind, threshold, count(*) AS queries, count(*) FILTER (correct AND sim + 1e-9 >= threshold) AS correct, count(*) FILTER (NOT correct AND sim + 1e-9 >= threshold) AS wrong FROM n, (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4])::DOUBLE AS threshold) GROUP BY ALL),
+c AS (SELECT scope, min(CASE WHEN correct + wrong > 0 AND wrong <= 0.9 * (correct + wrong) THEN threshold END) AS chosen FROM p WHERE split = 'odd' AND kind = 'paraphrase' GROUP BY 1)
+SELECT p.*, round(correct / queries, 6) AS hit_rate, CASE WHEN correct + wrong > 0 THEN round(wrong / (correct + wrong), 6) END AS false_rate, chosen FROM p LEFT JOIN c USING (scope)
+"""
+
+
+@query("cache_evaluation", _EVALUATED)
+def cache_evaluation(spark, sf_dir):
+    """Two halves, two kinds of query and three scopes; half of each half is stored, and the odd half chooses."""
+    i = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(i.alias("id"), (i % 3).alias("scope"), ce.half(i).alias("split"), F.when(i % 5 == 0, "persona").otherwise("paraphrase").alias("kind"), (i % 4 < 2).alias("stored"), F.col("label").alias("family"), F.col("embedding").alias("v"))
+    return ce.evaluate(rows.filter("NOT stored"), rows.filter("stored"), GRID, most_false=0.9)
+
+
+@query("cache_hit_rows", _REPLAY + "SELECT vec_id AS call_id, threshold, 0.0::DOUBLE AS cost_usd, 'cached' AS served, round(similarity, 6) AS cache_similarity, source AS source_id FROM o WHERE outcome IN ('exact', 'semantic', 'false')")
+def cache_hit_rows(spark, sf_dir):
+    return ce.hit_rows(ce.by_threshold(replayed(spark, sf_dir)))
