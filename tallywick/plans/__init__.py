@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallywick.plans.registry import ORACLES, QUERIES
 
-FAMILIES: tuple[str, ...] = ("spend", "merging", "policies", "intervals", "chains", "caches", "privacy", "sequences", "evaluations", "gateway")
+FAMILIES: tuple[str, ...] = ("spend", "merging", "policies", "intervals", "chains", "caches", "privacy", "sequences", "evaluations", "gateway", "wires")
 
 
 def load() -> tuple[dict, dict]:
