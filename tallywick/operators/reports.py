@@ -106,10 +106,11 @@ def residency_violations(report: DataFrame, limit: str) -> DataFrame:
 
 
 def _cell(value: Column) -> Column:
-    """A coarse place of a number that never falls as the number grows; cells are about a 1,400th of their values wide."""
+    """A coarse place of a number that never falls as the number grows; cells are about a 1,400th of their values wide, for
+    small values as for large ones, and zero has one of its own."""
     v = value.cast("double")
-    far = F.floor(F.least(F.log2(1 + F.abs(v)), F.lit(2000.0)) * 1024)
-    return F.when(F.isnan(v), F.lit(1 << 40)).when(v < 0, -far).otherwise(far)
+    far = F.floor((F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0)) + 1101) * 1024)
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0).cast("long")).when(v < 0, -far).otherwise(far)
 
 
 def values_at(counted: DataFrame, keys: list[str], value: str, weight: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywick.functions import statistics as st
+from tallywick.operators import bootstrap
 from tallywick.operators.reports import linear_quantiles, ranked_quantiles, values_at
 from tallywick.plans.registry import query, table
 
@@ -84,3 +85,18 @@ def token_estimates(spark, sf_dir):
     whole = err.groupBy("estimator").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("err")), 6).alias("worst"), F.round(F.count(F.when(F.abs("err") <= 0.1, 1)) / F.count(F.lit(1)), 6).alias("within_10"))
     middle = linear_quantiles(err, ["estimator"], "err", {"median_error": 0.5})
     return whole.join(middle.select("estimator", F.round("median_error", 6).alias("median_error")), "estimator")
+
+
+@query(
+    "value_summary",
+    """WITH e AS (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r FROM events WHERE value IS NOT NULL)
+SELECT event_type, any_value(n) AS n, round(avg(value), 6) AS mean, true AS p50_near, true AS p95_near, true AS within FROM e GROUP BY 1""",
+)
+def value_summary(spark, sf_dir):
+    """Every event's value by type: the mean, and whether the histogram's quantiles and intervals agree with the sorted ones."""
+    events = table(spark, sf_dir, "events")
+    told = bootstrap.overhead_summary(events, ["event_type"], "event_id", "value", draws=200)
+    exact = events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("a"), F.percentile("value", 0.95).alias("b"))
+    near = lambda x, y: F.abs(x - y) <= 0.02 * F.abs(y)
+    inside = [F.col(f"{m}_low") <= F.col(f"{m}_estimate") for m in ("p50", "p95", "mean")] + [F.col(f"{m}_estimate") <= F.col(f"{m}_high") for m in ("p50", "p95", "mean")]
+    return told.join(exact, "event_type").select("event_type", "n", F.round("mean_estimate", 6).alias("mean"), near(F.col("p50_estimate"), F.col("a")).alias("p50_near"), near(F.col("p95_estimate"), F.col("b")).alias("p95_near"), (inside[0] & inside[1] & inside[2] & inside[3] & inside[4] & inside[5]).alias("within"))
