@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywick.operators import caps
 from tallywick.operators import ordered as op
 from tallywick.plans.registry import query, table
 
@@ -68,3 +69,26 @@ def event_windows(spark, sf_dir):
 def page_text(spark, sf_dir):
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
+
+
+@query(
+    "coupled_caps",
+    """WITH RECURSIVE e AS (SELECT event_id, ts, user_id % 30 AS portfolio, user_id % 7 AS project, CASE WHEN event_id % 4 > 0 THEN event_id % 9 END AS run, CAST(event_id % 5 + 1 AS DOUBLE) AS usd, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day,
+    row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT portfolio, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS refused_by, []::STRUCT(project BIGINT, run BIGINT, usd DOUBLE, month VARCHAR, day VARCHAR)[] AS held FROM e
+    UNION ALL
+    SELECT portfolio, n, event_id, why, CASE WHEN why IS NULL THEN list_append(held, {'project': project, 'run': run, 'usd': usd, 'month': month, 'day': day}) ELSE held END FROM (
+        SELECT r.portfolio, e.n, e.event_id, e.project, e.run, e.usd, e.month, e.day, r.held,
+            CASE WHEN coalesce(list_sum(list_transform(list_filter(r.held, lambda h: h.project = e.project AND h.month = e.month), lambda h: h.usd)), 0) + e.usd > 300 THEN 'project'
+                 WHEN e.project <> 3 AND coalesce(list_sum(list_transform(list_filter(r.held, lambda h: h.project = e.project AND h.day = e.day), lambda h: h.usd)), 0) + e.usd > 12 THEN 'day'
+                 WHEN e.run IS NOT NULL AND coalesce(list_sum(list_transform(list_filter(r.held, lambda h: h.project = e.project AND h.run = e.run), lambda h: h.usd)), 0) + e.usd > 40 THEN 'run'
+                 WHEN coalesce(list_sum(list_transform(list_filter(r.held, lambda h: h.month = e.month), lambda h: h.usd)), 0) + e.usd > 700 THEN 'portfolio' END AS why
+        FROM r JOIN e ON e.portfolio = r.portfolio AND e.n = r.n + 1))
+SELECT event_id, refused_by FROM r WHERE n > 0""",
+)
+def coupled_caps(spark, sf_dir):
+    """Every event as a call: seven projects under a portfolio, each with a month's, a day's and a run's cap."""
+    i, user = F.col("event_id"), F.col("user_id")
+    cap = lambda x: F.lit(float(x))
+    calls = table(spark, sf_dir, "events").select(i, (user % 30).alias("portfolio"), (user % 7).cast("string").alias("project"), F.when(i % 4 > 0, i % 9).cast("string").alias("run"), (i % 5 + 1).cast("double").alias("estimate"), F.col("ts").cast("timestamp").alias("at"), cap(300).alias("project_monthly_usd"), F.when(user % 7 != 3, cap(12)).alias("project_daily_usd"), cap(40).alias("per_run_usd"), cap(700).alias("portfolio_monthly_usd"))
+    return caps.coupled_caps(calls, "portfolio", ["at", "event_id"]).select("event_id", "refused_by")
