@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tallywick.operators import chain as op
 from tallywick.plans.registry import query, table
+from tallywick.sources.files import kept
 
 _BODY = """concat('{{"id":', CAST(event_id AS {s}), ',"kind":"call","type":"', event_type, '"}}')"""
 _BODIES = f"bodies AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, {_BODY.format(s='VARCHAR')} AS body FROM events)"
@@ -20,13 +21,15 @@ def bodies(spark, sf_dir):
     return events.select(F.col("user_id").alias("chain"), seq.alias("seq"), F.expr(_BODY.format(s="STRING")).alias("body"))
 
 
-def built(spark, sf_dir):
-    return op.build(bodies(spark, sf_dir))
+def built(spark, sf_dir, often: bool = True):
+    """The records of all chains; where they are read often, folded once and kept."""
+    records = op.build(bodies(spark, sf_dir))
+    return kept(records) if often else records
 
 
 @query("chain_links", f"WITH RECURSIVE {_CHAIN} SELECT * FROM built")
 def chain_links(spark, sf_dir):
-    return built(spark, sf_dir)
+    return built(spark, sf_dir, often=False)
 
 
 # Breaks by the rule of a log that is read from its start: its order, the hash stored before, the body's own hash and form.
@@ -59,7 +62,7 @@ def chain_importable(spark, sf_dir):
 
 @query("chain_heads", f"WITH RECURSIVE {_CHAIN} SELECT chain, max(seq) AS seq, max_by(record_hash, seq) AS head FROM built GROUP BY 1")
 def chain_heads(spark, sf_dir):
-    return op.heads(built(spark, sf_dir))
+    return op.heads(built(spark, sf_dir, often=False))
 
 
 # Edits that keep the record's hash, edits that renew it, and deletions, at records of their own.
@@ -70,7 +73,7 @@ _TAMPER = "CASE WHEN (chain * 31 + seq) % 101 = 7 THEN 'edit' WHEN (chain * 31 +
   CASE WHEN how = 'rehash' THEN sha256(unhex(prev_hash) || encode(body || 'x')) ELSE record_hash END AS record_hash FROM marked WHERE coalesce(how, '') <> 'delete'),
 {_BREAKS}""")
 def chain_tampered(spark, sf_dir):
-    marked = built(spark, sf_dir).withColumn("how", F.expr(_TAMPER)).filter("coalesce(how, '') <> 'delete'")
+    marked = built(spark, sf_dir, often=False).withColumn("how", F.expr(_TAMPER)).filter("coalesce(how, '') <> 'delete'")
     body = F.when(F.col("how").isin("edit", "rehash"), F.concat("body", F.lit("x"))).otherwise(F.col("body"))
     edited = marked.withColumn("body", body).withColumn("record_hash", F.when(F.col("how") == "rehash", op.link(F.col("prev_hash"), F.col("body"))).otherwise(F.col("record_hash")))
     return op.verify(edited.drop("how"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,3 +44,16 @@ def figure(tables: DataFrame, name: str, row: int, col: int) -> str:
     if found is None:
         raise ValueError(f"there is no cell {name}[{row}][{col}]")
     return found["cell"]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the folder that spark.checkpoint.dir names, for what reads it several times:
+    a lost executor then costs its tasks and not the frame. Where the setting is unset, a folder of this machine serves a
+    session that runs on this machine alone; elsewhere that is an error."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tallywick-"))
+    return df.checkpoint()
