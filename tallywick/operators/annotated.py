@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 MENTION = "struct<entity_id:string,entity_type:string,identifier_type:string,start_offset:int,end_offset:int,span_text:string>"
@@ -33,7 +34,7 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 _WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def _words(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"word": m.group(), "start": m.start(), "end": m.end()} for m in _WORD.finditer(t or "")] for t in texts])
 
