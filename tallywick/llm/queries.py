@@ -82,7 +82,21 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@_query("op8_warc")
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), h AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p
+), d AS (
+    SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(CAST('0x' || substr(hex, 1 + CAST(i // 4 * 5 AS INT), 5) AS INT) / power(32, 3 - i % 4)) AS BIGINT) % 32, 1)), '') AS payload_digest FROM h
+), r AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r
+"""
+
+
+@_query("op8_warc", WARC_SQL)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
