@@ -59,7 +59,24 @@ def policy_decisions(spark, sf_dir):
     return op.decide(calls, _rules(spark)).groupBy("effective_class", "judged_as", "allowed").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("cache"), 1)).alias("cacheable"))
 
 
-@query("policy_reasons")
+# Why a call is refused, class by class, in the order of the policy's limits.
+_WIDER = {"internal": "global", "personal": "geo", "sensitive": "single-region"}
+_KNOWN = {"internal": "'single-region', 'geo', 'global'", "personal": "'single-region', 'geo'", "sensitive": "'single-region'"}
+_USE = {"internal": "'vendor-a', 'vendor-b', 'selfhost'", "sensitive": "'selfhost'"}
+_WHY = " ".join(
+    f"WHEN n = '{k}' AND residency IS NULL THEN n || ' data needs residency no wider than {_WIDER[k]}, none declared' WHEN n = '{k}' AND residency NOT IN ({_KNOWN[k]}) THEN n || ' data needs residency no wider than {_WIDER[k]}, declared ' || residency"
+    + (f" WHEN n = '{k}' AND coalesce(lower(region), '') <> 'ca-central-1' THEN n || ' data may not be sent to region ' || coalesce(nullif(region, ''), 'unset')" if k != "internal" else "")
+    + (f" WHEN n = '{k}' AND provider NOT IN ({_USE[k]}) THEN n || ' data may not use ' || provider" if k in _USE else "")
+    for k in _WIDER
+)
+
+
+@query(
+    "policy_reasons",
+    f"""WITH {LEDGER_SQL}, calls AS (SELECT call_uid, data_class, provider, residency, region, event_id % 3 = 0 AS redacted FROM ledger), {_DECIDED}, named AS (SELECT *, coalesce(judged_as, effective_class) AS n FROM decided),
+told AS (SELECT CASE WHEN effective_class NOT IN ('public', 'internal', 'personal', 'sensitive') THEN 'class ' || effective_class || ' is not in the policy' ELSE CASE WHEN judged_as IS NOT NULL THEN 'redacted ' || effective_class || ' data, judged as ' || judged_as || ': ' ELSE '' END || CASE {_WHY} ELSE 'within policy' END END AS reason FROM named)
+SELECT reason, count(*) AS calls FROM told GROUP BY 1""",
+)
 def policy_reasons(spark, sf_dir):
     calls = ledger(spark, sf_dir).select("call_uid", "data_class", "provider", "residency", "region", (F.col("event_id") % 3 == 0).alias("redacted"))
     return op.decide(calls, _rules(spark)).groupBy("reason").agg(F.count(F.lit(1)).alias("calls"))

@@ -30,7 +30,29 @@ def cap_admission(spark, sf_dir):
     return op.cap_admission(calls, "user_id", "event_id", {"team-1": 500.0}, 800.0).select("event_id", "refused_by")
 
 
-@query("cache_replay")
+@query(
+    "cache_replay",
+    """
+WITH RECURSIVE v AS (
+    SELECT vec_id, vec_id % 3 AS scope, label, vec_id % 7 <> 0 AS storable, vec_id % 11 <> 0 AS marked, vec_id % 211 AS question, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) AS nr FROM embeddings
+), sims AS (
+    SELECT a.scope, a.nr, b.nr AS other, b.label, a.question = b.question AS same, round(list_inner_product(a.v, b.v), 9) AS sim FROM v a JOIN v b ON a.scope = b.scope AND b.nr < a.nr
+), r AS (
+    SELECT DISTINCT scope, 0::BIGINT AS nr, []::BIGINT[] AS held, NULL::VARCHAR AS outcome, NULL::DOUBLE AS similarity FROM v
+    UNION ALL
+    SELECT scope, nr, CASE WHEN outcome = 'miss' AND storable THEN list_append(held, nr) ELSE held END, outcome, CASE outcome WHEN 'exact' THEN 1.0 WHEN 'out' THEN NULL ELSE sim END
+    FROM (
+        SELECT *, CASE WHEN NOT marked THEN 'out' WHEN exact THEN 'exact' WHEN sim >= 0.3 THEN CASE WHEN near_label = label THEN 'semantic' ELSE 'false' END ELSE 'miss' END AS outcome
+        FROM (
+            SELECT r.scope, v.nr, r.held, any_value(v.storable) AS storable, any_value(v.marked) AS marked, any_value(v.label) AS label, coalesce(bool_or(s.same), false) AS exact, max(s.sim) AS sim, arg_max(s.label, (s.sim, -s.other)) AS near_label
+            FROM r JOIN v ON v.scope = r.scope AND v.nr = r.nr + 1 LEFT JOIN sims s ON s.scope = r.scope AND s.nr = v.nr AND list_contains(r.held, s.other)
+            GROUP BY r.scope, v.nr, r.held
+        )
+    )
+)
+SELECT v.vec_id, v.scope, outcome, round(similarity, 6) AS similarity FROM r JOIN v USING (scope, nr)
+""",
+)
 def cache_replay(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     calls = v.select("vec_id", (F.col("vec_id") % 3).alias("scope"), F.concat(F.lit("q"), (F.col("vec_id") % 211).cast("string")).alias("question"), F.col("label").alias("family"), (F.col("vec_id") % 7 != 0).alias("storable"), (F.col("vec_id") % 11 != 0).alias("marked"), F.col("embedding").alias("v"))
@@ -54,7 +76,14 @@ def stream_text(spark, sf_dir):
     return op.assemble(op.decode_events(chunks(spark, sf_dir))).select("stream_id", "text", "usage", "done")
 
 
-@query("sse_first_token")
+# The end of the first event that has text: the opening, the events before it, its own JSON, and a blank line.
+@query(
+    "sse_first_token",
+    f"""WITH {_CHUNKS}, w AS (SELECT conv_id * 1000 + turn AS stream_id, string_split(text, ' ') AS w FROM c WHERE text IS NOT NULL),
+e AS (SELECT stream_id, unnest(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END)) AS delta, generate_subscripts(w, 1) AS place FROM w),
+p AS (SELECT *, 48 + sum(18 + length(CAST(to_json(delta) AS VARCHAR))) OVER (PARTITION BY stream_id ORDER BY place) AS upto FROM e)
+SELECT stream_id, CAST(100 + 10 * min((upto - 1) // 37) AS BIGINT) AS first_token_ms FROM p WHERE delta <> '' GROUP BY 1""",
+)
 def sse_first_token(spark, sf_dir):
     return op.assemble(op.decode_events(chunks(spark, sf_dir))).select("stream_id", "first_token_ms")
 
