@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywick.functions.text import identifier_shaped, luhn, normalised
 from tallywick.operators import annotated as an
-from tallywick.operators import names
+from tallywick.operators import fidelity, names
 from tallywick.operators import redact as rd
 from tallywick.operators import screen as sc
 from tallywick.plans.registry import query, table
@@ -253,3 +253,18 @@ def allowed_words(spark, sf_dir):
     """Words that the corpus's annotations let stand in two documents and more, from all of them."""
     docs, mentions, _ = _annotated(spark, sf_dir)
     return an.allow_from_mentions(docs, mentions)
+
+
+@query("mutation_forms")
+def mutation_forms(spark, sf_dir):
+    """Each placeholder of every document's vault in sixteen forms, and in how many it is read back."""
+    return fidelity.forms_that_read(rd.redact(documents(spark, sf_dir)).filter(F.size("vault") > 0))
+
+
+@query("answer_fidelity")
+def answer_fidelity(spark, sf_dir):
+    """Masked documents as answers that change some placeholders: in lower case, bare, or without a number."""
+    masked = rd.redact(documents(spark, sf_dir)).filter(F.size("vault") > 0)
+    i = F.pmod("doc_id", F.lit(4))
+    answer = F.when(i == 1, F.lower("masked")).when(i == 2, F.regexp_replace("masked", r"<([A-Z_]+_\d+)>", "$1")).when(i == 3, F.regexp_replace("masked", r"<([A-Z_]+)_\d+>", "<$1>")).otherwise(F.col("masked"))
+    return fidelity.fidelity(masked.select(i.alias("kind"), answer.alias("answer"), F.col("masked").alias("page"), "vault"), ["kind"])
