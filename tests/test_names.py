@@ -6,7 +6,7 @@ import pytest
 
 from tallywick.operators import names, redact
 
-WORDS = frozenset("the of in on at department ref account section request budget monday again met q1 figures will two sentences later page says form said decision letter".split())
+WORDS = frozenset("the of in on at team ref order part item year friday then later met k4 rows may she said letter notice lives form".split())
 
 
 def people(text, *values, words=WORDS, allow=frozenset(), kind="PERSON"):
@@ -22,75 +22,76 @@ def masked(text, *values, **options):
 
 
 def test_parts_of_a_name_stand_for_their_person():
-    assert masked("Marie Chaulk wrote. Two sentences later, Marie called. Chaulk's file.", "Marie Chaulk") == "<PERSON_1> wrote. Two sentences later, <PERSON_1.1> called. <PERSON_1.2>'s file."
+    assert masked("Nora Kestrel came first. On Friday only Nora stayed; Kestrel's desk was empty.", "Nora Kestrel") == "<PERSON_1> came first. On Friday only <PERSON_1.1> stayed; <PERSON_1.2>'s desk was empty."
 
 
 def test_a_shared_part_stands_for_itself():
-    out = masked("Marie Chaulk, Marie Penashue, and Marie alone; Chaulk too", "Marie Chaulk", "Marie Penashue")
-    assert out == "<PERSON_1>, <PERSON_2>, and <PERSON_3> alone; <PERSON_1.1> too"
+    out = masked("Nora Kestrel; Nora Lindqvist; then Nora by herself, and Kestrel", "Nora Kestrel", "Nora Lindqvist")
+    assert out == "<PERSON_1>; <PERSON_2>; then <PERSON_3> by herself, and <PERSON_1.1>"
 
 
 def test_parts_are_case_sensitive_and_titles_and_plain_words_are_none():
-    assert masked("Dr. Will Grant will grant the request. Dr. Grant agreed.", "Dr. Will Grant") == "<PERSON_1> will grant the request. Dr. <PERSON_1.1> agreed."
+    assert masked("Prof. May Rivers rivers may run. Prof. Rivers left.", "Prof. May Rivers") == "<PERSON_1> rivers may run. Prof. <PERSON_1.1> left."
 
 
 def test_a_first_name_found_alone_is_the_same_person():
-    text = "Marie Chaulk; Marie"
-    own = names.People({1: text}, [(1, 0, 12, "PERSON", 0.9, "t"), (1, 14, 19, "PERSON", 0.9, "t")])
-    assert own.mask(text) == "<PERSON_1>; <PERSON_1.1>"
+    text = "Nora Kestrel / Nora"
+    own = names.People({1: text}, [(1, 0, 12, "PERSON", 0.9, "t"), (1, 15, 19, "PERSON", 0.9, "t")])
+    assert own.mask(text) == "<PERSON_1> / <PERSON_1.1>"
 
 
 def test_whole_words_only():
-    own = people("Le Drew withdrew it", "Le Drew")
-    assert own.mask("Le Drew withdrew it") == "<PERSON_1> withdrew it"
-    assert own.mask("sundrew, andrews") == "sundrew, andrews"
-    assert own.mask("Drew's file") == "<PERSON_1.2>'s file"
+    own = people("La Vern governs", "La Vern")
+    assert own.mask("La Vern governs") == "<PERSON_1> governs"
+    assert own.mask("taverns, caverne") == "taverns, caverne"
+    assert own.mask("Vern's hat") == "<PERSON_1.2>'s hat"
 
 
 def test_what_no_detector_found_is_masked_by_its_shape():
-    text = "Marie Chaulk met Wallace Penashue in Gander on Monday. Ref ATIPP-2024-0153, account 5551234567, section 31, 3rd request, 2024 budget. WALLACE again."
-    assert masked(text, "Marie Chaulk") == "<PERSON_1> met <NAME_LIKE_1> in <NAME_LIKE_2> on Monday. Ref <ID_LIKE_1>, account <ID_LIKE_2>, section 31, 3rd request, 2024 budget. <NAME_LIKE_3> again."
-    assert masked("Петров called") == "<NAME_LIKE_1> called"
+    text = "Nora Kestrel rang Oskar Lindqvist at Velmora Friday. Ref ZX-1987-4420, item 8800123456, part 12, 5th year, 1987 rows. OSKAR too."
+    assert masked(text, "Nora Kestrel") == "<PERSON_1> rang <NAME_LIKE_1> at <NAME_LIKE_2> Friday. Ref <ID_LIKE_1>, item <ID_LIKE_2>, part 12, 5th year, 1987 rows. <NAME_LIKE_3> too."
+    assert masked("звонил Орлов") == "звонил <NAME_LIKE_1>"
 
 
-@pytest.mark.parametrize(("text", "want"), [("postal A1B 2C3", "postal <ID_LIKE_1>"), ("plan 123 456 789 012", "plan <ID_LIKE_1>"), ("phone 709.555.0199", "phone <ID_LIKE_1>"), ("call (709) 555-0199 now", "call <ID_LIKE_1> now"), ("ref HCS-2024-0881 here", "ref <ID_LIKE_1> here")])
+@pytest.mark.parametrize(("text", "want"), [("code K7M 9Q4", "code <ID_LIKE_1>"), ("no 314 159 265 358", "no <ID_LIKE_1>"), ("dial 271.828.1828", "dial <ID_LIKE_1>"), ("at (161) 803-3988 or so", "at <ID_LIKE_1> or so"), ("see QRS-1999-0042 there", "see <ID_LIKE_1> there")])
 def test_a_value_in_pieces_is_masked_whole(text, want):
     assert masked(text) == want
 
 
-@pytest.mark.parametrize("text", ["pages 3, 4 and 5; 12 of 40", "in 2024 and 2025", "Q1 2024 figures", "apt 4B", "section 31(1)(a)", "3rd request", "10 20 30"])
+@pytest.mark.parametrize("text", ["rows 7, 8 and 9; 3 of 21", "from 1987 to 1991", "K4 1991 rows", "flat 6C", "part 12(3)(b)", "5th year", "30 40 50"])
 def test_small_numbers_stay(text):
     assert masked(text) == text
 
 
-@pytest.mark.parametrize(("text", "gone"), [("The applicant, Mr M. Trznadel, appealed.", ["M.", "Trznadel"]), ("as in J.F. Muller was delivered.", ["J", "F", "Muller"]), ("Mr G said he had seen it.", [" G "]), ("Ms A. was not present.", ["A."]), ("In A.B. v. others the rest", ["A.B"]), ("Johan van der Merwe gave evidence.", ["Johan", "van der", "Merwe"]), ("Maria Lopez de Souza wrote.", ["Lopez de Souza"])])
+@pytest.mark.parametrize(("text", "gone"), [("then Mr P. Zalewski spoke", ["P.", "Zalewski"]), ("read W.H. Osborne on it", ["W", "H", "Osborne"]), ("she asked Dr K about it", [" K "]), ("so Ms T. left", ["T."]), ("the case of C.D. was closed", ["C.D"]), ("Pieter van den Berg sang", ["Pieter", "van den", "Berg"]), ("Inés Moreno del Valle came", ["Moreno del Valle"])])
 def test_initials_and_particles_belong_to_a_name(text, gone):
     assert not [g for g in gone if g in masked(text)]
 
 
-@pytest.mark.parametrize(("text", "kept"), [("appendix A. The figures follow.", "A."), ("with the U.K. were", "U.K."), ("written in de facto terms.", " de "), ("moved to van use.", " van ")])
+@pytest.mark.parametrize(("text", "kept"), [("as in table B. there", "B."), ("within the E.U. it", "E.U."), ("the von of it", " von "), ("a la carte", " la ")])
 def test_a_lone_initial_and_a_stray_particle_stay(text, kept):
     assert kept in masked(text)
 
 
 def test_plain_words_break_a_run_and_masked_text_stays():
-    own = people("Marie Chaulk Department Gander", "Marie Chaulk")
-    out = own.mask("Marie Chaulk Department Gander")
-    assert out == "<PERSON_1> Department <NAME_LIKE_1>"
-    assert own.leaks(out) == [] and own.leaks("Chaulk and marie chaulk") == ["PERSON", "PERSON"]
+    own = people("Nora Kestrel Team Velmora", "Nora Kestrel")
+    out = own.mask("Nora Kestrel Team Velmora")
+    assert out == "<PERSON_1> Team <NAME_LIKE_1>"
+    assert own.leaks(out) == [] and own.leaks("Kestrel and nora kestrel") == ["PERSON", "PERSON"]
 
 
 def test_foreign_placeholders_are_masked_whole():
-    assert masked("The form said <PERSON_7> lives at Gander.", words=WORDS) == "The form said <ID_LIKE_1> lives at <NAME_LIKE_1>."
+    assert masked("She said <PERSON_4> lives in Velmora.") == "She said <ID_LIKE_1> lives in <NAME_LIKE_1>."
     assert masked("as PERSON_7 and PERSON_7.2 say") == "as <ID_LIKE_1> and <ID_LIKE_2> say"
 
 
 def test_places_are_released_and_people_never():
-    text = "The appeal went to the Court of Appeal in London."
-    spans = [(1, text.index("the Court"), text.index(" in London"), "ORGANISATION", 0.8, "t"), (1, text.index("London"), text.index("London") + 6, "LOCATION", 0.8, "t")]
-    words = frozenset("the appeal of court".split())
-    assert names.People({1: text}, spans, words, frozenset({"court of appeal", "london"})).mask(text) == text
-    assert "London" not in masked("Mr London gave evidence.", "London", allow=frozenset({"london"}))
+    text = "then to the House of Tides at Brightport"
+    at = lambda v: (text.index(v), text.index(v) + len(v))
+    spans = [(1, *at("the House of Tides"), "ORGANISATION", 0.8, "t"), (1, *at("Brightport"), "LOCATION", 0.8, "t")]
+    words = frozenset("house tides".split())
+    assert names.People({1: text}, spans, words, frozenset({"house of tides", "brightport"})).mask(text) == text
+    assert "Brightport" not in masked("so Mr Brightport spoke", "Brightport", allow=frozenset({"brightport"}))
 
 
 # the sweep
@@ -103,20 +104,20 @@ def swept(pages, *spans, **options):
 
 
 def test_the_sweep_finds_parts_on_every_page_and_joins_them():
-    found = swept(["Marie Le Drew applied.", "Then Le Drew withdrew; Marie-Le and andrews. Marie\nDrew"], (1, "Marie Le Drew", "PERSON", 0.7, "d"))
-    assert found == [(1, "Marie Le Drew", "PERSON", 0.7, "d"), (2, "Le Drew", "PERSON", 0.7, "sweep"), (2, "Marie-Le", "PERSON", 0.7, "sweep"), (2, "Marie", "PERSON", 0.7, "sweep"), (2, "Drew", "PERSON", 0.7, "sweep")]
+    found = swept(["Nora La Vern came.", "So La Vern governs; Nora-La and taverns. Nora\nVern"], (1, "Nora La Vern", "PERSON", 0.7, "d"))
+    assert found == [(1, "Nora La Vern", "PERSON", 0.7, "d"), (2, "La Vern", "PERSON", 0.7, "sweep"), (2, "Nora-La", "PERSON", 0.7, "sweep"), (2, "Nora", "PERSON", 0.7, "sweep"), (2, "Vern", "PERSON", 0.7, "sweep")]
 
 
 def test_the_sweep_calls_bare_names_people_and_nothing_looser():
-    pages = ["Bernadette Tuglavina applied.", "The file names Tuglavina. Bernadette agreed. Tuglavina Building"]
-    spans = [(1, "Bernadette Tuglavina", "PERSON", 0.85, "d"), (2, "Tuglavina", "LOCATION", 0.8, "d"), (2, "Tuglavina Building", "LOCATION", 0.8, "d")]
+    pages = ["Philippa Castellane signed.", "It says Castellane. Philippa nodded. Castellane Bridge"]
+    spans = [(1, "Philippa Castellane", "PERSON", 0.85, "d"), (2, "Castellane", "LOCATION", 0.8, "d"), (2, "Castellane Bridge", "LOCATION", 0.8, "d")]
     found = swept(pages, *spans)
-    assert [x[1:3] + x[4:] for x in found if x[0] == 2] == [("Tuglavina", "PERSON", "sweep:d"), ("Bernadette", "PERSON", "sweep"), ("Tuglavina Building", "LOCATION", "d")]
+    assert [x[1:3] + x[4:] for x in found if x[0] == 2] == [("Castellane", "PERSON", "sweep:d"), ("Philippa", "PERSON", "sweep"), ("Castellane Bridge", "LOCATION", "d")]
     assert [x[2] for x in swept(pages, *spans, retype=()) if x[0] == 2] == ["LOCATION", "PERSON", "LOCATION"]
 
 
 def test_the_sweep_spreads_no_plain_word_and_keeps_the_lowest_score():
-    assert swept(["Decision Letter", "The Decision is here"], (1, "Decision Letter", "PERSON", 0.6, "d"), refused=frozenset({"decision", "letter"})) == [(1, "Decision Letter", "PERSON", 0.6, "d")]
+    assert swept(["Final Notice", "the Notice came"], (1, "Final Notice", "PERSON", 0.6, "d"), refused=frozenset({"final", "notice"})) == [(1, "Final Notice", "PERSON", 0.6, "d")]
     found = swept(["Ann Bell. Cleo Dray.", "Ann Dray"], (1, "Ann Bell", "PERSON", 0.9, "d"), (1, "Cleo Dray", "PERSON", 0.5, "d"))
     assert found[-1] == (2, "Ann Dray", "PERSON", 0.5, "sweep")
 
