@@ -3,6 +3,7 @@ title, or lost; and which ways of changing one still read back."""
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -65,32 +66,35 @@ def changes(written: str, canonical: str, before: str = "", after: str = "") ->
     return " and ".join(out) or "other"
 
 
+def found(text: str, known: set[str]) -> list[tuple[str, str, str]]:
+    """What a text has of placeholders, in order: class (exact, tolerated, unresolved or degraded), the placeholder that it
+    stands for, and how it was changed. What doesn't read counts as degraded where no placeholder that reads lies."""
+    read = [(m.start(), m.end(), _canonical(m), m.group()) for m in _PLACEHOLDER.finditer(text)]
+    starts, ends = [r[0] for r in read], [r[1] for r in read]
+    out = []
+    for start, end, own, written in read:
+        kind = "unresolved" if own not in known else "exact" if written == own else "tolerated"
+        out.append((start, kind, own, changes(written, own, text[max(0, start - 1) : start], text[end : end + 1]) if kind == "tolerated" else ""))
+    for m in _BROKEN.finditer(text):
+        if bisect.bisect_left(starts, m.end()) == bisect.bisect_right(ends, m.start()):
+            out.append((m.start(), "degraded", "", ""))
+    return [x[1:] for x in sorted(out)]
+
+
+def titled(text: str) -> set[str]:
+    """Placeholders behind a title."""
+    return {_canonical(m) for m in _PLACEHOLDER.finditer(text) if _TITLE.search(text, max(0, m.start() - 12), m.start())}
+
+
 def judge(answer: str | None, page: str | None, known: Iterable[str]) -> dict:
     """Counts of an answer's placeholders by class, the forms of those that were changed, and of the page's what is kept.
     ``titled`` are those that the answer gives a title and the page doesn't; titles guess at what was masked."""
-    text, known, forms, n = answer or "", set(known), Counter(), Counter()
-    spans, back = [], set()
-    for m in _PLACEHOLDER.finditer(text):
-        spans.append(m.span())
-        own = _canonical(m)
-        if own not in known:
-            n["unresolved"] += 1
-            continue
-        back.add(own)
-        if m.group() == own:
-            n["exact"] += 1
-        else:
-            n["tolerated"] += 1
-            forms[changes(m.group(), own, text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1])] += 1
-    n["degraded"] = sum(all(e <= m.start() or m.end() <= s for s, e in spans) for m in _BROKEN.finditer(text))
-
-    def titled(of: str) -> set[str]:
-        return {_canonical(m) for m in _PLACEHOLDER.finditer(of) if _TITLE.search(of, max(0, m.start() - 12), m.start())}
-
-    n["titled"] = len(titled(text) - titled(page or ""))
-    wanted = {p for p in map(_canonical, _PLACEHOLDER.finditer(page or "")) if p[1:-1].rsplit("_", 1)[0] in ASKED}
-    n["expected"], n["kept"] = len(wanted), len(wanted & back)
-    return {c: n[c] for c in COUNTS} | {"forms": dict(forms)}
+    told = found(answer or "", set(known))
+    n = Counter(kind for kind, _, _ in told)
+    back = {own for kind, own, _ in told if kind in ("exact", "tolerated")}
+    wanted = {own for own in map(_canonical, _PLACEHOLDER.finditer(page or "")) if own[1:-1].rsplit("_", 1)[0] in ASKED}
+    n |= Counter(titled=len(titled(answer or "") - titled(page or "")), expected=len(wanted), kept=len(wanted & back))
+    return {c: n[c] for c in COUNTS} | {"forms": dict(Counter(how for *_, how in told if how))}
 
 
 COUNTS = ["exact", "tolerated", "unresolved", "degraded", "titled", "expected", "kept"]

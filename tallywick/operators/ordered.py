@@ -6,6 +6,7 @@ as needed, and a partition may hold many keys.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -108,36 +109,36 @@ def cache_replay(calls: DataFrame, scope: str, order: list[str], threshold: floa
     return fold_by_key(calls, scope, order, _Replay, step, [T.StructField("outcome", T.StringType()), T.StructField("similarity", T.DoubleType())])
 
 
+#: Where a blank line ends an event, and the data lines of one; a line ends at LF or CRLF.
+_BLANK = re.compile(rb"(?:\A|(?<=\n))\r?\n")
+_DATA = re.compile(rb"^data(?:: ?([^\n]*?))?\r?(?:\n|\Z)", re.M)
+
+
 class EventDecoder:
-    """Server-sent events from bytes that arrive in pieces: lines end at LF or CRLF, an event at its first blank line.
+    """Server-sent events from bytes that arrive in pieces: what blank lines part are events, and what is behind the last
+    of them waits.
 
     Comments and other fields say nothing; several data lines are one event's; a field without a colon has no value.
-    Bytes that are no UTF-8 become replacement characters, once their line is whole, so a character may be split.
+    Bytes that are no UTF-8 become replacement characters, once their event is whole, so a character may be split.
     """
 
-    def __init__(self, held: bytes = b"", data: list[str] | None = None):
-        self.held, self.data = held, list(data or ())
+    def __init__(self, held: bytes = b""):
+        self.held = held
+
+    @staticmethod
+    def _told(block: bytes) -> list[str]:
+        values = [m[1] or b"" for m in _DATA.finditer(block)]
+        return ["\n".join(v.decode("utf-8", "replace") for v in values)] if values else []
 
     def feed(self, piece: bytes) -> list[str]:
         """The data of the events that this piece completes."""
-        *lines, self.held = (self.held + piece).split(b"\n")
-        out = []
-        for line in lines:
-            line = line.removesuffix(b"\r")
-            name, _, value = line.partition(b":")
-            if name == b"data":
-                self.data.append(value.removeprefix(b" ").decode("utf-8", "replace"))
-            elif not line:
-                out += self._event()
-        return out
+        *blocks, self.held = _BLANK.split(self.held + piece)
+        return [data for block in blocks for data in self._told(block)]
 
     def finish(self) -> list[str]:
         """The stream is over: what it holds is its last event, though no blank line came."""
-        return [*(self.feed(b"\n") if self.held else []), *self._event()]
-
-    def _event(self) -> list[str]:
-        whole, self.data = ["\n".join(self.data)] if self.data else [], []
-        return whole
+        last, self.held = self.held, b""
+        return self._told(last)
 
 
 def decode_events(chunks: DataFrame) -> DataFrame:

@@ -47,19 +47,18 @@ def decode_stream(chunks: DataFrame) -> DataFrame:
     is not decoded yet; a chunk without a body ends its stream, whose last event then counts and whose state is dropped."""
 
     def decode(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, pending = state.get if state.exists else (b"", [])
-        decoder, data, over = EventDecoder(held, pending), [], False
+        decoder, data, over = EventDecoder(state.get[0] if state.exists else b""), [], False
         for body in pd.concat(list(parts)).sort_values("seq")["body"]:
             over = body is None
             data += decoder.finish() if over else decoder.feed(body)
         if not over:
-            state.update((decoder.held, decoder.data))
+            state.update((decoder.held,))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"stream_id": [key[0]] * len(data), "data": data})
 
     raw = chunks.withColumn("body", F.col("body").cast("binary"))
-    return raw.groupBy("stream_id").applyInPandasWithState(decode, "stream_id long, data string", "held binary, pending array<string>", "append", GroupStateTimeout.NoTimeout)
+    return raw.groupBy("stream_id").applyInPandasWithState(decode, "stream_id long, data string", "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def into_merge(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
