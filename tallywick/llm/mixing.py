@@ -24,6 +24,8 @@ TOP_NODES = 512
 TOP_CELLS = 1 << 21
 #: Blocks of a source, from the one that its target cuts, whose documents may be taken to meet it.
 EDGE_BLOCKS = 16
+#: Passes over those documents between two looks at whether another one is needed.
+PASSES = 4
 #: Draws that are listed at a time.
 DRAWS = 4096
 #: Blocks whose words are summed in one window.
@@ -138,7 +140,7 @@ class Plan:
         most = TOP_CELLS // nodes
         total = planned.agg(F.sum("quota")).first()[0] or 0
         alone = (planned["quota"] * (most // 2) >= total) | F.lit(planned.count() <= most)
-        grouped = cut(planned.filter("quota > 0").select("source", "quota", F.when(alone, F.concat(F.lit("="), "source")).otherwise(F.pmod("rank", F.lit(most // 2)).cast("string")).alias("group"), alone.alias("alone")), "groups")
+        grouped = planned.filter("quota > 0").select("source", "quota", F.when(alone, F.concat(F.lit("="), "source")).otherwise(F.pmod("rank", F.lit(most // 2)).cast("string")).alias("group"), alone.alias("alone"))
         drawn = sorted((r["group"], r["drawn"]) for r in grouped.groupBy("group").agg(F.sum("quota").alias("drawn")).collect())
         upto = np.cumsum(split_quotas(np.array([q for _, q in drawn], np.int64), self.shards, self.seed, nodes), axis=0) if drawn else np.zeros((nodes, 0), np.int64)
         top = planned.sparkSession.createDataFrame([(g, upto[:, i].tolist()) for i, (g, _) in enumerate(drawn)], "group string, upto array<long>")
@@ -200,9 +202,10 @@ class Plan:
         upto = of_source.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         able = ~F.col("more") & (F.col("size") <= F.col("gap"))
         while not rows.filter(able).isEmpty():
-            rows = rows.withColumn("filled", F.sum(F.when(able, F.col("size"))).over(upto))
-            rows = rows.withColumn("more", F.col("more") | (able & (F.col("filled") <= F.col("gap"))))
-            rows = rows.withColumn("gap", F.col("room") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(of_source))
+            for _ in range(PASSES):
+                rows = rows.withColumn("filled", F.sum(F.when(able, F.col("size"))).over(upto))
+                rows = rows.withColumn("more", F.col("more") | (able & (F.col("filled") <= F.col("gap"))))
+                rows = rows.withColumn("gap", F.col("room") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(of_source))
             rows = cut(rows.drop("filled"), "edges")
         miss = F.abs(F.col("gap") - F.col("size"))
         best = F.min(F.when(~F.col("more") & (miss < F.col("gap")), F.struct(miss.alias("miss"), "place"))).over(of_source)
