@@ -17,7 +17,8 @@ _CHAIN = f"""{_BODIES}, built AS (SELECT chain, seq, body, repeat('0', 64) AS pr
 
 def bodies(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    # Of a repeated id the type decides, so that the order is the same whenever it is made.
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id", "event_type")).cast("long")
     return events.select(F.col("user_id").alias("chain"), seq.alias("seq"), F.expr(_BODY.format(s="STRING")).alias("body"))
 
 

@@ -28,4 +28,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    # Adaptive execution merges the partitions of a union's sides apart, so what is keyed above one needs its own exchange.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

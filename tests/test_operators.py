@@ -138,6 +138,21 @@ def test_stretches_of_a_chain_are_held_together(spark, monkeypatch):
     assert [sorted(map(tuple, chain.verify(log).collect())) for log in logs] == whole
 
 
+def test_forged_chains_are_folded_whole_when_a_unions_sides_are_dealt_by_chain(spark):
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.parallelismFirst": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.minPartitionSize": "1k", "unionOutputPartitioning": "true"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        ids = spark.range(12000)
+        bodies = ids.select((F.col("id") % 600).alias("chain"), (F.floor(F.col("id") / 600) + 1).alias("seq"), F.concat(F.lit('{"id":"'), F.sha2(F.col("id").cast("string"), 512), F.lit('"}')).alias("body"))
+        targets = bodies.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).select("chain", F.lit("insert_both").alias("kind"), F.expr("1 + chain * 7 % n").alias("at"))
+        assert chain.verify(chain.build(chain.rewritten(bodies, targets))).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_canonical_json(spark):
     rows = spark.createDataFrame([('{"b": 1, "a": "é"}',), ("[1]",), ("no",), ('{"x": NaN}',), (None,)], "t string")
     assert [r[0] for r in rows.select(chain.canonical_json("t")).collect()] == ['{"a":"\\u00e9","b":1}', None, None, None, None]
