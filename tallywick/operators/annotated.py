@@ -1,18 +1,22 @@
 """Annotated corpora: reading them, scoring what was masked against their annotators, and the phrases that may be allowed.
 
-All of it is sorting and counting: what a set of spans covers is one running maximum over the spans and the items in order,
-so no item is paired with the spans of its document. Offsets are code points.
+A document's spans are gathered beside its text, and each document is read once: its words never become rows of a shuffle.
+What a set of spans covers is one running maximum over them, which an item looks up, so no item is paired with the spans of
+its document. Arrow batches are read a document at a time and handed on in pieces of bounded size. Offsets are code points.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 MENTION = "struct<entity_id:string,entity_type:string,identifier_type:string,start_offset:int,end_offset:int,span_text:string>"
 CORPUS = f"doc_id string, text string, annotations map<string,struct<entity_mentions:array<{MENTION}>>>"
@@ -34,45 +38,108 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 _WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _words(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"word": m.group(), "start": m.start(), "end": m.end()} for m in _WORD.finditer(t or "")] for t in texts])
+#: Words that are handed on at once.
+PIECE = 20_000
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """The words of documents, runs of letters and digits of any script: doc_id, nr (from 0), word, start, end."""
-    return docs.select("doc_id", F.posexplode(_words("text")).alias("nr", "w")).select("doc_id", "nr", "w.*")
 
-
-def merged(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Spans (by, start, end) as disjoint ones: those that overlap or touch become one."""
-    before = F.max("end").over(Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    numbered = spans.select(*by, "start", "end").distinct().withColumn("fresh", fresh)
-    island = numbered.withColumn("island", F.sum("fresh").over(Window.partitionBy(*by).orderBy("start", "end")))
-    return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-
-
-def covered(items: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
-    """items (by, start, end and more) with ``whole``, whether the spans of the same ``by`` cover all of it together, and
-    ``touched``, whether they cover any of it."""
-    rest = [c for c in items.columns if c not in (*by, "start", "end")]
-    told = merged(spans.filter("end > start"), by)
-    empty = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in rest]
-
-    def reach(at: str) -> Column:
-        """Furthest end of the spans that begin up to an item's start, or before its end."""
-        order = [F.asc("_at"), F.asc("_kind") if at == "start" else F.desc("_kind")]
-        return F.max("_reach").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-    def events(df: DataFrame, at: str) -> DataFrame:
-        return told.select(*by, "start", "end", *empty, F.lit(0).alias("_kind"), F.col("start").alias("_at"), F.col("end").alias("_reach"), *([F.lit(None).cast("boolean").alias("whole")] if at == "end" else [])).unionByName(
-            df.withColumns({"_kind": F.lit(1), "_at": F.col(at), "_reach": F.lit(None).cast("int")})
-        )
-
-    first = events(items, "start").withColumn("whole", F.coalesce(reach("start") >= F.col("end"), F.lit(False))).filter("_kind = 1").drop("_kind", "_at", "_reach")
-    second = events(first, "end").withColumn("touched", F.coalesce(reach("end") > F.col("start"), F.lit(False))).filter("_kind = 1")
-    return second.drop("_kind", "_at", "_reach")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nr, word, start, end = [], [], [], [], []
+
+            def told(at=at, nr=nr, word=word, start=start, end=end, batch=batch) -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(at, pa.int64()))
+                out = pa.RecordBatch.from_arrays([ids, *[pa.array(c, kind) for c, kind in ((nr, pa.int32()), (word, pa.string()), (start, pa.int32()), (end, pa.int32()))]], ["doc_id", "nr", "word", "start", "end"])
+                for c in (at, nr, word, start, end):
+                    c.clear()
+                return out
+
+            for i, text in enumerate(batch.column(1)):
+                for k, m in enumerate(_WORD.finditer(text.as_py() or "")):
+                    at.append(i)
+                    nr.append(k)
+                    word.append(m.group())
+                    start.append(m.start())
+                    end.append(m.end())
+                    if len(at) >= PIECE:
+                        yield told()
+            if at:
+                yield told()
+
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("nr", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def _islands(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans as disjoint ones in order: those that overlap or touch become one, empty ones go."""
+    some = end > start
+    order = np.argsort(start[some], kind="stable")
+    s, e = start[some][order], end[some][order]
+    if not len(s):
+        return s, e
+    reach = np.maximum.accumulate(e)
+    first = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+    return s[first], reach[np.r_[first[1:] - 1, len(s) - 1]]
+
+
+def _covered(start: np.ndarray, end: np.ndarray, islands: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether islands cover all of each item, and whether any of it."""
+    s, e = islands
+    if not len(s):
+        return np.zeros(len(start), bool), np.zeros(len(start), bool)
+    upto = np.searchsorted(s, start, "right") - 1
+    before = np.searchsorted(s, end, "left") - 1
+    return (upto >= 0) & (e[upto] >= end), (before >= 0) & (e[before] > start)
+
+
+def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's words."""
+    spans = np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64)
+    return spans[0::2], spans[1::2]
+
+
+def _gathered(spans: DataFrame, name: str, *columns) -> DataFrame:
+    """A row for each document with its spans as an array."""
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Of a batch's lists: where each begins and ends among all their items, and these."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    upto = np.cumsum(size)
+    return upto - size, upto, column.flatten()
+
+
+def _numbers(items: pa.StructArray, name: str) -> np.ndarray:
+    return np.asarray(pc.fill_null(items.field(name), 0)).astype(np.int64)
+
+
+COUNTS = ["direct", "direct_total", "quasi", "quasi_total", "precise", "judged", "safe_touched", "safe", "masked_chars"]
+
+
+def _score(text: str, own: dict[str, np.ndarray], lit: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """The COUNTS of a document. own has ``start``, ``end``, ``need``, ``safe``, ``kind`` (0 direct, 1 quasi) and the numbers
+    of ``annotator`` and ``entity`` of its distinct mentions; lit are the islands of what is masked."""
+    start, end = _places(text)
+    whole, touched = _covered(start, end, lit)
+    # A word belongs to a mention by its end: running counts tell how many lie before any place.
+    upto = lambda flags, at: np.r_[0, np.cumsum(flags)][np.searchsorted(end, at, "right")]
+    within = lambda flags: upto(flags, own["end"]) - upto(flags, own["start"])
+    all_of, some = within(whole) >= within(np.ones(len(end), bool)), within(touched) > 0
+    need, out = own["need"], []
+    entity, which = np.unique(np.stack([own["annotator"][need], own["entity"][need]]), axis=1, return_inverse=True)
+    kind, found = np.ones(entity.shape[1], np.int64), np.ones(entity.shape[1], bool)
+    np.minimum.at(kind, which.ravel(), own["kind"][need])
+    np.logical_and.at(found, which.ravel(), all_of[need])
+    for k in (0, 1):
+        out += [int((found & (kind == k)).sum()), int((kind == k).sum())]
+    precise, readers = 0, np.unique(own["annotator"])
+    for reader in readers:
+        of = need & (own["annotator"] == reader)
+        precise += int(_covered(start[touched], end[touched], _islands(own["start"][of], own["end"][of]))[0].sum())
+    return [*out, precise, int(touched.sum()) * len(readers), int((some & own["safe"]).sum()), int(own["safe"].sum()), int((lit[1] - lit[0]).sum())]
 
 
 def score_corpus(docs: DataFrame, mentions: DataFrame, masked: DataFrame) -> DataFrame:
@@ -84,35 +151,32 @@ def score_corpus(docs: DataFrame, mentions: DataFrame, masked: DataFrame) -> Dat
     precise where that annotator masks all of it. ``safe_touched`` of ``safe`` mentions that may stay have some of a word
     masked. ``masked_chars`` of ``chars`` are covered. A null text counts as empty, mentions of other documents as none.
     """
-    words = tokens(docs)
-    hit = covered(words, masked, ["doc_id"])
-    told = mentions.select("doc_id", "annotator", "entity_id", "identifier_type", "start", "end").distinct()
-    # Words of a mention: a running count over all words tells how many of them lie before any place.
-    running = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = hit.select("doc_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.when(F.col("whole"), 1).otherwise(0).alias("lit"), F.when(F.col("touched"), 1).otherwise(0).alias("any"), F.lit(1).alias("word"))
-    places = told.select("doc_id", F.explode(F.array("start", "end")).alias("at")).distinct().select("doc_id", "at", F.lit(1).alias("kind"), *[F.lit(0).alias(c) for c in ("lit", "any", "word")])
-    counts = marks.union(places).withColumns({c: F.sum(c).over(running) for c in ("lit", "any", "word")}).filter("kind = 1").drop("kind")
-
-    def up_to(df: DataFrame, at: str) -> DataFrame:
-        named = counts.select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"), *[F.col(c).alias(f"{at}_{c}") for c in ("lit", "any", "word")])
-        return df.join(named, (F.col("doc_id") == F.col("_doc")) & (F.col(at) == F.col("_at"))).drop("_doc", "_at")
-
-    sized = up_to(up_to(told, "start"), "end")
-    sized = sized.withColumns({"all": F.col("end_lit") - F.col("start_lit") >= F.col("end_word") - F.col("start_word"), "some": F.col("end_any") > F.col("start_any")})
-    need = F.col("identifier_type").isin(DIRECT, QUASI)
-    entities = sized.filter(need).groupBy("doc_id", "annotator", "entity_id").agg(F.min("identifier_type").alias("kind"), F.min("all").alias("found"))
-    found = entities.groupBy("doc_id").agg(*[F.count(F.when((F.col("kind") == k) & F.col("found"), 1)).alias(n) for k, n in ((DIRECT, "direct"), (QUASI, "quasi"))], *[F.count(F.when(F.col("kind") == k, 1)).alias(f"{n}_total") for k, n in ((DIRECT, "direct"), (QUASI, "quasi"))])
-    safe = sized.filter(F.col("identifier_type") == SAFE).groupBy("doc_id").agg(F.count(F.when(F.col("some"), 1)).alias("safe_touched"), F.count(F.lit(1)).alias("safe"))
-    readers = mentions.select("doc_id", "annotator").distinct()
-    lit = hit.filter("touched").select("doc_id", "nr", "start", "end").join(readers, "doc_id")
-    judged = covered(lit, mentions.filter(need).select("doc_id", "annotator", "start", "end"), ["doc_id", "annotator"])
-    precise = judged.groupBy("doc_id").agg(F.count(F.when(F.col("whole"), 1)).alias("precise"), F.count(F.lit(1)).alias("judged"))
-    sizes = merged(masked.filter("end > start"), ["doc_id"]).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("masked_chars"))
-    out = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    for more in (found, precise, safe, sizes):
-        out = out.join(more, "doc_id", "left")
-    names = ["direct", "direct_total", "quasi", "quasi_total", "precise", "judged", "safe_touched", "safe", "masked_chars"]
-    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], "chars")
+    names = ["annotator", "entity_id", "identifier_type"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            m_from, m_to, told = _lists(column["mentions"])
+            l_from, l_to, hidden = _lists(column["masked"])
+            code = {n: np.asarray(pc.fill_null(pc.dictionary_encode(told.field(n)).indices, -1)).astype(np.int64) for n in names}
+            kind = told.field("identifier_type")
+            placed = pc.and_(pc.is_valid(told.field("start")), pc.is_valid(told.field("end")))
+            is_of = {k: np.asarray(pc.fill_null(pc.and_(pc.equal(kind, k), placed), False)) for k in (DIRECT, QUASI, SAFE)}
+            every = {"start": _numbers(told, "start"), "end": _numbers(told, "end"), "annotator": code["annotator"], "entity": code["entity_id"], "type": code["identifier_type"]}
+            starts, ends, rows = _numbers(hidden, "start"), _numbers(hidden, "end"), []
+            for i, text in enumerate(column["text"]):
+                own = np.arange(m_from[i], m_to[i])
+                if len(own):
+                    own = own[np.unique(np.stack([every[c][own] for c in every]), axis=1, return_index=True)[1]]
+                told_here = {c: every[c][own] for c in every} | {"need": is_of[DIRECT][own] | is_of[QUASI][own], "safe": is_of[SAFE][own], "kind": np.where(is_of[DIRECT][own], 0, 1)}
+                rows.append(_score(text.as_py() or "", told_here, _islands(starts[l_from[i] : l_to[i]], ends[l_from[i] : l_to[i]])))
+            counts = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
+            chars = pc.fill_null(pc.utf8_length(column["text"]), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([column["doc_id"], *[pa.array(c) for c in counts.T], chars], ["doc_id", *COUNTS, "chars"])
+
+    given = docs.select("doc_id", "text").join(_gathered(mentions, "mentions", *names, "start", "end"), "doc_id", "left").join(_gathered(masked.filter("end > start"), "masked", "start", "end"), "doc_id", "left")
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in (*COUNTS, "chars")]])
+    return given.mapInArrow(run, kind)
 
 
 def corpus_rates(scores: DataFrame) -> DataFrame:
@@ -155,14 +219,60 @@ def allow_from_pages(masked: DataFrame, least: int = 2) -> DataFrame:
 def allow_from_mentions(docs: DataFrame, mentions: DataFrame, least: int = 2, most_masked: float = 0.1, words: bool = True) -> DataFrame:
     """Phrases that annotators let stand in at least ``least`` documents, and mask in at most a share of their mentions;
     and, with ``words``, capitalised words of as many documents that are in no mention to be masked: phrase, documents."""
+    least_of = F.count_distinct("doc_id").alias("documents")
     need = F.col("identifier_type").isin(DIRECT, QUASI)
-    texts = mentions.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", need.alias("need"), F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("phrase"))
-    share = texts.groupBy(F.lower("phrase").alias("key")).agg(F.avg(F.when(F.col("need"), 1.0).otherwise(0.0)).alias("share"))
-    safe = texts.filter("NOT need").groupBy("phrase").agg(F.count_distinct("doc_id").alias("documents")).filter(F.col("documents") >= least)
+    flags = [F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in (("need", need), ("free", ~need))]
+    given = docs.select("doc_id", "text").join(_gathered(mentions.dropna(subset=["start", "end"]), "mentions", *flags, "start", "end"), "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            m_from, m_to, told = _lists(column["mentions"])
+            starts, ends, needs, free = (_numbers(told, n) for n in ("start", "end", "need", "free"))
+            rows: list[tuple] = []
+            for i, text in enumerate(column["text"]):
+                own = slice(m_from[i], m_to[i])
+                rows += _phrases(i, text.as_py(), starts[own], ends[own], needs[own], free[own], words)
+                if rows and (len(rows) >= PIECE or i + 1 == len(batch)):
+                    yield _batch(batch, rows)
+                    rows = []
+            if rows:
+                yield _batch(batch, rows)
+
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("phrase", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in _PHRASE]])
+    found = given.mapInArrow(run, kind)
+    texts = found.filter("mentions > 0")
+    share = texts.groupBy(F.lower("phrase").alias("key")).agg((F.sum("needed") / F.sum("mentions")).alias("share"))
+    safe = texts.filter("free > 0").groupBy("phrase").agg(least_of).filter(F.col("documents") >= least)
     phrases = safe.withColumn("key", F.lower("phrase")).join(share.filter(F.col("share") <= most_masked), "key").select("phrase", "documents")
     if not words:
         return phrases
-    capital = tokens(docs).filter(F.col("word").rlike(r"^\p{Lu}") & (F.length("word") > 1))
-    judged = covered(capital, mentions.filter(need).select("doc_id", "start", "end"), ["doc_id"])
-    clean = judged.groupBy("word").agg(F.count_distinct("doc_id").alias("documents"), F.max("touched").alias("within")).filter((F.col("documents") >= least) & ~F.col("within"))
-    return phrases.unionByName(clean.select(F.col("word").alias("phrase"), "documents")).groupBy("phrase").agg(F.max("documents").alias("documents"))
+    clean = found.filter("capital > 0").groupBy("phrase").agg(least_of, F.max("within").alias("within")).filter((F.col("documents") >= least) & (F.col("within") == 0))
+    return phrases.unionByName(clean.select("phrase", "documents")).groupBy("phrase").agg(F.max("documents").alias("documents"))
+
+
+#: Of a phrase in a document: its mentions, those that need masking and that may stand, whether it is a capitalised word, and within a mention that needs it.
+_PHRASE = ["mentions", "needed", "free", "capital", "within"]
+
+
+def _phrases(at: int, text: str | None, start: np.ndarray, end: np.ndarray, need: np.ndarray, free: np.ndarray, words: bool) -> list[tuple]:
+    """at and the phrase with _PHRASE, once for each phrase that a document's mentions and capitalised words have."""
+    out: dict[str, list[int]] = {}
+    for s, e, n, f in zip(start.tolist(), end.tolist(), need.tolist(), free.tolist(), strict=True) if text is not None else ():
+        own = out.setdefault(text[s : max(s, e)], [0, 0, 0, 0, 0])
+        own[0] += 1
+        own[1] += n
+        own[2] += f
+    if words and text:
+        capital = [m.span() for m in _WORD.finditer(text) if m.end() - m.start() > 1 and unicodedata.category(text[m.start()]) == "Lu"]
+        s, e = np.array(capital, np.int64).reshape(-1, 2).T
+        for (a, b), within in zip(capital, _covered(s, e, _islands(start[need > 0], end[need > 0]))[1].tolist(), strict=True):
+            own = out.setdefault(text[a:b], [0, 0, 0, 0, 0])
+            own[3] = 1
+            own[4] |= within
+    return [(at, phrase, *counts) for phrase, counts in out.items()]
+
+
+def _batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    at, phrase, *counts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(phrase, pa.string()), *[pa.array(c, pa.int32()) for c in counts]], ["doc_id", "phrase", *_PHRASE])

@@ -225,9 +225,10 @@ def _annotated(spark, sf_dir):
     words = an.tokens(docs)
     nr = F.col("nr")
     kind = F.when(nr % 17 == 0, an.DIRECT).when(nr % 23 == 0, an.QUASI).when(nr % 29 == 0, an.SAFE)
-    one = words.select("doc_id", F.lit("a").alias("annotator"), nr.cast("string").alias("entity_id"), kind.alias("identifier_type"), "start", "end").filter("identifier_type IS NOT NULL")
-    two = words.filter(nr % 13 == 0).select("doc_id", F.lit("b").alias("annotator"), nr.cast("string").alias("entity_id"), F.lit(an.DIRECT).alias("identifier_type"), "start", "end")
-    return docs, one.union(two), words.filter(F.col("word").rlike("^[A-Z]")).select("doc_id", "start", "end")
+    one = F.when(kind.isNotNull(), F.struct(F.lit("a").alias("annotator"), kind.alias("identifier_type")))
+    two = F.when(nr % 13 == 0, F.struct(F.lit("b").alias("annotator"), F.lit(an.DIRECT).alias("identifier_type")))
+    mentions = words.select("doc_id", F.inline(F.array_compact(F.array(one, two))), nr.cast("string").alias("entity_id"), "start", "end")
+    return docs, mentions, words.filter(F.col("word").rlike("^[A-Z]")).select("doc_id", "start", "end")
 
 
 @query("annotated_scores", CORPUS_SQL)

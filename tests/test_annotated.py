@@ -107,3 +107,25 @@ def test_allow_lists(spark):
     assert {r["phrase"]: r["documents"] for r in an.allow_from_mentions(docs, told).collect()} == {"Oslo": 2, "May": 2}
     assert [r["phrase"] for r in an.allow_from_mentions(docs, told, words=False).collect()] == ["Oslo"]
     assert docs.filter(F.col("doc_id") == "none").count() == 0
+
+
+def test_words_are_handed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(an, "PIECE", 7)
+    texts = [("d1", "a-b " * 10), ("d2", None), ("d3", "É x²_y")]
+    docs, *_ = frames(spark, texts, [("d1", "a", "e", "DIRECT", 0, 1)], [("d1", 0, 1)])
+    want = sorted((d, i, m.group(), *m.span()) for d, t in texts for i, m in enumerate(re.finditer(r"[^\W_]+", t or "")))
+    assert sorted(map(tuple, an.tokens(docs).collect())) == want
+
+
+def test_scores_shuffle_documents_and_spans_only(spark):
+    plan = an.score_corpus(*frames(spark, *made(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_mentions_without_a_place_or_kind(spark):
+    texts = [("d1", "Oslo and Ann"), ("d2", "Oslo and Bob")]
+    mentions = [("d1", "a", "e", None, 0, 4), ("d2", "a", "e", None, 0, 4), ("d1", "a", "f", "DIRECT", None, 3), ("d1", "b", "g", "DIRECT", 9, 12)]
+    docs, told, masked = frames(spark, texts, mentions, [("d1", 9, 12), ("d2", None, 3)])
+    rows = {r["doc_id"]: r for r in an.score_corpus(docs, told, masked).collect()}
+    assert [rows["d1"][c] for c in ("direct", "direct_total", "precise", "judged")] == [1, 1, 1, 2] and rows["d2"]["masked_chars"] == 0
+    assert an.allow_from_mentions(docs, told, words=False).count() == 0
