@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ INITIALISMS = frozenset("uk us usa eu un ussr am pm eg ie nb ad bc phd llb llm b
 #: Digits that a number in several pieces has, to be somebody's; with letters its shape decides.
 GROUPED_DIGITS = 8
 
+#: Values of so many first words are looked for word by word; of more, every word of a text is looked up.
+FEW = 16
+
 _PIECE = re.compile(r"[^\W_]+|[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _CODE = re.compile(r"[A-Za-z0-9/()\-]+")
@@ -56,14 +60,11 @@ class Lexicon:
     def __init__(self, fold: bool):
         self.fold, self.root = fold, {}
 
-    def _pieces(self, text: str) -> list[re.Match[str]]:
-        return list(_PIECE.finditer(text))
-
     def _key(self, piece: str) -> str:
         return piece.casefold() if self.fold else piece
 
     def add(self, value: str, what) -> None:
-        node, pieces = self.root, [m.group() for m in self._pieces(value)]
+        node, pieces = self.root, _PIECE.findall(value)
         for own in (0, -1):
             if pieces and not pieces[own][0].isalnum():
                 pieces.pop(own)
@@ -72,21 +73,37 @@ class Lexicon:
         if pieces:
             node[None] = what
 
+    def _starts(self, text: str) -> list[int]:
+        """Where a text has a whole word that begins a value."""
+        low = text.casefold() if self.fold else text
+        if len(low) != len(text) or len(self.root) > FEW or (self.fold and "\u0345" in text):
+            # Folding has moved the offsets or made a letter of what is none, or the values are many: look up every word.
+            pieces = _PIECE.findall(text)
+            ends = accumulate(map(len, pieces))
+            return [e - len(p) for p, e in zip(pieces, ends, strict=True) if self._key(p) in self.root]
+        out = []
+        for word in self.root:
+            at = low.find(word)
+            while at >= 0:
+                end = at + len(word)
+                if not text[at - 1 : at].isalnum() and not text[end : end + 1].isalnum() and text[at:end].isalnum():
+                    out.append(at)
+                at = low.find(word, at + 1)
+        return sorted(out)
+
     def find(self, text: str) -> list[tuple[int, int, object]]:
-        if not self.root:
-            return []
-        pieces, out, at = self._pieces(text), [], 0
-        while at < len(pieces):
-            node, last, k = self.root, None, at
-            while k < len(pieces) and (node := node.get(self._key(pieces[k].group()))) is not None:
-                k += 1
+        out, done = [], 0
+        for start in self._starts(text) if self.root else ():
+            if start < done:
+                continue
+            node, last, at = self.root, None, start
+            while (m := _PIECE.match(text, at)) and (node := node.get(self._key(m.group()))) is not None:
+                at = m.end()
                 if None in node:
-                    last = k, node[None]
+                    last = at, node[None]
             if last:
-                out.append((pieces[at].start(), pieces[last[0] - 1].end(), last[1]))
-                at = last[0]
-            else:
-                at += 1
+                out.append((start, *last))
+                done = last[0]
         return out
 
 

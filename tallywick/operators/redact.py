@@ -24,6 +24,7 @@ _COMPILED = [(name, kind, re.compile(p, re.I if "i" in flags else 0), group, sco
 RELEASABLE = frozenset({"LOCATION", "ORGANISATION"})
 _PRIORITY = {name: i for i, (name, *_) in enumerate(_COMPILED)}
 _HEALTH = re.compile(HEALTH_LABEL, re.I)
+_DIGIT = re.compile(r"\d")
 #: What a second pass masks wherever it stands: tokens shaped like an identifier, and addresses no recogniser took.
 _TOKEN = re.compile(r"[^\W_][\w/.\-]*[^\W_]")
 #: A placeholder in brackets, in any case, with a few spaces, hyphens and leading zeros; or bare, as it was written.
@@ -38,7 +39,11 @@ _UNFINISHED = re.compile(r"<[\sA-Za-z0-9_.\-]*\Z|(?<![A-Za-z0-9_])[A-Z][A-Z0-9_.
 def detect(text: str) -> list[tuple[int, int, str, float, str]]:
     """All recognisers' spans: start, end, type, score, recogniser. A span ends at its first line break."""
     out = []
+    # Addresses have an @, everything else has a digit; most texts have neither.
+    able = {True: "@" in text, False: bool(_DIGIT.search(text))}
     for name, kind, pattern, group, score in _COMPILED:
+        if not able[name == "email"]:
+            continue
         for m in pattern.finditer(text):
             start, end = m.span(group)
             if name == "sin" and not luhn_digits(re.sub(r"\D", "", m.group())):

@@ -153,3 +153,19 @@ def test_a_stream_restores_what_the_whole_text_does(seed):
         got.append(own.feed(text[at : at + n]))
         at += n
     assert "".join(got) + own.finish() == redact.restore(text, vault)
+
+
+def test_values_are_looked_for_and_not_every_word_looked_up(monkeypatch):
+    known = names.Lexicon(fold=True)
+    for value in ("Ann Bell", "Ann", "É"):
+        known.add(value, value)
+    want = [(0, 3, "Ann"), (10, 18, "Ann Bell"), (20, 21, "É")]
+    assert known.find("ann Annie ANN bell, é.") == want
+    # A letter that folds to two, and a mark that folds to a letter, move or make words.
+    assert known.find("ß ann") == [(2, 5, "Ann")] and known.find("ann\u0345") == [(0, 3, "Ann")]
+    monkeypatch.setattr(names, "FEW", 0)
+    assert known.find("ann Annie ANN bell, é.") == want
+    monkeypatch.undo()
+    calls = []
+    monkeypatch.setattr(names.Lexicon, "_key", lambda self, piece: calls.append(piece) or piece.casefold())
+    assert len(known.find("word " * 1000 + "Ann")) == 1 and len(calls) < 10
