@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +167,10 @@ def unresolved(text: str, vault: dict[str, str]) -> list[str]:
 #: Without a digit of any kind or an @ a text holds nothing that a recogniser or the second pass takes, nor a placeholder.
 _ABLE = r"[\p{N}@]"
 REDACTED = f"doc_id long, masked string, vault map<string,string>, spans array<{SPAN}>, clashes int"
+#: Texts that a Python worker holds beside their results; an Arrow batch, which has up to 10,000, is cut into these.
+SLICE = 32
+_ARROW_VAULT = pa.map_(pa.string(), pa.string())
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("score", pa.float64()), ("recogniser", pa.string())]))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: list[str] | None = None) -> DataFrame:
@@ -173,19 +178,21 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allo
     text stays null. Documents that can hold nothing are told apart by one pattern and never leave the JVM."""
     allowed = frozenset(a.casefold() for a in allow or ())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                masked, vault, spans = mask(text, allowed)
-                told = [dict(zip(("start", "end", "entity_type", "score", "recogniser"), s, strict=True)) for s in spans]
-                rows.append((doc_id, masked, vault, told, sum(p in text for p in vault)))
-            yield pd.DataFrame(rows, columns=["doc_id", "masked", "vault", "spans", "clashes"])
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                texts = some.column(1).to_pylist()
+                masked, vaults, spans = zip(*[mask(t, allowed) for t in texts], strict=True)
+                told = [[dict(zip(("start", "end", "entity_type", "score", "recogniser"), s, strict=True)) for s in own] for own in spans]
+                clashes = [sum(p in t for p in v) for t, v in zip(texts, vaults, strict=True)]
+                columns = [some.column(0), pa.array(masked, pa.string()), pa.array([list(v.items()) for v in vaults], _ARROW_VAULT), pa.array(told, _ARROW_SPANS), pa.array(clashes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "masked", "vault", "spans", "clashes"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     able = F.coalesce(F.col("text").rlike(_ABLE), F.lit(False))
     empty = [F.create_map().cast("map<string,string>").alias("vault"), F.array().cast(f"array<{SPAN}>").alias("spans"), F.lit(0).alias("clashes")]
-    return own.filter(able).mapInPandas(run, REDACTED).union(own.filter(~able).select("doc_id", F.col("text").alias("masked"), *empty))
+    return own.filter(able).mapInArrow(run, REDACTED).union(own.filter(~able).select("doc_id", F.col("text").alias("masked"), *empty))
 
 
 def redact_requests(turns: DataFrame, by: str = "conv_id", order: str = "turn", text_col: str = "text", allow: list[str] | None = None) -> DataFrame:
@@ -288,9 +295,16 @@ def restore_streams(pieces: DataFrame, vaults: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "stream_id long, seq long, text string").filter("text <> ''")
 
 
-@F.pandas_udf(T.StringType())
-def restored(masked: pd.Series, vault: pd.Series) -> pd.Series:
-    return pd.Series([None if m is None else restore(m, dict(v)) for m, v in zip(masked, vault, strict=True)])
+@F.arrow_udf(T.StringType())
+def _restored(masked: pa.Array, vault: pa.Array) -> pa.Array:
+    return pa.array((restore(m.as_py(), dict(v.as_py())) if m.is_valid else None for m, v in zip(masked, vault, strict=True)), pa.string())
+
+
+def restored(masked: Column | str, vault: Column | str) -> Column:
+    """Values back for placeholders: see restore. A text whose vault is empty is as it was, and never leaves the JVM."""
+    text, values = (F.col(c) if isinstance(c, str) else c for c in (masked, vault))
+    some = F.size(values) > 0
+    return F.when(some, _restored(F.when(some, text), F.when(some, values))).otherwise(text)
 
 
 def leaks(redacted: DataFrame, allow: list[str] | None = None) -> DataFrame:

@@ -299,3 +299,13 @@ def test_placeholders_are_restored_however_a_stream_is_cut():
         restorer = redact.StreamRestorer(vault)
         got = "".join(restorer.feed(text[i : i + n]) for i in range(0, len(text), n)) + restorer.finish()
         assert got == redact.restore(text, vault)
+
+
+def test_a_worker_masks_and_restores_texts_in_slices(spark, monkeypatch):
+    texts = [(i, f"call 709-555-{1000 + i}" if i % 3 else "nothing" if i % 2 else None) for i in range(100)]
+    out = redact.redact(spark.createDataFrame(texts, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    rows = out.select("doc_id", "masked", redact.restored("masked", "vault").alias("back"), F.size("vault").alias("n"), F.size("spans").alias("s")).collect()
+    assert {r["doc_id"]: r["back"] for r in rows} == dict(texts)
+    assert all(r["n"] == r["s"] == (1 if r["doc_id"] % 3 else 0) for r in rows)
