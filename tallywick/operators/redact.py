@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tallywick.functions.patterns import HEALTH_LABEL, HEALTH_LABELLED, HEALTH_WINDOW, RECOGNISERS
 from tallywick.functions.text import luhn_digits
+from tallywick.operators.chain import dealt
 
 SPAN = "struct<start:int,end:int,entity_type:string,score:double,recogniser:string>"
 _COMPILED = [(name, kind, re.compile(p, re.I if "i" in flags else 0), group, score) for name, kind, flags, p, group, score in RECOGNISERS]
@@ -273,7 +274,8 @@ class StreamRestorer:
 
 def restore_streams(pieces: DataFrame, vaults: DataFrame) -> DataFrame:
     """Pieces (stream_id, seq, text) of answers with their vaults (stream_id, vault) to stream_id, seq, text, the pieces in
-    which the restored text may be handed on. A stream's pieces are joined one after the other; its rest is one more."""
+    which the restored text may be handed on. A stream's pieces are joined one after the other; its rest is one more. Its
+    vault comes once, before its pieces, and not with each of them, so that what is sorted is little more than the pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last, restorer = None, 0, None
@@ -283,15 +285,19 @@ def restore_streams(pieces: DataFrame, vaults: DataFrame) -> DataFrame:
                 if restorer is None or stream_id != at:
                     if restorer is not None:
                         rows.append((at, last + 1, restorer.finish()))
-                    at, restorer = stream_id, StreamRestorer(dict(vault) if vault is not None else {})
+                    at, restorer = stream_id, StreamRestorer({})
+                if vault is not None:
+                    restorer.vault, last = dict(vault), 0
+                    continue
                 rows.append((stream_id, seq, restorer.feed(text or "")))
                 last = seq
             yield pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
         if restorer is not None:
             yield pd.DataFrame([(at, last + 1, restorer.finish())], columns=["stream_id", "seq", "text"])
 
-    own = pieces.select("stream_id", "seq", "text").join(vaults, "stream_id", "left")
-    ordered = own.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    first = vaults.filter("stream_id IS NOT NULL AND vault IS NOT NULL").select("stream_id", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), "vault")
+    own = pieces.select("stream_id", "seq", "text", F.lit(None).cast("map<string,string>").alias("vault")).unionByName(first)
+    ordered = own.repartition(dealt("stream_id")).sortWithinPartitions("stream_id", F.col("vault").isNull(), "seq")
     return ordered.mapInPandas(run, "stream_id long, seq long, text string").filter("text <> ''")
 
 

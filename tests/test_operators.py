@@ -301,6 +301,17 @@ def test_placeholders_are_restored_however_a_stream_is_cut():
         assert got == redact.restore(text, vault)
 
 
+def test_a_streams_vault_comes_once_before_its_pieces(spark):
+    pieces = spark.createDataFrame([(1, 0, "to <PHO"), (1, 1, "NE_1> and"), (2, 5, "<PHONE_1>"), (None, 0, "PHONE_1")], "stream_id long, seq long, text string")
+    vaults = spark.createDataFrame([(1, {"<PHONE_1>": "7"}), (2, None), (3, {"<PHONE_1>": "8"}), (None, {"<PHONE_1>": "9"})], "stream_id long, vault map<string,string>")
+    out = redact.restore_streams(pieces, vaults)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    told = {}
+    for r in sorted(out.filter("stream_id IS NOT NULL").collect(), key=lambda r: (r["stream_id"], r["seq"])):
+        told[r["stream_id"]] = told.get(r["stream_id"], "") + r["text"]
+    assert told == {1: "to 7 and", 2: "<PHONE_1>"}
+
+
 def test_a_worker_masks_and_restores_texts_in_slices(spark, monkeypatch):
     texts = [(i, f"call 709-555-{1000 + i}" if i % 3 else "nothing" if i % 2 else None) for i in range(100)]
     out = redact.redact(spark.createDataFrame(texts, "doc_id long, text string"))
